@@ -16,7 +16,7 @@ from corpusbank.functions.text import normalize_spaces
 
 def any_phrase(text: Column, phrases) -> Column:
     """Any of the phrases as whole words."""
-    return text.rlike("\\b(?:" + "|".join(phrases) + ")\\b")
+    return text.rlike("(?U)\\b(?:" + "|".join(phrases) + ")\\b")
 
 
 def practical_rules(original: Column, strict: bool = False) -> list[tuple[int, Column]]:
@@ -38,16 +38,16 @@ def practical_rules(original: Column, strict: bool = False) -> list[tuple[int, C
         subject = any_phrase(text, CONCRETE_SUBJECT) | original.rlike(
             rf"\b[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+(?:\s+[A-Z]\.){{0,3}}\s+(?:{verbs})\b"
         )
-        acronym = original.rlike(r"\b[A-Z]{2,}\b")
+        acronym = original.rlike(r"(?U)\b[A-Z]{2,}\b")
         month = any_phrase(text, MONTHS)
     return [
         (4, any_phrase(text, EXPLICIT_CASE)),
         (2, subject),
         (2, acronym),
-        (2, text.rlike(r"\b20\d{2}\b")),
+        (2, text.rlike(r"(?U)\b20\d{2}\b")),
         (2, month),
-        (2, text.rlike(r"\d+\s*%")),
-        (1, text.rlike(r"\b\d+[.,]?\d*\b")),
+        (2, text.rlike(r"(?U)\d+\s*%")),
+        (1, text.rlike(r"(?U)\b\d+[.,]?\d*\b")),
         (2, any_phrase(text, ACTION_WORDS)),
         (1, any_phrase(text, SEQUENCE_WORDS)),
     ]
@@ -72,8 +72,8 @@ def phrase_flags(original: Column, openings=OPENINGS, persons=PERSON_PHRASES,
     person, organ, action = (
         any_phrase(text, persons), any_phrase(text, organs), any_phrase(text, actions)
     )
-    date = original.rlike(rf"(?i)\b\d{{1,2}}\s+de\s+(?:{months})(?:\s+de\s+\d{{4}})?\b")
-    amount = original.rlike(r"(?i)\b\d{1,3}(?:\.\d{3})*(?:,\d+)?\s*euros\b")
+    date = original.rlike(rf"(?iU)\b\d{{1,2}}\s+de\s+(?:{months})(?:\s+de\s+\d{{4}})?\b")
+    amount = original.rlike(r"(?iU)\b\d{1,3}(?:\.\d{3})*(?:,\d+)?\s*euros\b")
     flags = {
         f"opens_{i:02d}": text.startswith(normalize_spaces(F.lit(p)))
         for i, p in enumerate(openings)

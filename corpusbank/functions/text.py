@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpusbank.constants import LIGATURES, STOP_WORDS
 
@@ -38,7 +39,7 @@ def normalize_accents(c: Column) -> Column:
     return F.regexp_replace(folded, "\\p{Mn}+", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_any_script(texts: pd.Series) -> pd.Series:
     """Arrow fallback of :func:`normalize_accents` for non-Latin scripts (full NFD)."""
     def fold(t):

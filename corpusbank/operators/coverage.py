@@ -9,7 +9,7 @@ from corpusbank.functions.citation import coverage_expression, expand_ranges
 from corpusbank.functions.text import normalize_spaces, slugify
 from corpusbank.session import fits
 
-SMALL_CATALOGUE = 1_000
+SMALL_CATALOGUE = 256
 
 
 def longest_prefix(names: DataFrame, name: str, catalogue: DataFrame, *, key: str,
@@ -25,15 +25,17 @@ def longest_prefix(names: DataFrame, name: str, catalogue: DataFrame, *, key: st
     if fits(catalogue, small):
         ordered = entries.agg(F.array_sort(F.collect_list(
             F.struct((-F.col("len")).alias("neg"), "pos", "slug", "code")))).scalar()
-        hit = F.filter(ordered, lambda e: F.startswith(F.col("_slug"), e["slug"]))
+        hit = F.filter("_entries", lambda e: F.startswith(F.col("_slug"), e["slug"]))
         return (
-            names.withColumn("_slug", slugify(F.col(name)))
-            .withColumn("code", F.get(hit, F.lit(0))["code"]).drop("_slug")
+            names.withColumn("_entries", ordered).withColumn("_slug", slugify(F.col(name)))
+            .withColumn("code", F.get(hit, F.lit(0))["code"]).drop("_entries", "_slug")
         )
     lengths = entries.agg(F.collect_set("len")).scalar()
-    cut = names.select(key, slugify(F.col(name)).alias("_slug")).select(
+    cut = names.select(
+        key, slugify(F.col(name)).alias("_slug"), lengths.alias("_lengths")
+    ).select(
         key, F.explode(F.transform(
-            F.filter(lengths, lambda n: n <= F.length("_slug")),
+            F.filter("_lengths", lambda n: n <= F.length("_slug")),
             lambda n: F.left(F.col("_slug"), n))).alias("slug"))
     best = cut.join(entries, "slug").groupBy(key).agg(
         F.max_by("code", F.struct("len", -F.col("pos"))).alias("code"))
@@ -61,14 +63,15 @@ def contained_codes(texts: DataFrame, key: str, text: str, aliases: DataFrame, *
     form = word_form if whole_words else normalize_spaces
     entries = aliases.select("code", form(F.col("alias")).alias("alias")).filter("alias <> ''")
     if fits(aliases, small):
-        bundle = entries.agg(F.collect_set(F.struct("code", "alias"))).scalar()
-        hits = F.filter(bundle, lambda e: F.contains(
-            F.col("_norm"), _padded(e["alias"], whole_words)))
+        bundle = entries.agg(F.collect_set(F.struct(
+            "code", _padded(F.col("alias"), whole_words).alias("alias")))).scalar()
+        hits = F.filter("_aliases", lambda e: F.contains(F.col("_norm"), e["alias"]))
         return (
-            texts.withColumn("_norm", _padded(form(F.col(text)), whole_words))
+            texts.withColumn("_aliases", bundle)
+            .withColumn("_norm", _padded(form(F.col(text)), whole_words))
             .withColumn("codes", F.array_sort(F.array_distinct(
                 F.transform(hits, lambda e: e["code"]))))
-            .drop("_norm")
+            .drop("_norm", "_aliases")
         )
     if whole_words:
         def grams(c):
@@ -96,9 +99,10 @@ def contained_codes(texts: DataFrame, key: str, text: str, aliases: DataFrame, *
     if not whole_words:  # aliases too short for a trigram: a bounded set, tested in the row
         short = entries.filter(F.length("alias") < 3).agg(
             F.collect_set(F.struct("code", "alias"))).scalar()
-        found = found.unionByName(normal.select(key, F.explode(F.transform(
-            F.filter(short, lambda e: F.contains(F.col("_norm"), e["alias"])),
-            lambda e: e["code"])).alias("code")))
+        found = found.unionByName(normal.withColumn("_short", short).select(
+            key, F.explode(F.transform(
+                F.filter("_short", lambda e: F.contains(F.col("_norm"), e["alias"])),
+                lambda e: e["code"])).alias("code")))
     grouped = found.groupBy(key).agg(F.array_sort(F.collect_set("code")).alias("codes"))
     return texts.join(grouped, key, "left").withColumn(
         "codes", F.coalesce("codes", F.array().cast("array<string>")))

@@ -24,7 +24,7 @@ def postings(corpus: DataFrame, doc_id: str, text: str, part: list[str] | None =
     """(part.., doc_id, dl, tok, tf): run lengths of the sorted tokens, no shuffle."""
     part = part or []
     sorted_tokens = corpus.select(
-        *part, doc_id, F.array_sort(tokens(F.col(text), stop_words)).alias("toks")
+        *part, doc_id, F.sort_array(tokens(F.col(text), stop_words)).alias("toks")
     ).withColumn("dl", F.size("toks"))
     starts = sorted_tokens.withColumn("starts", F.when(F.col("dl") > 0, F.filter(
         F.sequence(F.lit(1), F.col("dl")),

@@ -49,10 +49,10 @@ def _fragment(kind: str, reference: Column, article: Column, section: Column | N
     )
 
 
-def fragments(text: Column, heading: str = ARTICLE_HEADING, section: str = SECTION_LINE,
-              letter: str = LETTER_LINE, limit: int = CHUNK_CHARS,
-              label: str = "Artículo") -> Column:
-    """Fragments of a document, exact repeats of (reference, text) removed in order.
+def all_fragments(text: Column, heading: str = ARTICLE_HEADING, section: str = SECTION_LINE,
+                  letter: str = LETTER_LINE, limit: int = CHUNK_CHARS,
+                  label: str = "Artículo") -> Column:
+    """Fragments of a document in order, repeats included.
 
     Up to ``limit`` characters an article is one fragment; longer ones are cut at section
     lines, and sections still too long at letter lines (not any further).
@@ -79,7 +79,12 @@ def fragments(text: Column, heading: str = ARTICLE_HEADING, section: str = SECTI
             F.array(_fragment("ARTICULO", reference, name, None, a["text"])),
         ).otherwise(F.flatten(F.transform(blocks, of_section(reference, name))))
 
-    return F.array_distinct(F.flatten(F.transform(articles(text, heading), of_article)))
+    return F.flatten(F.transform(articles(text, heading), of_article))
+
+
+def fragments(text: Column, **options) -> Column:
+    """:func:`all_fragments` without exact repeats of (reference, text); the first one stays."""
+    return F.array_distinct(all_fragments(text, **options))
 
 
 def explode_fragments(df: DataFrame, keys: list[str], text: str, **options) -> DataFrame:

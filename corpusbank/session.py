@@ -62,3 +62,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 def fits(df: DataFrame, max_rows: int) -> bool:
     """True when the table has at most ``max_rows`` rows; reads no more than needed."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a scanned table out to all cores when it has fewer splits than the cluster.
+
+    Large tables have more splits than cores and are left alone (no shuffle).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
