@@ -132,3 +132,22 @@ def import_reason(notes: Column, reason: Column) -> Column:
 def call_cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:
     """Cost of a model call; prices are per million tokens, cached tokens pay in full."""
     return (tokens_in * price_in + tokens_out * price_out) / F.lit(1_000_000)
+
+
+def same_letters(options: Column) -> Column:
+    """True when the option letters are exactly A-D as a set (texts are not checked)."""
+    letters = F.array(*[F.lit(x) for x in LETTERS])
+    keys = F.map_keys(options)
+    return (F.size(F.array_except(keys, letters)) == 0) & (
+        F.size(F.array_except(letters, keys)) == 0)
+
+
+def exam_item(options: Column, answer: Column, origin: Column | None = None) -> Column:
+    """struct<options(array in fixed order), answer_text, origin> of a bank row."""
+    ordered = F.transform(
+        F.array(*[F.lit(x) for x in LETTERS]),
+        lambda x: F.struct(x.alias("letter"), F.try_element_at(options, x).alias("text")))
+    return F.struct(
+        ordered.alias("options"), F.try_element_at(options, answer).alias("answer_text"),
+        F.coalesce(origin if origin is not None else F.lit(None).cast("string"),
+                   F.lit("BANCO")).alias("origin"))

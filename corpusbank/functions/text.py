@@ -48,6 +48,14 @@ def fold_any_script(texts: pd.Series) -> pd.Series:
     return texts.map(fold)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    A column used inside a lambda is otherwise inlined there and computed per element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim any Unicode white space (``trim`` only removes blanks)."""
     return F.regexp_replace(c, "(?U)^\\s+|\\s+\\z", "")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusbank.functions.citation import coverage_expression, expand_ranges
-from corpusbank.functions.text import normalize_spaces, slugify
+from corpusbank.functions.text import let, normalize_spaces, slugify
 from corpusbank.session import fits
 
 SMALL_CATALOGUE = 256
@@ -25,11 +25,10 @@ def longest_prefix(names: DataFrame, name: str, catalogue: DataFrame, *, key: st
     if fits(catalogue, small):
         ordered = entries.agg(F.array_sort(F.collect_list(
             F.struct((-F.col("len")).alias("neg"), "pos", "slug", "code")))).scalar()
-        hit = F.filter("_entries", lambda e: F.startswith(F.col("_slug"), e["slug"]))
-        return (
-            names.withColumn("_entries", ordered).withColumn("_slug", slugify(F.col(name)))
-            .withColumn("code", F.get(hit, F.lit(0))["code"]).drop("_entries", "_slug")
-        )
+        hits = let(slugify(F.col(name)), lambda slug: F.filter(
+            "_entries", lambda e: F.startswith(slug, e["slug"])))
+        return names.withColumn("_entries", ordered).withColumn(
+            "code", F.get(hits, F.lit(0))["code"]).drop("_entries")
     lengths = entries.agg(F.collect_set("len")).scalar()
     cut = names.select(
         key, slugify(F.col(name)).alias("_slug"), lengths.alias("_lengths")
@@ -65,14 +64,10 @@ def contained_codes(texts: DataFrame, key: str, text: str, aliases: DataFrame, *
     if fits(aliases, small):
         bundle = entries.agg(F.collect_set(F.struct(
             "code", _padded(F.col("alias"), whole_words).alias("alias")))).scalar()
-        hits = F.filter("_aliases", lambda e: F.contains(F.col("_norm"), e["alias"]))
-        return (
-            texts.withColumn("_aliases", bundle)
-            .withColumn("_norm", _padded(form(F.col(text)), whole_words))
-            .withColumn("codes", F.array_sort(F.array_distinct(
-                F.transform(hits, lambda e: e["code"]))))
-            .drop("_norm", "_aliases")
-        )
+        hits = let(_padded(form(F.col(text)), whole_words), lambda norm: F.transform(
+            F.filter("_aliases", lambda e: F.contains(norm, e["alias"])), lambda e: e["code"]))
+        return texts.withColumn("_aliases", bundle).withColumn(
+            "codes", F.sort_array(F.array_distinct(hits))).drop("_aliases")
     if whole_words:
         def grams(c):
             return F.split(c, " ")

@@ -25,8 +25,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataF
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
     """(new rows.., status): 'inserted' for the first row of an unknown key, else 'existing'."""
-    first = new.groupBy(*keys).agg(F.min(order).alias(order)).join(old, keys, "left_anti").select(
-        order, F.lit(True).alias("_first"))
+    first = new.groupBy(*keys).agg(F.min(order).alias("_order")).join(
+        old, keys, "left_anti").select(F.col("_order").alias(order), F.lit(True).alias("_first"))
     return new.join(first, order, "left").withColumn(
         "status", F.when(F.col("_first"), "inserted").otherwise("existing")).drop("_first")
 

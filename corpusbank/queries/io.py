@@ -1 +1,205 @@
-"""Placeholder."""
+"""Sources, sinks and streaming jobs over files written from the tables."""
+
+from pyspark.sql import functions as F
+
+from corpusbank.functions.items import call_cost
+from corpusbank.functions.text import strip
+from corpusbank.operators.ranking import id_bucket
+from corpusbank.queries.items import RAW_SQL, raw_questions
+from corpusbank.queries.maintenance import FP_SQL, LABEL_SQL, labelled
+from corpusbank.queries.registry import query
+from corpusbank.queries.search import allowed_sources
+from corpusbank.queries.text import CODE_SQL, TAIL_SQL, norm_code, spaces_sql
+from corpusbank.session import new_path
+from corpusbank.sources import readers, writers
+from corpusbank.streaming import jobs
+
+
+@query("scan_catalog", f"""
+WITH c AS (SELECT s_suppkey, {CODE_SQL} AS code, s_suppkey || '/' || (1980 + s_nationkey) AS ref, 'Título ' || s_name AS title FROM {TAIL_SQL}),
+a AS (SELECT s_suppkey, unnest(list_concat(CASE s_suppkey % 7 WHEN 0 THEN ['ley ' || ref] WHEN 1 THEN ['ley organica ' || ref] WHEN 2 THEN ['decreto ' || ref]
+   WHEN 3 THEN ['decreto legislativo ' || ref, 'real decreto legislativo ' || ref] WHEN 4 THEN ['constitucion española', 'constitucion', 'ce']
+   WHEN 5 THEN ['tratado de la union europea', 'tratado union europea', 'tue'] ELSE [] END, [title])) AS raw FROM c),
+n AS (SELECT DISTINCT s_suppkey, {spaces_sql('raw')} AS alias FROM a)
+SELECT code, title AS official_title, CASE s_suppkey % 7 WHEN 0 THEN 'Ley ' || substr(code, 2) WHEN 1 THEN 'Ley Orgánica ' || substr(code, 3) WHEN 2 THEN 'Decreto ' || substr(code, 2)
+  WHEN 3 THEN 'Decreto Legislativo ' || substr(code, 3) WHEN 4 THEN 'Constitucion Española' WHEN 5 THEN 'Tratado Union Europea' END AS prefix,
+  (SELECT string_agg(alias, '|' ORDER BY length(alias) DESC, alias) FROM n WHERE n.s_suppkey = c.s_suppkey) AS aliases FROM c""")
+def scan_catalog(t):
+    path = new_path(t.spark, "catalogue")
+    rows = t.supplier.select(
+        F.concat(F.lit(" "), norm_code()).alias("codigo"),
+        F.concat(F.lit("Título "), F.col("s_name")).alias("titulo_oficial"),
+        F.lit(None).cast("string").alias("titulo_corto"), F.lit("Ley").alias("tipo"))
+    blank = t.nation.select(F.lit(" ").alias("codigo"), F.col("n_name").alias("titulo_oficial"),
+                            F.lit("x").alias("titulo_corto"), F.lit("Ley").alias("tipo"))
+    rows.unionByName(blank).write.option("sep", ";").option("header", True).option(
+        "ignoreLeadingWhiteSpace", False).csv(path)
+    return readers.read_catalogue(t.spark, path).select(
+        "code", "official_title", "prefix", F.array_join("aliases", "|").alias("aliases"))
+
+
+def syllabus_files(t):
+    """One INI text per supplier, written with a record separator and read back."""
+    path = new_path(t.spark, "syllabus")
+    n = F.col("s_suppkey").cast("string")
+    topic = F.concat(n, F.lit(" = Tema: "), F.col("s_name"), F.lit("|Doc "), n, F.lit(".pdf| |Doc "), n,
+                     F.lit(".pdf|Anexo "), (F.col("s_suppkey") % 7).cast("string"))
+    text = F.concat(
+        F.lit("[CONVOCATORIA]\nclave = "), n,
+        F.lit("\n\n[PARTES_TEMARIO]\n1 = General\n2 = Especial-Teoría\n\n[TEMARIO_GENERAL]\n# nota = 1\n"), topic,
+        F.lit("\n\n[TEMARIO_ESPECIAL_TEORIA]\n1 = "), F.when(F.col("s_suppkey") % 3 == 0, "Solo título").otherwise("Título|Ley.PDF"),
+        F.when(F.col("s_suppkey") % 5 == 0, "\n1 = Otra vez|B.pdf").otherwise(""),
+        F.lit("\n[TEMARIO_OTRA]\n9 = T|x.pdf\n[NORMAS_EXAMEN]\nnumero_preguntas = "), (F.col("s_suppkey") + 100).cast("string"),
+        F.lit("\n[DISTRIBUCION_PREGUNTAS]\nGeneral = "), F.col("s_nationkey").cast("string"), F.lit("\nEspecial-Teoría = 50\n"))
+    t.supplier.select(text.alias("value")).write.option("lineSep", "\u001e").text(path)
+    texts = t.spark.read.option("lineSep", "\u001e").text(path)
+    key = F.regexp_extract("value", "clave = (\\d+)", 1).cast("long")
+    return readers.syllabus_entries(texts.select(key.alias("k"), "value"), "k", "value")
+
+
+@query("scan_syllabus", """
+WITH s AS (SELECT s_suppkey AS k, s_name, s_suppkey % 3 = 0 AS bare, s_suppkey % 5 = 0 AS rep FROM supplier),
+d AS (SELECT k, 'General' AS part, CAST(k AS INTEGER) AS number, 'Tema: ' || s_name AS title, NULL AS problem, unnest(['Doc ' || k || '.pdf', 'Anexo ' || k % 7]) AS document FROM s
+  UNION ALL SELECT k, 'Especial-Teoría', 1, CASE WHEN bare THEN 'Solo título' ELSE 'Título' END, CASE WHEN bare THEN 'pieces' WHEN rep THEN 'repeated' END, CASE WHEN NOT bare AND NOT rep THEN 'Ley.PDF' END FROM s
+  UNION ALL SELECT k, 'Especial-Teoría', 1, 'Otra vez', 'repeated', NULL FROM s WHERE rep
+  UNION ALL SELECT k, NULL, 9, 'T', 'part', NULL FROM s)
+SELECT k, part, number, title, problem, document, lower(document) LIKE '%.pdf' AS is_file FROM d""")
+def scan_syllabus(t):
+    topics = readers.syllabus_topics(syllabus_files(t), "k")
+    good = readers.topic_documents(topics, "k").withColumn("problem", F.lit(None).cast("string"))
+    bad = topics.filter("problem IS NOT NULL").select(
+        "k", "part", "number", "title", "problem", F.lit(None).cast("string").alias("document"),
+        F.lit(None).cast("boolean").alias("is_file"))
+    return good.select(bad.columns).unionByName(bad)
+
+
+@query("scan_distribution", """
+SELECT s_suppkey AS k, unnest(['General', 'Especial-Teoría', NULL]) AS part, unnest([s_nationkey, 50, CAST(s_suppkey + 100 AS INTEGER)]) AS n FROM supplier""")
+def scan_distribution(t):
+    return readers.syllabus_distribution(syllabus_files(t), "k")
+
+
+def write_question_files(t, path, partition=None):
+    """Nested question files: one JSON object per order with its lines as questions."""
+    question = F.struct(
+        F.col("p_size").cast("long").alias("numero"), F.col("p_name").alias("enunciado"),
+        F.struct(F.col("p_brand").alias("A"), F.col("p_type").alias("B"), F.lit("c").alias("C"),
+                 F.lit(None).cast("string").alias("D")).alias("opciones"),
+        F.lit("A").alias("respuesta_correcta"), F.col("p_type").alias("norma"),
+        F.array(F.lit("x"), F.col("p_brand")).alias("incidencias"), F.col("p_partkey").alias("pagina_pdf"))
+    twice = F.when(F.col("p_type") == "PROMO", F.array().cast(f"array<{_struct_type()}>")).when(
+        F.col("p_type") == "LARGE", F.array(question, question)).otherwise(F.array(question))
+    files = t.part.select(
+        F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("archivo_origen"),
+        F.concat(F.lower("p_type"), F.lit("_"), (F.col("p_size") % 4).cast("string"), F.lit("_extraido.json")).alias("archivo"),
+        twice.alias("preguntas"))
+    writer = files.write
+    (writer.partitionBy("archivo") if partition else writer).json(path)
+
+
+def _struct_type():
+    return ("struct<numero:bigint,enunciado:string,opciones:struct<A:string,B:string,C:string,D:string>,"
+            "respuesta_correcta:string,norma:string,incidencias:array<string>,pagina_pdf:bigint>")
+
+
+@query("scan_questions_json", """
+SELECT 'f' || p_partkey AS archivo_origen, i AS indice, CASE WHEN i IS NOT NULL THEN p_name END AS enunciado, CASE WHEN i IS NOT NULL THEN p_type END AS opt_b,
+  CASE WHEN i IS NOT NULL THEN p_partkey END AS pagina_pdf, CASE WHEN i IS NOT NULL THEN p_brand END AS incidencia
+FROM part, unnest(CASE p_type WHEN 'PROMO' THEN [CAST(NULL AS INTEGER)] WHEN 'LARGE' THEN [1, 2] ELSE [1] END) u(i)""")
+def scan_questions_json(t):
+    path = new_path(t.spark, "questions")
+    write_question_files(t, path)
+    rows = readers.read_question_files(t.spark, path, multi_line=False)
+    return rows.select(
+        "archivo_origen", "indice", "pregunta.enunciado", F.col("pregunta.opciones.B").alias("opt_b"),
+        "pregunta.pagina_pdf", F.get("pregunta.incidencias", F.lit(1)).alias("incidencia"))
+
+
+@query("scan_many_files", """
+SELECT upper(p_type) AS grp, COUNT(DISTINCT p_size % 4) AS files, SUM(CASE p_type WHEN 'LARGE' THEN 2 ELSE 1 END)::BIGINT AS questions FROM part WHERE p_type <> 'PROMO' GROUP BY p_type""")
+def scan_many_files(t):
+    path = new_path(t.spark, "many")
+    write_question_files(t, path, partition="archivo")
+    rows = readers.read_question_files(t.spark, f"{path}/archivo=*_extraido.json", multi_line=False)
+    name = F.regexp_extract("file", "archivo=([^/]+)", 1)
+    return rows.filter("pregunta IS NOT NULL").groupBy(readers.source_group(name).alias("grp")).agg(
+        F.count_distinct(name).alias("files"), F.count(F.lit(1)).alias("questions"))
+
+
+@query("write_parent_child", f"""
+WITH {RAW_SQL}, q AS (SELECT row_number() OVER (ORDER BY p_partkey) + (SELECT MAX(o_orderkey) FROM orders) AS id, * FROM raw WHERE p_type = 'STANDARD')
+SELECT id, stem, CAST(page AS BIGINT) AS page, letter, text FROM (SELECT id, stem, page, unnest(['A', 'B', 'C', 'D']) AS letter, unnest([a, b, c, d]) AS text FROM q)""")
+def write_parent_child(t):
+    path = new_path(t.spark, "import")
+    good = raw_questions(t).filter("p_type = 'STANDARD'").select(
+        "p_partkey", F.col("page").try_cast("long").alias("page"), "stem",
+        F.create_map(*[x for letter in "abcd" for x in (F.lit(letter.upper()), F.col(f"opt_{letter}"))]).alias("options"))
+    numbered = writers.assign_ids(
+        good, t.orders.select(F.col("o_orderkey").alias("id")), [F.col("p_partkey")], id_bucket(F.col("p_partkey"), 512))
+    parents, children = writers.write_parent_child(numbered, path, "id")
+    spark = t.spark
+    return spark.read.parquet(parents).join(spark.read.parquet(children), "id").select(
+        "id", "stem", "page", "letter", "text")
+
+
+@query("write_reports_json", f"""
+WITH {LABEL_SQL} SELECT source, COUNT(*) AS processed, COUNT(*) FILTER (label = 'NUEVA') AS imported, COUNT(*) FILTER (label LIKE 'DUPLICADA%') AS duplicates FROM lab GROUP BY source""")
+def write_reports_json(t):
+    path = new_path(t.spark, "reports")
+    reports = labelled(t).groupBy("source").agg(F.struct(
+        F.count(F.lit(1)).alias("processed"), F.count_if(F.col("label") == "NUEVA").alias("imported"),
+        F.count_if(F.col("label").startswith("DUPLICADA")).alias("duplicates")).alias("summary"))
+    writers.write_reports(reports, path, "source")
+    schema = "summary struct<processed: bigint, imported: bigint, duplicates: bigint>, source string"
+    return t.spark.read.schema(schema).json(path).select("source", "summary.*")
+
+
+@query("write_cost_log", """
+SELECT event_type AS model, COUNT(*) AS calls, round(SUM(floor(value * 100) * 0.75 / 1000000), 6) AS cost FROM events GROUP BY event_type""")
+def write_cost_log(t):
+    path = new_path(t.spark, "costs")
+    costs = t.events.select(
+        F.col("event_type").alias("model"),
+        call_cost(F.floor(F.col("value") * 100), F.lit(0), F.lit(0.75), F.lit(4.5)).alias("cost"))
+    recent = F.col("model").isin("click", "view")
+    writers.append_cost_log(costs.filter(recent), path)
+    writers.append_cost_log(costs.filter(~recent), path)
+    log = t.spark.read.schema("model string, cost double").option("header", True).csv(path)
+    return log.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("cost"), 6).alias("cost"))
+
+
+@query("stream_import", f"WITH {FP_SQL} SELECT fp, MIN(doc_id) AS doc_id FROM fp GROUP BY fp")
+def stream_import(t):
+    root = new_path(t.spark, "stream")
+    inbox, bank = f"{root}/inbox", f"{root}/bank"
+    schema = "doc_id bigint, fp string"
+    # two drops of files: the second one repeats texts of the first
+    rows = t.documents.select("doc_id", "text")
+    split = F.col("doc_id") < t.documents.agg(F.percentile_approx("doc_id", 0.5)).scalar()
+    source = lambda: t.spark.readStream.schema("doc_id bigint, text string").parquet(inbox)
+    jobs.create_bank(t.spark, bank, schema)
+    for drop in (rows.filter(split), rows.filter(~split)):
+        drop.write.mode("append").parquet(inbox)
+        jobs.import_stream(
+            source(), bank, f"{root}/checkpoint", key="fp", order="doc_id", schema=schema,
+            prepare=lambda b: b.select("doc_id", F.sha2(strip(F.col("text")), 256).alias("fp")),
+        ).awaitTermination()
+    return t.spark.read.schema(f"{schema}, batch long").parquet(bank).select("fp", "doc_id")
+
+
+@query("stream_classify_pending", """
+SELECT doc_id, CASE WHEN source IN (SELECT DISTINCT source FROM documents WHERE contains(source, 'src1')) THEN 'VALIDADA' ELSE 'RECHAZADA' END AS state FROM documents""")
+def stream_classify_pending(t):
+    root = new_path(t.spark, "pending")
+    t.documents.select("doc_id", "source").write.parquet(f"{root}/inbox")
+    allowed = allowed_sources(t).withColumn("ok", F.lit(True))
+    stream = t.spark.readStream.schema("doc_id bigint, source string").parquet(f"{root}/inbox")
+
+    def classify(batch):
+        return batch.join(allowed, "source", "left").select(
+            "doc_id", F.when(F.col("ok"), "VALIDADA").otherwise("RECHAZADA").alias("state"))
+
+    jobs.classify_stream(stream, f"{root}/out", f"{root}/checkpoint", classify).awaitTermination()
+    return t.spark.read.schema("doc_id bigint, state string, batch long").parquet(f"{root}/out").select("doc_id", "state")
+
+

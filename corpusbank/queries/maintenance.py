@@ -1 +1,258 @@
-"""Placeholder."""
+"""Duplicates, import labels, upserts, constraints and bank maintenance."""
+
+from pyspark.sql import functions as F
+
+from corpusbank.functions.text import strip
+from corpusbank.operators import dedup
+from corpusbank.operators import maintenance as mt
+from corpusbank.plans import bank as plans
+from corpusbank.queries.items import ERROR_SQL, RAW_SQL, raw_questions
+from corpusbank.queries.joins import CACHE_SQL, DIM_SQL, EXPLAIN_SQL, dimensions, explained_items, explanation_cache
+from corpusbank.queries.registry import query
+from corpusbank.queries.text import strip_sql
+
+FP_SQL = f"fp AS (SELECT doc_id, source, lang, sha256({strip_sql('text')}) AS fp FROM documents)"
+
+
+def hashed(t):
+    """(doc_id, source, lang, fp): fingerprint of the stripped text."""
+    return t.documents.select("doc_id", "source", "lang", F.sha2(strip(F.col("text")), 256).alias("fp"))
+
+
+@query("fingerprint_first_id", f"WITH {FP_SQL} SELECT fp, MIN(doc_id) AS first_id FROM fp GROUP BY fp")
+def fingerprint_first_id(t):
+    return dedup.first_ids(hashed(t), "fp", "doc_id")
+
+
+@query("dedup_first", f"""
+WITH {FP_SQL} SELECT doc_id, source, fp FROM fp WHERE doc_id IN (SELECT MIN(doc_id) FROM fp GROUP BY fp)""")
+def dedup_first(t):
+    return dedup.first_by_key(hashed(t), ["fp"], "doc_id").select("doc_id", "source", "fp")
+
+
+# the labelled documents are the stored ones
+@query("incremental_ingest", f"""
+WITH {FP_SQL} SELECT doc_id, fp FROM fp WHERE fp NOT IN (SELECT fp FROM fp JOIN labels USING (doc_id))""")
+def incremental_ingest(t):
+    known = hashed(t).join(t.labels, "doc_id", "left_semi").select("fp").distinct()
+    return dedup.unseen(hashed(t), known, "fp").select("doc_id", "fp")
+
+
+LABEL_SQL = FP_SQL + """,
+stored AS (SELECT fp, MIN(doc_id) AS first_id FROM fp JOIN labels USING (doc_id) GROUP BY fp),
+e AS (SELECT fp.*, CASE WHEN doc_id % 11 = 3 THEN 'vacío' END AS error FROM fp),
+b AS (SELECT source, fp, MIN(doc_id) AS doc_id FROM e WHERE error IS NULL GROUP BY ALL),
+lab AS (SELECT e.doc_id, e.source, e.lang, CASE WHEN error IS NOT NULL THEN 'ERROR_EXTRACCION' WHEN first_id IS NOT NULL THEN 'DUPLICADA_BD' WHEN b.doc_id IS NOT NULL THEN 'NUEVA' ELSE 'DUPLICADA_LOTE' END AS label,
+  CASE WHEN error IS NULL THEN first_id END AS existing_id FROM e LEFT JOIN stored USING (fp) LEFT JOIN b ON b.doc_id = e.doc_id)"""
+
+
+def labelled(t):
+    rows = hashed(t).withColumn("error", F.when(F.col("doc_id") % 11 == 3, "vacío"))
+    stored = dedup.first_ids(hashed(t).join(t.labels, "doc_id", "left_semi"), "fp", "doc_id")
+    return dedup.label_import(rows, stored, order="doc_id", key="fp", error="error", batch=["source"])
+
+
+@query("three_way_split", f"WITH {LABEL_SQL} SELECT doc_id, source, label, existing_id FROM lab")
+def three_way_split(t):
+    return labelled(t).select("doc_id", "source", "label", "existing_id")
+
+
+@query("import_summary", f"""
+WITH {LABEL_SQL} SELECT source, COUNT(*) AS processed, COUNT(*) FILTER (label = 'NUEVA') AS imported, COUNT(*) FILTER (label = 'ERROR_EXTRACCION') AS errors,
+ COUNT(*) FILTER (label LIKE 'DUPLICADA%') AS duplicates, COUNT(*) FILTER (label = 'NUEVA' AND lang = 'en') AS validated,
+ COUNT(*) FILTER (label = 'NUEVA' AND lang = 'fr') AS review, COUNT(*) FILTER (label = 'NUEVA' AND lang NOT IN ('en', 'fr')) AS rejected FROM lab GROUP BY source""")
+def import_summary(t):
+    state = F.when(F.col("lang") == "en", "VALIDADA").when(F.col("lang") == "fr", "A_REVISAR").otherwise("RECHAZADA")
+    return dedup.import_summary(labelled(t), ["source"], state)
+
+
+@query("ingest_change_state", """
+WITH st AS (SELECT doc_id, CASE WHEN quality = 0 THEN ' ' ELSE text END AS text, CASE WHEN toxic = 1 THEN 'otro' ELSE md5(text) END AS hash FROM documents JOIN labels USING (doc_id))
+SELECT d.doc_id, CASE WHEN st.doc_id IS NULL THEN 'NUEVO' WHEN trim(st.text) = '' THEN 'SIN_TEXTO' ELSE 'MODIFICADO' END AS state
+FROM documents d LEFT JOIN st USING (doc_id) WHERE st.doc_id IS NULL OR trim(st.text) = '' OR md5(d.text) <> st.hash""")
+def ingest_change_state(t):
+    configured = t.documents.select("doc_id", F.md5("text").alias("hash"))
+    stored = t.documents.join(t.labels, "doc_id").select(
+        "doc_id", F.when(F.col("quality") == 0, " ").otherwise(F.col("text")).alias("text"),
+        F.when(F.col("toxic") == 1, "otro").otherwise(F.md5("text")).alias("hash"))
+    return dedup.change_state(configured, stored, "doc_id", force=True)
+
+
+# stored questions: the large parts; every part is imported again, two sizes per batch
+IMPORT_SQL = RAW_SQL + f""",
+e AS (SELECT *, {ERROR_SQL} AS error, CAST(p_partkey // 500 AS BIGINT) AS batch FROM raw),
+h AS (SELECT *, CASE WHEN error IS NULL THEN sha256(trim(stem) || chr(10) || trim(a) || chr(10) || trim(b) || chr(10) || trim(c) || chr(10) || trim(d)) END AS fp FROM e),
+sto AS (SELECT fp, MIN(p_partkey) AS first_id FROM h WHERE p_type = 'SMALL' GROUP BY fp),
+f AS (SELECT batch, fp, MIN(p_partkey) AS pos FROM h WHERE error IS NULL GROUP BY ALL),
+imp AS (SELECT h.p_partkey AS pos, h.batch, error, CASE WHEN error IS NOT NULL THEN 'ERROR_EXTRACCION' WHEN sto.fp IS NOT NULL THEN 'DUPLICADA_BD' WHEN f.pos IS NOT NULL THEN 'NUEVA' ELSE 'DUPLICADA_LOTE' END AS label,
+  first_id AS existing_id FROM h LEFT JOIN sto USING (fp) LEFT JOIN f ON f.pos = h.p_partkey)"""
+
+
+def import_rows(t):
+    raw = raw_questions(t).withColumnRenamed("p_partkey", "pos").withColumn(
+        "batch", F.floor(F.col("pos") / 500))
+    small = raw.filter("p_type = 'SMALL'")
+    stored = plans.with_fingerprint(small).select(F.col("pos").alias("id"), "fp")
+    return plans.label_questions(raw, stored, ["batch"])
+
+
+@query("import_questions", f"WITH {IMPORT_SQL} SELECT pos, batch, error, label, existing_id FROM imp")
+def import_questions(t):
+    return import_rows(t).select("pos", "batch", "error", "label", "existing_id")
+
+
+OLD_NEW_SQL = """old AS (SELECT o_custkey, MAX(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS price FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey),
+new AS (SELECT o_custkey, o_orderkey, o_totalprice AS price FROM orders WHERE o_orderstatus = 'O')"""
+
+
+def old_new(t):
+    """Stored rows (one per customer) and incoming rows (several per customer)."""
+    price = F.col("o_totalprice").alias("price")
+    old = t.orders.filter("o_orderstatus = 'F'").groupBy("o_custkey").agg(
+        F.max_by(F.struct("o_orderkey", price), "o_orderkey").alias("r")).select("o_custkey", "r.*")
+    new = t.orders.filter("o_orderstatus = 'O'").select("o_custkey", "o_orderkey", price)
+    return old, new
+
+
+@query("upsert_latest", f"""
+WITH {OLD_NEW_SQL}, l AS (SELECT o_custkey, MAX(o_orderkey) AS o_orderkey, arg_max(price, o_orderkey) AS price FROM new GROUP BY o_custkey)
+SELECT * FROM l UNION ALL SELECT * FROM old WHERE o_custkey NOT IN (SELECT o_custkey FROM l)""")
+def upsert_latest(t):
+    old, new = old_new(t)
+    return mt.upsert(old, new, ["o_custkey"], "o_orderkey")
+
+
+@query("upsert_evaluation", """
+SELECT user_id, event_type, arg_max(event_id, event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type""")
+def upsert_evaluation(t):
+    rows = t.events.select("user_id", "event_type", "event_id", "value")
+    middle = t.events.agg(F.percentile_approx("event_id", 0.5)).scalar()
+    old = rows.filter(F.col("event_id") <= middle).groupBy("user_id", "event_type").agg(
+        F.max_by(F.struct("event_id", "value"), "event_id").alias("r")).select("user_id", "event_type", "r.*")
+    return mt.upsert(old, rows.filter(F.col("event_id") > middle), ["user_id", "event_type"], "event_id")
+
+
+@query("insert_ignore", f"""
+WITH {OLD_NEW_SQL}, f AS (SELECT o_custkey, MIN(o_orderkey) AS k FROM new WHERE o_custkey NOT IN (SELECT o_custkey FROM old) GROUP BY o_custkey)
+SELECT new.o_custkey, o_orderkey, price, CASE WHEN k IS NOT NULL THEN 'inserted' ELSE 'existing' END AS status FROM new LEFT JOIN f ON k = o_orderkey""")
+def insert_ignore(t):
+    old, new = old_new(t)
+    return mt.insert_ignore(old, new, ["o_custkey"], "o_orderkey").select("o_custkey", "o_orderkey", "price", "status")
+
+
+@query("replace_by_key", """
+SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'O'
+UNION ALL SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')""")
+def replace_by_key(t):
+    rows = t.orders.select("o_custkey", "o_orderkey", "o_orderstatus")
+    return mt.replace_children(
+        rows.filter("o_orderstatus = 'F'").drop("o_orderstatus"),
+        rows.filter("o_orderstatus = 'O'").drop("o_orderstatus"), ["o_custkey"])
+
+
+@query("guarded_update", """
+WITH u AS (SELECT l_orderkey AS o_orderkey, MAX(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT o.o_orderkey, CASE WHEN q IS NOT NULL AND o_orderstatus = 'P' THEN 'VALIDADA' ELSE o_orderstatus END AS state,
+  CASE WHEN q IS NOT NULL AND o_orderstatus = 'P' THEN q ELSE o_totalprice END AS confidence, q IS NOT NULL AND o_orderstatus = 'P' AS updated FROM orders o LEFT JOIN u USING (o_orderkey)""")
+def guarded_update(t):
+    updates = t.lineitem.filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.max("l_quantity").alias("confidence")).withColumn("state", F.lit("VALIDADA"))
+    old = t.orders.select("o_orderkey", F.col("o_orderstatus").alias("state"), F.col("o_totalprice").alias("confidence"))
+    return mt.guarded_update(old, updates, "o_orderkey", "state", "P", ["state", "confidence"])
+
+
+@query("cascade_delete", """
+SELECT 'line' AS kind, l_orderkey AS id, COUNT(*) AS n, MIN(l_partkey) AS ref FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '5-LOW') GROUP BY l_orderkey
+UNION ALL SELECT 'order', o_orderkey, 1, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE o_custkey END FROM orders LEFT JOIN customer ON c_custkey = o_custkey""")
+def cascade_delete(t):
+    gone = t.orders.filter("o_orderpriority = '5-LOW'").select(F.col("o_orderkey").alias("l_orderkey"))
+    lines = mt.delete_cascade(t.lineitem, gone, "l_orderkey").groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("n"), F.min("l_partkey").alias("ref"))
+    removed = t.customer.filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    orders = mt.set_null_on_delete(t.orders.select("o_orderkey", "o_custkey"), removed, "o_custkey")
+    return lines.select(F.lit("line").alias("kind"), F.col("l_orderkey").alias("id"), "n", "ref").unionByName(
+        orders.select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"),
+                      F.lit(1).cast("long").alias("n"), F.col("o_custkey").alias("ref")))
+
+
+@query("constraint_checks", """
+SELECT 'unique_line' AS rule, l_orderkey || '|' || l_linenumber AS key, COUNT(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1
+UNION ALL SELECT 'status', o_orderstatus, COUNT(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O') GROUP BY o_orderstatus
+UNION ALL SELECT 'labelled', CAST(doc_id AS VARCHAR), COUNT(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY doc_id""")
+def constraint_checks(t):
+    return mt.all_violations(
+        mt.unique_violations(t.lineitem, ["l_orderkey", "l_linenumber"], "unique_line"),
+        mt.check_violations(t.orders, F.col("o_orderstatus").isin("F", "O"), ["o_orderstatus"], "status"),
+        mt.foreign_key_violations(t.documents, t.labels, ["doc_id"], "labelled"))
+
+
+@query("next_number", """
+SELECT c_custkey, COALESCE(MAX(o_orderkey), 0) + 1 AS next FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') o ON o_custkey = c_custkey GROUP BY c_custkey""")
+def next_number(t):
+    numbers = t.orders.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("number"))
+    return mt.next_numbers(numbers, t.customer, "c_custkey")
+
+
+EVAL_SQL = """evt AS (SELECT event_id AS question_id, user_id % 20 AS call_id, CASE WHEN event_type IN ('click', 'view', 'signup') THEN 'ACEPTADA' ELSE 'A_REVISAR' END AS decision,
+  CASE WHEN event_type = 'view' THEN NULL ELSE user_id % 4 END AS part_id, user_id % 9 AS topic_id, substr('ABCDE', CAST(event_id % 5 AS INTEGER) + 1, 1) AS answer, event_id % 3 > 0 AS complete FROM events)"""
+
+
+@query("rebuild_bank", f"""
+WITH {EVAL_SQL}, a AS (SELECT * FROM evt WHERE decision = 'ACEPTADA' AND part_id IS NOT NULL AND topic_id IS NOT NULL AND answer IN ('A', 'B', 'C', 'D')),
+c AS (SELECT DISTINCT user_id % 20 AS call_id FROM events WHERE event_type = 'purchase'),
+d AS (SELECT l_suppkey % 20 AS call_id, COUNT(*) AS deleted FROM lineitem GROUP BY 1), m AS (SELECT call_id, COUNT(*) AS accepted, COUNT(*) FILTER (complete) AS inserted FROM a GROUP BY 1)
+SELECT call_id, coalesce(deleted, 0) AS deleted, coalesce(accepted, 0) AS accepted, coalesce(inserted, 0) AS inserted, coalesce(accepted, 0) - coalesce(inserted, 0) AS skipped
+FROM c LEFT JOIN d USING (call_id) LEFT JOIN m USING (call_id)""")
+def rebuild_bank(t):
+    e = F.col("event_type")
+    evaluations = t.events.select(
+        F.col("event_id").alias("question_id"), (F.col("user_id") % 20).alias("call_id"),
+        F.when(e.isin("click", "view", "signup"), "ACEPTADA").otherwise("A_REVISAR").alias("decision"),
+        F.when(e != "view", F.col("user_id") % 4).alias("part_id"), (F.col("user_id") % 9).alias("topic_id"))
+    abcd = F.create_map(*[F.lit(x) for x in ("A", "1", "B", "2", "C", "3", "D", "4")])
+    three = F.create_map(*[F.lit(x) for x in ("A", "1", "B", "2", "C", "3")])
+    questions = t.events.select(
+        F.col("event_id").alias("question_id"),
+        F.substring(F.lit("ABCDE"), (F.col("event_id") % 5).cast("int") + 1, F.lit(1)).alias("answer"),
+        F.when(F.col("event_id") % 3 > 0, abcd).otherwise(three).alias("options"))
+    bank = t.lineitem.select((F.col("l_suppkey") % 20).alias("call_id"))
+    calls = t.events.filter("event_type = 'purchase'").select((F.col("user_id") % 20).alias("call_id")).distinct()
+    return plans.rebuild_bank(bank, plans.accepted_bank(evaluations, questions), calls)
+
+
+@query("bank_migration", f"""
+WITH {DIM_SQL}, q AS (SELECT o_orderkey AS question_id, c_nationkey AS call, c_mktsegment AS part, CAST(c_custkey % 10 AS INTEGER) AS number, o_orderpriority <> '4-NOT SPECIFIED' AS complete
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P' AND o_orderpriority <> '5-LOW'),
+r AS (SELECT question_id, q.call, CAST(parts.part_id AS BIGINT) AS part_id, topic_id, complete FROM q LEFT JOIN parts USING (call, part) LEFT JOIN topics ON topics.call = q.call AND topics.part_id = parts.part_id AND topics.number = q.number)
+SELECT question_id, r.call, part_id, topic_id, CASE WHEN topic_id IS NULL THEN 'unresolved' WHEN NOT complete THEN 'skipped' WHEN b.k IS NOT NULL THEN 'existing' ELSE 'inserted' END AS status
+FROM r LEFT JOIN (SELECT DISTINCT o_orderkey AS k FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 49) b ON b.k = question_id""")
+def bank_migration(t):
+    parts, topics = dimensions(t)
+    p = F.col("o_orderpriority")
+    abcd = F.create_map(*[F.lit(x) for x in ("A", "1", "B", "2", "C", "3", "D", "4")])
+    blank = F.create_map(*[F.lit(x) for x in ("A", "1", "B", "2", "C", "3", "D", " ")])
+    questions = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("question_id"), F.col("c_nationkey").alias("call"),
+        F.col("c_mktsegment").alias("part"), (F.col("c_custkey") % 10).cast("int").alias("number"),
+        F.when(F.col("o_orderstatus") != "P", "VALIDADA").otherwise("A_REVISAR").alias("state"),
+        F.lit("GENERAL").alias("qtype"), F.when(p != "5-LOW", " c ").alias("answer"),
+        F.when(p == "4-NOT SPECIFIED", blank).otherwise(abcd).alias("options"))
+    stored = t.lineitem.filter("l_quantity > 49").select(F.col("l_orderkey").alias("question_id")).distinct()
+    bank = questions.join(stored, "question_id", "left_semi").select("question_id", "call")
+    return plans.migrate_bank(questions, bank, parts, topics)
+
+
+@query("explanation_enrichment", f"""
+WITH {CACHE_SQL}, x AS ({EXPLAIN_SQL}), need AS (SELECT DISTINCT fp FROM x WHERE source = 'needed'),
+gen AS (SELECT md5(p_name || p_brand) AS fp, MAX(p_partkey) AS mx FROM part WHERE p_type = 'ECONOMY' GROUP BY 1)
+SELECT fp, 'g' || mx AS short, 'G' AS long FROM gen WHERE fp IN (SELECT fp FROM need) UNION ALL SELECT fp, short, long FROM cache""")
+def explanation_enrichment(t):
+    generated = t.part.filter("p_type = 'ECONOMY'").select(
+        F.md5(F.concat("p_name", "p_brand")).alias("fp"),
+        F.concat(F.lit("g"), F.col("p_partkey").cast("string")).alias("short"), F.lit("G").alias("long"),
+        F.col("p_partkey").alias("at"))
+    _, cache = plans.enrich_explanations(
+        explained_items(t), explanation_cache(t), generated, key="fp", fragment="fragment_id", fallback="justification")
+    return cache.select("fp", "short", "long")
+
+
