@@ -35,8 +35,9 @@ def normalize_accents(c: Column) -> Column:
     Exact for precomposed Latin letters; combining marks are removed too.  Use
     :func:`fold_any_script` where other scripts have to be folded.
     """
-    folded = F.translate(F.lower(F.coalesce(c, F.lit(""))), _FOLD_FROM, _FOLD_TO)
-    return F.regexp_replace(folded, "\\p{Mn}+", "")
+    text = F.lower(F.coalesce(c, F.lit("")))
+    folded = F.regexp_replace(F.translate(text, _FOLD_FROM, _FOLD_TO), "\\p{Mn}+", "")
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(folded)  # ASCII: as is
 
 
 @F.pandas_udf(StringType())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusbank.functions.citation import coverage_expression, expand_ranges
 from corpusbank.functions.text import let, normalize_spaces, slugify
-from corpusbank.session import fits
+from corpusbank.session import fits, stage
 
 SMALL_CATALOGUE = 256
 
@@ -68,18 +68,18 @@ def contained_codes(texts: DataFrame, key: str, text: str, aliases: DataFrame, *
             F.filter("_aliases", lambda e: F.contains(norm, e["alias"])), lambda e: e["code"]))
         return texts.withColumn("_aliases", bundle).withColumn(
             "codes", F.sort_array(F.array_distinct(hits))).drop("_aliases")
-    if whole_words:
-        def grams(c):
+    def grams(c):
+        if whole_words:
             return F.split(c, " ")
-
-        anchor = F.array_max(F.transform(
-            grams(F.col("alias")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    else:
-        def grams(c):
-            return F.regexp_extract_all(c, F.lit("(?s)(?=(.{3}))"), F.lit(1))
-
-        anchor = F.left(F.col("alias"), F.lit(3))
-    anchored = entries.withColumn("anchor", anchor)
+        return F.regexp_extract_all(c, F.lit("(?s)(?=(.{3}))"), F.lit(1))
+
+    # anchor of an alias: its rarest word (trigram) in the catalogue, so that few aliases
+    # share one
+    grammed = entries.select(
+        "code", "alias", F.explode(F.array_distinct(grams(F.col("alias")))).alias("anchor"))
+    shared = grammed.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"))
+    anchored = stage(grammed.join(shared, "anchor").groupBy("code", "alias").agg(F.min_by(
+        "anchor", F.struct("_n", -F.length("anchor"), "anchor")).alias("anchor")), "anchors")
     normal = texts.select(key, form(F.col(text)).alias("_norm"))
     candidates = (
         normal.select(key, F.explode(F.array_distinct(grams(F.col("_norm")))).alias("anchor"))
@@ -122,14 +122,34 @@ def covered_norms(coverage: DataFrame) -> DataFrame:
         "norm", "part", "topic").distinct()
 
 
+def indexed_topics(coverage: DataFrame) -> DataFrame:
+    """(norm, article, part, topic) of every indexed article, without repeats.
+
+    Documents that cover the whole norm add their topics to each of its indexed articles.
+    """
+    indexed = covered_articles(coverage)
+    full = covered_norms(coverage)
+    return indexed.unionByName(
+        indexed.select("norm", "article").distinct().join(full, "norm")
+        .select("norm", "article", "part", "topic")
+    ).distinct()
+
+
 def coverage_join(citations: DataFrame, coverage: DataFrame, include_full: bool = True
                   ) -> DataFrame:
-    """Citations (norm, article, ..) with every covering (part, topic), without repeats."""
-    by_article = citations.join(covered_articles(coverage), ["norm", "article"])
+    """Citations (norm, article, ..) with every covering (part, topic), without repeats.
+
+    Repeats are removed on the small lookup tables, which are staged so that the planner
+    knows their size; the citations are not shuffled when those fit a broadcast.
+    """
+    on = ["norm", "article"]
     if not include_full:
-        return by_article
-    by_norm = citations.join(covered_norms(coverage), "norm")
-    return by_article.unionByName(by_norm.select(by_article.columns)).dropDuplicates()
+        return citations.join(stage(covered_articles(coverage), "covered-articles"), on)
+    indexed = stage(indexed_topics(coverage), "indexed-topics")
+    norms = stage(covered_norms(coverage), "covered-norms")
+    by_article = citations.join(indexed, on)
+    by_norm = citations.join(indexed.select(on), on, "left_anti").join(norms, "norm")
+    return by_article.unionByName(by_norm.select(by_article.columns))
 
 
 def article_topics(coverage: DataFrame) -> DataFrame:
@@ -138,13 +158,7 @@ def article_topics(coverage: DataFrame) -> DataFrame:
     Documents that cover the whole norm add their topics to every indexed article; part
     and topic are given only when there is exactly one.
     """
-    indexed = covered_articles(coverage)
-    full = covered_norms(coverage)
-    everything = indexed.unionByName(
-        indexed.select("norm", "article").distinct().join(full, "norm")
-        .select("norm", "article", "part", "topic")
-    ).distinct()
-    return everything.groupBy("norm", "article").agg(*_topic_summary())
+    return indexed_topics(coverage).groupBy("norm", "article").agg(*_topic_summary())
 
 
 def norm_topics(coverage: DataFrame) -> DataFrame:

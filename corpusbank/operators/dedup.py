@@ -39,8 +39,11 @@ def label_import(records: DataFrame, existing: DataFrame, *, order: str, key: st
         good.groupBy(*batch, key).agg(F.min(order).alias(order))
         .select(order, F.lit(True).alias("_first"))
     )
-    marked = records.join(firsts, order, "left").join(
-        existing.select(key, F.col(existing_id).alias("existing_id")), key, "left"
+    # records without a key get one of their own: nulls would all meet in one task
+    own = F.coalesce(F.col(key), F.concat(F.lit("-"), F.col(order).cast("string")))
+    marked = records.withColumn("_key", own).join(firsts, order, "left").join(
+        existing.select(F.col(key).alias("_key"), F.col(existing_id).alias("existing_id")),
+        "_key", "left",
     )
     label = (
         F.when(F.col(error).isNotNull(), "ERROR_EXTRACCION")
@@ -50,7 +53,7 @@ def label_import(records: DataFrame, existing: DataFrame, *, order: str, key: st
     )
     return marked.withColumn("label", label).withColumn(
         "existing_id", F.when(F.col("label") == "DUPLICADA_BD", F.col("existing_id"))
-    ).drop("_first")
+    ).drop("_first", "_key")
 
 
 def import_summary(labelled: DataFrame, batch: list[str], state: Column) -> DataFrame:

@@ -30,7 +30,7 @@ def scan_catalog(t):
         F.concat(F.lit(" "), norm_code()).alias("codigo"),
         F.concat(F.lit("Título "), F.col("s_name")).alias("titulo_oficial"),
         F.lit(None).cast("string").alias("titulo_corto"), F.lit("Ley").alias("tipo"))
-    blank = t.nation.select(F.lit(" ").alias("codigo"), F.col("n_name").alias("titulo_oficial"),
+    blank = t.nation.select(F.lit(None).cast("string").alias("codigo"), F.col("n_name").alias("titulo_oficial"),
                             F.lit("x").alias("titulo_corto"), F.lit("Ley").alias("tipo"))
     rows.unionByName(blank).write.option("sep", ";").option("header", True).option(
         "ignoreLeadingWhiteSpace", False).csv(path)
