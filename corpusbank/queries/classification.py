@@ -11,7 +11,7 @@ from corpusbank.queries.coverage import COV_SQL, coverage_table
 from corpusbank.queries.registry import query
 from corpusbank.queries.search import ALLOWED_SQL, allowed_sources, bm25_sql, candidates
 from corpusbank.queries.text import PRACTICAL_SQL
-from corpusbank.session import stage
+from corpusbank.session import spread, stage
 
 ALIASES_SQL = """ali AS (SELECT DISTINCT norm AS code, 'norma ' || lower(norm) AS alias FROM doc
   UNION SELECT DISTINCT 'Z' || (s_suppkey // 2), 'norma z' || (s_suppkey // 2) FROM supplier)"""
@@ -40,7 +40,7 @@ def footers(t):
     n, day = F.floor(F.col("o_custkey") / 30), F.dayofmonth("o_orderdate").cast("string")
     ns, nxt = n.cast("string"), (n + 1).cast("string")
     p, s = F.col("o_orderpriority"), F.col("o_orderstatus")
-    return t.orders.select(
+    return spread(t.orders).select(
         "o_orderkey",
         F.when(p == "1-URGENT", F.concat(F.lit("La Norma S"), ns, F.lit(" vigente")))
         .when(p == "4-NOT SPECIFIED", F.concat(F.lit("norma Z"), ns))
@@ -95,7 +95,7 @@ def statements(t):
     """(o_orderkey, x): question statements with and without citations, one per order."""
     n, day = F.floor(F.col("o_custkey") / 30).cast("string"), F.dayofmonth("o_orderdate").cast("string")
     p = F.col("o_orderpriority")
-    return t.orders.select("o_orderkey", F.when(
+    return spread(t.orders).select("o_orderkey", F.when(
         p == "1-URGENT", F.concat(F.lit("Según el artículo "), day, F.lit(" de la norma S"), n, F.lit("...")))
         .when((p == "2-HIGH") & (F.col("o_orderstatus") == "F"),
               F.concat(F.lit("La norma S"), n, F.lit(" y la norma Z"), n))
