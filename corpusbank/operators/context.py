@@ -9,21 +9,25 @@ from corpusbank.constants import BATCH_ITEMS, CONTEXT_CHARS
 from corpusbank.operators.ranking import row_numbers, running_sum
 
 
-def context_budget(blocks: DataFrame, topic: list[str], order: list[str], bucket: Column,
-                   text: str, budget: int = CONTEXT_CHARS) -> DataFrame:
-    """(topic.., context): blocks joined by new lines in order, cut at ``budget`` characters.
-
-    A bucketed running length drops every block that starts beyond the budget before
-    anything is collected, so a topic collects at most ``budget`` characters plus one block.
-    ``text`` must not be empty.
+def context_budget(docs: DataFrame, topic: list[str], doc: str, bucket: Column, blocks: Column,
+                   budget: int = CONTEXT_CHARS) -> DataFrame:
+    """(topic.., context): blocks of the documents joined by new lines, cut at ``budget``.
+
+    ``blocks`` is an array of non-empty texts per document, ``doc`` the unique document key
+    that orders them.  Only the lengths of the documents are shuffled: a bucketed running
+    length finds the documents that start within the budget, and just their texts are
+    joined and collected (every one uses up part of the budget).
     """
-    sized = running_sum(blocks, topic, [F.col(c) for c in order], bucket,
-                        F.length(text) + F.lit(1), "_end")
-    kept = sized.filter(F.col("_end") - F.length(text) - 1 < budget)
-    entry = F.struct(*order, F.left(F.col(text), F.lit(budget)).alias("_t"))
-    joined = F.array_join(
-        F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["_t"]), "\n")
-    return kept.groupBy(*topic).agg(F.left(joined, F.lit(budget)).alias("context"))
+    size = F.aggregate(blocks, F.lit(0), lambda total, b: total + F.length(b) + F.lit(1))
+    sized = running_sum(
+        docs.select(*topic, doc, size.alias("_size")).filter("_size > 0"), topic, [F.col(doc)],
+        bucket, F.col("_size"), "_end")
+    within = sized.filter(F.col("_end") - F.col("_size") < budget).select(doc)
+    texts = docs.join(within, doc, "left_semi").select(
+        *topic, doc, F.left(F.array_join(blocks, "\n"), F.lit(budget)).alias("_t"))
+    joined = F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct(doc, "_t"))), lambda s: s["_t"]), "\n")
+    return texts.groupBy(*topic).agg(F.left(joined, F.lit(budget)).alias("context"))
 
 
 def fixed_batches(df: DataFrame, order: list[Column], bucket: Column, size: int = BATCH_ITEMS,

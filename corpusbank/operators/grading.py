@@ -119,3 +119,10 @@ def length_profile(items: DataFrame, klass: str, text: str) -> DataFrame:
     return items.groupBy(klass).agg(
         F.count(F.lit(1)).alias("items"), F.avg(n).alias("avg_len"), F.min(n).alias("min_len"),
         F.max(n).alias("max_len"))
+
+
+def feature_examples(items: DataFrame, klass: str, key: str, flags: dict[str, Column]
+                     ) -> DataFrame:
+    """(class, feature, key): the items that show each feature, one row per example."""
+    shown = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in flags.items()]))
+    return items.select(klass, F.explode(shown).alias("feature"), key)

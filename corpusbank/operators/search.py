@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from corpusbank.constants import BM25_B, BM25_K1, CANDIDATES, STOP_WORDS
 from corpusbank.functions.text import strip, tokens
 from corpusbank.operators.ranking import top_k
-from corpusbank.session import stage
+from corpusbank.session import fits, stage
 
+MAX_VOCABULARY = 1_000_000
 DOC_ROW = ""  # pseudo token: one posting per document, also for documents without tokens
 
 
@@ -94,6 +95,19 @@ def bm25_scores(posts: DataFrame, terms: DataFrame, doc_id: str, query_id: str,
     )
 
 
+def prune_postings(posts: DataFrame, terms: DataFrame) -> DataFrame:
+    """Postings of the query vocabulary (and the document rows).
+
+    A vocabulary of checked size is broadcast.  A larger one covers most of the corpus
+    anyway: then everything is kept rather than shuffling the whole corpus to drop little.
+    """
+    vocabulary = terms.select("tok").distinct()
+    if not fits(vocabulary, MAX_VOCABULARY):
+        return posts
+    doc_row = posts.sparkSession.range(1).select(F.lit(DOC_ROW).alias("tok"))
+    return posts.join(F.broadcast(vocabulary.unionByName(doc_row)), "tok", "left_semi")
+
+
 def bm25_topk(corpus: DataFrame, queries: DataFrame, *, doc_id: str, text: str, query_id: str,
               query_text: str, k: int = CANDIDATES, part: list[str] | None = None,
               stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
@@ -104,14 +118,9 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, *, doc_id: str, text: str,
     gives no rows.  Ties keep the order of the document ids.
     """
     part = part or []
-    terms = query_terms(queries, query_id, query_text, part, stop_words)
-    vocabulary = terms.select("tok").distinct().unionByName(
-        queries.select(F.lit(DOC_ROW).alias("tok")).limit(1)
-    )
+    terms = stage(query_terms(queries, query_id, query_text, part, stop_words), "query-terms")
     posts = stage(
-        postings(corpus, doc_id, text, part, stop_words).join(vocabulary, "tok", "left_semi"),
-        "postings",
-    )
+        prune_postings(postings(corpus, doc_id, text, part, stop_words), terms), "postings")
     scores = bm25_scores(posts, terms, doc_id, query_id, part)
     return top_k(scores, [query_id], [F.col("score").desc(), F.col(doc_id)], k, "rank")
 

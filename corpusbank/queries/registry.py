@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusbank.session import spread
 
@@ -41,5 +42,10 @@ class Tables:
         return spread(df) if name in TEXT_TABLES else df
 
     def values(self, rows: list[tuple], schema: str) -> DataFrame:
-        """A small literal table (targets, overrides, price list)."""
-        return self.spark.createDataFrame(rows, schema)
+        """A small literal table (targets, overrides, price list) of known size."""
+        fields = [field.split() for field in schema.split(",")]
+        structs = [
+            F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, fields)])
+            for row in rows
+        ]
+        return self.spark.range(1).select(F.inline(F.array(*structs)))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from corpusbank.functions.text import let
 from corpusbank.operators import segment
 from corpusbank.operators.context import context_budget
 from corpusbank.operators.joins import explode_options as explode_option_map
@@ -154,10 +155,9 @@ def context_budget_query(t):
     header = F.concat(
         F.lit("\n" + "=" * 70 + "\nDOCUMENTO: "), F.col("source"), F.lit("-"),
         F.col("doc_id").cast("string"), F.lit("\n" + "=" * 70))
-    parts = F.transform("f", lambda f: F.concat(F.lit("\n["), f["reference"], F.lit("]\n"), f["text"]))
     fallback = F.when(F.col("text") != "", F.array(F.concat(F.lit("\n"), F.col("text")))).otherwise(
         F.array().cast("array<string>"))
-    blocks = t.documents.withColumn("f", fragments).select(
-        "source", "doc_id", F.posexplode(F.concat(
-            F.array(header), F.when(F.size("f") > 0, parts).otherwise(fallback))).alias("ord", "block"))
-    return context_budget(blocks, ["source"], ["doc_id", "ord"], id_bucket(F.col("doc_id"), 256), "block")
+    blocks = let(fragments, lambda found: F.concat(F.array(header), F.when(
+        F.size(found) > 0, F.transform(found, lambda f: F.concat(
+            F.lit("\n["), f["reference"], F.lit("]\n"), f["text"]))).otherwise(fallback)))
+    return context_budget(t.documents, ["source"], "doc_id", id_bucket(F.col("doc_id"), 256), blocks)

@@ -41,8 +41,9 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the work folder."""
-    return os.path.join(work_dir(spark), "corpusbank", f"{label}-{uuid.uuid4().hex}")
+    """A fresh path below the work folder, grouped by application for later clean-up."""
+    app = spark.sparkContext.applicationId
+    return os.path.join(work_dir(spark), "corpusbank", app, f"{label}-{uuid.uuid4().hex}")
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

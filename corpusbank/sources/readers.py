@@ -132,3 +132,9 @@ def read_hashed_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(
         F.col("path").alias("file"), F.sha2("content", 256).alias("hash"),
         F.col("modificationTime").alias("modified"))
+
+
+def newest_file(files: DataFrame) -> DataFrame:
+    """The most recently modified file (equal times: the last name)."""
+    return files.agg(F.max_by(
+        F.struct("file", "hash", "modified"), F.struct("modified", "file")).alias("f")).select("f.*")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusbank.operators.dedup import first_by_key
+from corpusbank.session import stage
 
 
 def _bank_before(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
@@ -35,9 +36,11 @@ def import_stream(source: DataFrame, bank_path: str, checkpoint: str, *, key: st
     """
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = first_by_key(prepare(batch), [key], order).join(
-            _bank_before(spark, bank_path, schema, batch_id).select(key), key, "left_anti")
-        _write_batch(fresh, bank_path, batch_id)
+        firsts = stage(first_by_key(prepare(batch), [key], order), "batch")
+        # the bank is reduced by the (small, staged) batch first, so it is not shuffled
+        known = _bank_before(spark, bank_path, schema, batch_id).select(key).join(
+            firsts.select(key), key, "left_semi")
+        _write_batch(firsts.join(known, key, "left_anti"), bank_path, batch_id)
 
     return (
         source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)

@@ -264,9 +264,9 @@ def test_labels_identities(spark):
 
 
 def test_context_budget(spark):
-    blocks = [("t", d, o, "ab" * 40) for d in range(300) for o in range(3)] + [("u", 1, 0, "corto")]
-    df = spark.createDataFrame(blocks, "t string, d long, o long, x string")
-    got = {r["t"]: r["context"] for r in context_budget(df, ["t"], ["d", "o"], ranking.id_bucket(F.col("d"), 7), "x", budget=1000).collect()}
+    docs = [("t", d, ["ab" * 40] * 3) for d in range(300)] + [("u", 1000, ["corto"]), ("u", 1001, [])]
+    df = spark.createDataFrame(docs, "t string, d long, x array<string>")
+    got = {r["t"]: r["context"] for r in context_budget(df, ["t"], "d", ranking.id_bucket(F.col("d"), 7), F.col("x"), budget=1000).collect()}
     assert got == {"t": "\n".join("ab" * 40 for _ in range(900))[:1000], "u": "corto"}
 
 
