@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusbank.constants import (
     ARTICLE_SUFFIXES, KIND_PREFIXES, SPECIAL_ALIASES, SPECIAL_PREFIXES,
 )
-from corpusbank.functions.text import normalize_spaces, strip
+from corpusbank.functions.text import let, normalize_spaces, strip
 
 _SUFFIX = "|".join(ARTICLE_SUFFIXES)
 
@@ -94,15 +94,14 @@ def expand_ranges(expression: Column) -> Column:
             p.rlike(rng), F.transform(F.sequence(lo, hi), lambda n: n.cast("string"))
         ).otherwise(F.array(one))
 
-    parts = article_parts(expression)
-    keyed = F.transform(
-        F.array_distinct(F.flatten(F.transform(parts, items))),
-        lambda a: F.struct(
-            F.regexp_extract(a, "^\\d+", 0).try_cast("long").alias("n"), a.alias("a")
-        ),
-    )
-    ordered = F.transform(F.array_sort(keyed), lambda s: s["a"])
-    return F.when(F.forall(parts, valid), ordered)
+    def sorted_items(parts):
+        keyed = F.transform(
+            F.array_distinct(F.flatten(F.transform(parts, items))),
+            lambda a: F.struct(
+                F.regexp_extract(a, "^\\d+", 0).try_cast("long").alias("n"), a.alias("a")))
+        return F.when(F.forall(parts, valid), F.transform(F.sort_array(keyed), lambda s: s["a"]))
+
+    return let(article_parts(expression), sorted_items)
 
 
 def file_stem(name: Column) -> Column:

@@ -110,27 +110,26 @@ def coverage_from_documents(assoc: DataFrame, document: str = "document") -> Dat
         "articles", expand_ranges(expression))
 
 
-def covered_articles(coverage: DataFrame) -> DataFrame:
-    """(norm, article, part, topic): one row per covered article and topic."""
-    return coverage.filter(~F.col("full")).select(
-        "norm", F.explode("articles").alias("article"), "part", "topic").distinct()
+def coverage_pairs(coverage: DataFrame) -> DataFrame:
+    """(norm, article, part, topic) without repeats; article null = the whole norm.
 
-
-def covered_norms(coverage: DataFrame) -> DataFrame:
-    """(norm, part, topic) of the documents that cover their whole norm."""
-    return coverage.filter(F.col("full") & F.col("norm").isNotNull()).select(
-        "norm", "part", "topic").distinct()
+    Staged: the lookups below are then small scans of known size, and the planner
+    broadcasts them exactly when they fit.
+    """
+    article = F.when(F.col("full"), F.array(F.lit(None).cast("string"))).otherwise(
+        F.col("articles"))
+    return stage(coverage.filter("norm IS NOT NULL").select(
+        "norm", F.explode(article).alias("article"), "part", "topic").distinct(), "coverage")
 
 
-def indexed_topics(coverage: DataFrame) -> DataFrame:
+def indexed_topics(pairs: DataFrame) -> DataFrame:
     """(norm, article, part, topic) of every indexed article, without repeats.
 
     Documents that cover the whole norm add their topics to each of its indexed articles.
     """
-    indexed = covered_articles(coverage)
-    full = covered_norms(coverage)
+    indexed, full = pairs.filter("article IS NOT NULL"), pairs.filter("article IS NULL")
     return indexed.unionByName(
-        indexed.select("norm", "article").distinct().join(full, "norm")
+        indexed.select("norm", "article").distinct().join(full.drop("article"), "norm")
         .select("norm", "article", "part", "topic")
     ).distinct()
 
@@ -139,40 +138,41 @@ def coverage_join(citations: DataFrame, coverage: DataFrame, include_full: bool
                   ) -> DataFrame:
     """Citations (norm, article, ..) with every covering (part, topic), without repeats.
 
-    Repeats are removed on the small lookup tables, which are staged so that the planner
-    knows their size; the citations are not shuffled when those fit a broadcast.
+    Repeats are removed on the lookup tables, so the citations are not shuffled when those
+    fit a broadcast.
     """
-    on = ["norm", "article"]
+    on, pairs = ["norm", "article"], coverage_pairs(coverage)
     if not include_full:
-        return citations.join(stage(covered_articles(coverage), "covered-articles"), on)
-    indexed = stage(indexed_topics(coverage), "indexed-topics")
-    norms = stage(covered_norms(coverage), "covered-norms")
+        return citations.join(pairs.filter("article IS NOT NULL"), on)
+    indexed = stage(indexed_topics(pairs), "indexed-topics")
+    norms = pairs.filter("article IS NULL").drop("article")
     by_article = citations.join(indexed, on)
-    by_norm = citations.join(indexed.select(on), on, "left_anti").join(norms, "norm")
+    by_norm = citations.join(pairs.select(on), on, "left_anti").join(norms, "norm")
     return by_article.unionByName(by_norm.select(by_article.columns))
 
 
-def article_topics(coverage: DataFrame) -> DataFrame:
+def article_topics(pairs: DataFrame) -> DataFrame:
     """(norm, article, n_topics, part, topic): one row per indexed article.
 
-    Documents that cover the whole norm add their topics to every indexed article; part
-    and topic are given only when there is exactly one.
+    Part and topic are given only when there is exactly one.
     """
-    return indexed_topics(coverage).groupBy("norm", "article").agg(*_topic_summary())
+    return indexed_topics(pairs).groupBy("norm", "article").agg(
+        *_topic_summary(F.struct("part", "topic"), "n_topics", "part", "topic"))
 
 
-def norm_topics(coverage: DataFrame) -> DataFrame:
-    """(norm, n_full, part, topic) over the documents that cover the whole norm."""
-    return covered_norms(coverage).groupBy("norm").agg(*_topic_summary("n_full"))
+def norm_topics(pairs: DataFrame) -> DataFrame:
+    """(norm, n_full, full_part, full_topic): all norms, with their whole-norm topics."""
+    whole = F.when(F.col("article").isNull(), F.struct("part", "topic"))
+    return pairs.groupBy("norm").agg(
+        *_topic_summary(whole, "n_full", "full_part", "full_topic"))
 
 
-def _topic_summary(count: str = "n_topics") -> list[Column]:
-    key = F.struct("part", "topic")
+def _topic_summary(key: Column, count: str, part: str, topic: str) -> list[Column]:
     single = F.min(key) == F.max(key)
     return [
-        F.count(F.lit(1)).alias(count),
-        F.when(single, F.min("part")).alias("part"),
-        F.when(single, F.min("topic")).alias("topic"),
+        F.count(key).alias(count),
+        F.when(single, F.min(key)["part"]).alias(part),
+        F.when(single, F.min(key)["topic"]).alias(topic),
     ]
 
 
@@ -189,7 +189,8 @@ def prefer_matching(assoc: DataFrame, keys: list[str], match: Column) -> DataFra
 
 def syllabus_stats(topics: DataFrame, coverage: DataFrame) -> DataFrame:
     """One row: parts, topics, documents, norms and indexed articles."""
-    indexed = covered_articles(coverage).select("norm", "article").distinct()
+    indexed = coverage_pairs(coverage).filter("article IS NOT NULL").select(
+        "norm", "article").distinct()
     counts = coverage.agg(
         F.count_distinct("document").alias("documents"), F.count_distinct("norm").alias("norms"))
     return (

@@ -17,20 +17,16 @@ from corpusbank.functions.citation import (
 from corpusbank.functions.features import practical_score
 from corpusbank.functions.text import blank_to_null, normalize_spaces
 from corpusbank.operators.coverage import (
-    article_topics, contained_codes, norm_topics,
+    article_topics, contained_codes, coverage_pairs, norm_topics,
 )
 from corpusbank.operators.verdicts import check_verdicts, resolve_topics
 from corpusbank.session import stage
 
 
 def coverage_index(coverage: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Staged lookup tables: per (norm, article) and per norm (also norms without full docs)."""
-    articles = stage(article_topics(coverage), "coverage-articles")
-    norms = coverage.filter("norm IS NOT NULL").select("norm").distinct().join(
-        norm_topics(coverage), "norm", "left").select(
-        "norm", F.coalesce("n_full", F.lit(0)).alias("n_full"),
-        F.col("part").alias("full_part"), F.col("topic").alias("full_topic"))
-    return articles, stage(norms, "coverage-norms")
+    """Lookup tables of known size: per (norm, article) and per norm."""
+    pairs = coverage_pairs(coverage)
+    return stage(article_topics(pairs), "coverage-articles"), norm_topics(pairs)
 
 
 def _with_topics(rows: DataFrame, index: tuple[DataFrame, DataFrame], include_full: bool
