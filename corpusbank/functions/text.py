@@ -27,6 +27,7 @@ def _latin_fold() -> tuple[str, str]:
 
 
 _FOLD_FROM, _FOLD_TO = _latin_fold()
+_WHITE_SPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
 def normalize_accents(c: Column) -> Column:
@@ -58,8 +59,8 @@ def let(value: Column, body) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Trim any Unicode white space (``trim`` only removes blanks)."""
-    return F.regexp_replace(c, "(?U)^\\s+|\\s+\\z", "")
+    """Trim any Unicode white space (``trim`` only removes blanks); looks at the ends only."""
+    return F.btrim(c, F.lit(_WHITE_SPACE))
 
 
 def blank_to_null(c: Column) -> Column:

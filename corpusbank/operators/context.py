@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusbank.constants import BATCH_ITEMS, CONTEXT_CHARS
 from corpusbank.operators.ranking import row_numbers, running_sum
+from corpusbank.session import stage
 
 
 def context_budget(docs: DataFrame, topic: list[str], doc: str, bucket: Column, blocks: Column,
@@ -19,9 +20,8 @@ def context_budget(docs: DataFrame, topic: list[str], doc: str, bucket: Column,
     joined and collected (every one uses up part of the budget).
     """
     size = F.aggregate(blocks, F.lit(0), lambda total, b: total + F.length(b) + F.lit(1))
-    sized = running_sum(
-        docs.select(*topic, doc, size.alias("_size")).filter("_size > 0"), topic, [F.col(doc)],
-        bucket, F.col("_size"), "_end")
+    sizes = stage(docs.select(*topic, doc, size.alias("_size")), "sizes").filter("_size > 0")
+    sized = running_sum(sizes, topic, [F.col(doc)], bucket, F.col("_size"), "_end")
     within = sized.filter(F.col("_end") - F.col("_size") < budget).select(doc)
     texts = docs.join(within, doc, "left_semi").select(
         *topic, doc, F.left(F.array_join(blocks, "\n"), F.lit(budget)).alias("_t"))

@@ -32,6 +32,7 @@ def label_import(records: DataFrame, existing: DataFrame, *, order: str, key: st
     """Adds ``label`` and ``existing_id``: error, stored duplicate, batch duplicate or new.
 
     ``existing`` has one row per fingerprint (see :func:`first_ids`); ``order`` is unique.
+    ``records`` is read twice: stage it when the fingerprint is costly.
     """
     batch = batch or []
     good = records.filter(F.col(error).isNull())

@@ -10,7 +10,7 @@ from corpusbank.constants import (
     VERDICT_STATES,
 )
 from corpusbank.functions.items import decide
-from corpusbank.functions.text import strip, strip_code_fence
+from corpusbank.functions.text import let, strip, strip_code_fence
 
 
 def parse_verdict(text: Column, id_field: str = "fragmento_id") -> Column:
@@ -18,20 +18,23 @@ def parse_verdict(text: Column, id_field: str = "fragmento_id") -> Column:
 
     Malformed JSON gives ``is_object`` false instead of failing the job.
     """
-    body = F.try_parse_json(strip_code_fence(text))
-    kind = F.schema_of_variant(F.try_variant_get(body, f"$.{id_field}", "variant"))
-    number = F.schema_of_variant(F.try_variant_get(body, "$.confianza", "variant"))
-    return F.struct(
-        body.isNotNull().alias("is_object"),
-        F.upper(strip(F.coalesce(
-            F.try_variant_get(body, "$.decision", "string"), F.lit("")))).alias("decision"),
-        F.try_variant_get(body, "$.confianza", "double").alias("confidence"),
-        F.coalesce(number.rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.lit(False)).alias("number_ok"),
-        F.coalesce(kind != "VOID", F.lit(False)).alias("id_given"),
-        F.coalesce(kind == "BIGINT", F.lit(False)).alias("id_is_int"),
-        F.try_variant_get(body, f"$.{id_field}", "bigint").alias("chosen_id"),
-        strip(F.coalesce(F.try_variant_get(body, "$.motivo", "string"), F.lit(""))).alias("reason"),
-    )
+    def fields(body):
+        kind = F.schema_of_variant(F.try_variant_get(body, f"$.{id_field}", "variant"))
+        number = F.schema_of_variant(F.try_variant_get(body, "$.confianza", "variant"))
+        decision = F.try_variant_get(body, "$.decision", "string")
+        reason = F.try_variant_get(body, "$.motivo", "string")
+        return F.struct(
+            body.isNotNull().alias("is_object"),
+            F.upper(strip(F.coalesce(decision, F.lit("")))).alias("decision"),
+            F.try_variant_get(body, "$.confianza", "double").alias("confidence"),
+            F.coalesce(number.rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.lit(False)).alias("number_ok"),
+            F.coalesce(kind != "VOID", F.lit(False)).alias("id_given"),
+            F.coalesce(kind == "BIGINT", F.lit(False)).alias("id_is_int"),
+            F.try_variant_get(body, f"$.{id_field}", "bigint").alias("chosen_id"),
+            strip(F.coalesce(reason, F.lit(""))).alias("reason"),
+        )
+
+    return let(F.try_parse_json(strip_code_fence(text)), fields)  # the text is parsed once
 
 
 def check_verdicts(verdicts: DataFrame, candidates: DataFrame, *, question: str, text: str,

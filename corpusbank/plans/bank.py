@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusbank.constants import ACCEPTED, INFORMATICS, VALIDATED
-from corpusbank.functions.items import letters_complete, prepare_error, valid_answer
+from corpusbank.constants import ACCEPTED, INFORMATICS, METHOD_FOOTER, VALIDATED
+from corpusbank.functions.items import (
+    import_reason, initial_type, letters_complete, prepare_error, valid_answer,
+)
 from corpusbank.functions.text import fingerprint
 from corpusbank.operators.dedup import first_ids, label_import
 from corpusbank.operators.grading import error_topk, grade, outcome_by, representatives
-from corpusbank.operators.joins import cached_explanations
+from corpusbank.operators.joins import cached_explanations, lookup_part_topic
 from corpusbank.operators.maintenance import insert_ignore, upsert
 from corpusbank.operators.quota import (
     block_summary, draw_with_backfill, largest_remainder, number_items,
 )
+from corpusbank.plans.classify import validate_footers
 from corpusbank.session import stage
 
 
@@ -37,6 +40,29 @@ def label_questions(raw: DataFrame, stored: DataFrame, batch: list[str]) -> Data
                         error="error", batch=batch)
 
 
+def import_questions(raw: DataFrame, stored: DataFrame, batch: list[str], aliases: DataFrame,
+                     index) -> DataFrame:
+    """Label raw questions and validate the new ones by their footer.
+
+    ``raw`` is (pos, page, stem, opt_a..opt_d, answer, norm, footer, article, notes).  New
+    rows get state, norm code, part, topic, initial type, reason and method; the stored
+    article stays raw.  Errors and duplicates keep their label only.
+    """
+    labelled = stage(label_questions(raw, stored, batch), "labelled")
+    new = labelled.filter("label = 'NUEVA'")
+    checked = validate_footers(new, aliases, index, key="pos", norm="norm", footer="footer",
+                               stem="stem", article="article")
+    verdict = checked.select(
+        "pos", "state", F.col("reason").alias("_reason"), F.col("norm").alias("code"), "part",
+        "topic")
+    done = F.col("state").isNotNull()
+    return labelled.join(verdict, "pos", "left").select(
+        "pos", *batch, "error", "label", "existing_id", "state", "code", "article", "part", "topic",
+        initial_type(F.col("state"), F.col("part")).alias("qtype"),
+        F.when(done, import_reason(F.col("notes"), F.col("_reason"))).alias("reason"),
+        F.when(done, F.lit(METHOD_FOOTER)).alias("method"))
+
+
 def accepted_bank(evaluations: DataFrame, questions: DataFrame) -> DataFrame:
     """Rows of the new bank: accepted, resolved, answerable, exactly four options.
 
@@ -66,8 +92,6 @@ def rebuild_bank(bank: DataFrame, accepted: DataFrame, calls: DataFrame) -> Data
 def migrate_bank(questions: DataFrame, bank: DataFrame, parts: DataFrame, topics: DataFrame
                  ) -> DataFrame:
     """(question_id, part_id, topic_id, status): inserted, existing, unresolved or skipped."""
-    from corpusbank.operators.joins import lookup_part_topic
-
     usable = questions.filter(
         (F.col("state") == VALIDATED) & F.col("qtype").isNotNull()
         & valid_answer(F.col("answer")))

@@ -92,14 +92,15 @@ def classify_direct(items: DataFrame, aliases: DataFrame, index, *, key: str, te
 
     Citations in the statement decide; what they cannot decide stays PENDIENTE.
     """
-    rows = contained_codes(items.select(key, F.col(text).alias("_text")), key, "_text", aliases,
-                           whole_words=whole_words)
-    fallback = F.coalesce(named_norm(F.col("_text"), named),
-                          cited_norm(F.col("_text"), norm_pattern))
-    n = F.size("codes") + F.when((F.size("codes") == 0) & fallback.isNotNull(), 1).otherwise(0)
-    rows = rows.withColumn("_codes", n).withColumn("norm", F.when(
-        F.size("codes") == 1, F.col("codes")[0]).when(F.size("codes") == 0, fallback)).withColumn(
-        "article", normalize_article(cited_article(F.col("_text"), article_pattern)))
+    cited = items.select(
+        key, F.col(text).alias("_text"),
+        F.coalesce(named_norm(F.col(text), named), cited_norm(F.col(text), norm_pattern))
+        .alias("_cited"),
+        normalize_article(cited_article(F.col(text), article_pattern)).alias("article"))
+    rows = contained_codes(cited, key, "_text", aliases, whole_words=whole_words)
+    found, fallback = F.size("codes"), (F.size("codes") == 0) & F.col("_cited").isNotNull()
+    rows = rows.withColumn("_codes", found + F.when(fallback, 1).otherwise(0)).withColumn(
+        "norm", F.when(found == 1, F.col("codes")[0]).when(fallback, F.col("_cited")))
     rows = _with_topics(rows, index, include_full)
     rule = (
         F.when(F.col("_codes") == 0, "no_norm").when(F.col("_codes") > 1, "many_norms")

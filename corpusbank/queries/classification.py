@@ -61,22 +61,26 @@ fulls AS (SELECT norm, COUNT(*) AS n, MIN(part) AS part, MIN(topic) AS topic FRO
 norms AS (SELECT DISTINCT norm FROM doc)"""
 
 
-@query("footer_validation", f"""
-WITH {COV_SQL}, {ALIASES_SQL}, {FOOT_SQL}, {_TOPICS_SQL},
-g AS (SELECT o_orderkey, nullif(trim(coalesce(nullif(trim(norm), ''), nullif(trim(footer), ''), stem)), '') AS x, nullif(trim(article), '') AS raw FROM items),
-m AS (SELECT o_orderkey, x, raw, COUNT(code) AS k, MIN(code) AS code FROM g LEFT JOIN ali ON contains(' ' || lower(x) || ' ', ' ' || alias || ' ') GROUP BY ALL),
-c AS (SELECT o_orderkey, x, raw, k, CASE WHEN k = 1 THEN code END AS code, CASE WHEN regexp_matches(raw, '^\\d+$') THEN CAST(CAST(raw AS BIGINT) AS VARCHAR) END AS article FROM m),
+def footer_sql(key: str) -> str:
+    """CTEs and SELECT of the footer rules over ``items`` (key, norm, footer, stem, article)."""
+    return f"""{_TOPICS_SQL},
+g AS (SELECT {key}, nullif(trim(coalesce(nullif(trim(norm), ''), nullif(trim(footer), ''), stem)), '') AS x, nullif(trim(article), '') AS raw FROM items),
+m AS (SELECT {key}, x, raw, COUNT(code) AS k, MIN(code) AS code FROM g LEFT JOIN ali ON contains(' ' || lower(x) || ' ', ' ' || alias || ' ') GROUP BY ALL),
+c AS (SELECT {key}, x, raw, k, CASE WHEN k = 1 THEN code END AS code, CASE WHEN regexp_matches(raw, '^\\d+$') THEN CAST(CAST(raw AS BIGINT) AS VARCHAR) END AS article FROM m),
 j AS (SELECT c.*, norms.norm IS NOT NULL AS belongs, coalesce(arts.n, fulls.n, 0) AS n,
   CASE WHEN arts.n IS NOT NULL THEN arts.part ELSE fulls.part END AS tp, CASE WHEN arts.n IS NOT NULL THEN arts.topic ELSE fulls.topic END AS tt
   FROM c LEFT JOIN norms ON norms.norm = code LEFT JOIN arts ON arts.norm = code AND arts.article = c.article LEFT JOIN fulls ON fulls.norm = code),
 r AS (SELECT *, CASE WHEN x IS NULL THEN 1 WHEN k = 0 THEN 2 WHEN k > 1 THEN 3 WHEN NOT belongs THEN 2 WHEN raw IS NULL THEN 4 WHEN article IS NULL THEN 5
   WHEN n = 0 THEN 6 WHEN n > 1 THEN 7 ELSE 8 END AS rule FROM j)
-SELECT o_orderkey, CASE WHEN rule IN (2, 6) THEN 'RECHAZADA' WHEN rule = 8 THEN 'VALIDADA' ELSE 'A_REVISAR' END AS state,
+SELECT {key}, CASE WHEN rule IN (2, 6) THEN 'RECHAZADA' WHEN rule = 8 THEN 'VALIDADA' ELSE 'A_REVISAR' END AS state,
   list_extract(['No se ha podido identificar la norma del pie.', 'La norma no pertenece al temario.', 'La referencia normativa coincide con varias normas.',
    'La norma pertenece al temario, pero no se ha identificado el artículo.', 'El artículo extraído no tiene un formato reconocible.',
    'La norma pertenece al temario, pero el artículo no está incluido.',
    'La norma y el artículo pertenecen al temario, pero están asociados a varios temas.', 'La norma y el artículo del pie pertenecen al temario.'], rule) AS reason,
-  code AS norm, coalesce(article, raw) AS article, CASE WHEN rule = 8 THEN tp END AS part, CASE WHEN rule = 8 THEN tt END AS topic FROM r""")
+  code AS norm, coalesce(article, raw) AS article, CASE WHEN rule = 8 THEN tp END AS part, CASE WHEN rule = 8 THEN tt END AS topic FROM r"""
+
+
+@query("footer_validation", f"WITH {COV_SQL}, {ALIASES_SQL}, {FOOT_SQL}, {footer_sql('o_orderkey')}")
 def footer_validation(t):
     return classify.validate_footers(
         footers(t), norm_aliases(t), classify.coverage_index(coverage_table(t)), key="o_orderkey",

@@ -5,12 +5,14 @@ from pyspark.sql import functions as F
 from corpusbank.functions.items import call_cost
 from corpusbank.functions.text import strip
 from corpusbank.operators.ranking import id_bucket
+from corpusbank.plans.classify import classify_direct, coverage_index
+from corpusbank.queries.classification import norm_aliases, statements
+from corpusbank.queries.coverage import coverage_table
 from corpusbank.queries.items import RAW_SQL, raw_questions
 from corpusbank.queries.maintenance import FP_SQL, LABEL_SQL, labelled
-from corpusbank.queries.registry import query
-from corpusbank.queries.search import allowed_sources
+from corpusbank.queries.registry import SQL, query
 from corpusbank.queries.text import CODE_SQL, TAIL_SQL, norm_code, spaces_sql
-from corpusbank.session import new_path
+from corpusbank.session import new_path, stage
 from corpusbank.sources import readers, writers
 from corpusbank.streaming import jobs
 
@@ -187,19 +189,17 @@ def stream_import(t):
     return t.spark.read.schema(f"{schema}, batch long").parquet(bank).select("fp", "doc_id")
 
 
-@query("stream_classify_pending", """
-SELECT doc_id, CASE WHEN source IN (SELECT DISTINCT source FROM documents WHERE contains(source, 'src1')) THEN 'VALIDADA' ELSE 'RECHAZADA' END AS state FROM documents""")
+@query("stream_classify_pending", f"SELECT o_orderkey, state, norm, topic FROM ({SQL['direct_classification']})")
 def stream_classify_pending(t):
     root = new_path(t.spark, "pending")
-    t.documents.select("doc_id", "source").write.parquet(f"{root}/inbox")
-    allowed = allowed_sources(t).withColumn("ok", F.lit(True))
-    stream = t.spark.readStream.schema("doc_id bigint, source string").parquet(f"{root}/inbox")
+    statements(t).write.parquet(f"{root}/inbox")
+    stream = t.spark.readStream.schema("o_orderkey bigint, x string").parquet(f"{root}/inbox")
+    aliases, index = stage(norm_aliases(t), "aliases"), coverage_index(coverage_table(t))
 
     def classify(batch):
-        return batch.join(allowed, "source", "left").select(
-            "doc_id", F.when(F.col("ok"), "VALIDADA").otherwise("RECHAZADA").alias("state"))
+        return classify_direct(batch, aliases, index, key="o_orderkey", text="x").select(
+            "o_orderkey", "state", "norm", "topic")
 
     jobs.classify_stream(stream, f"{root}/out", f"{root}/checkpoint", classify).awaitTermination()
-    return t.spark.read.schema("doc_id bigint, state string, batch long").parquet(f"{root}/out").select("doc_id", "state")
-
-
+    schema = "o_orderkey bigint, state string, norm string, topic int, batch long"
+    return t.spark.read.schema(schema).parquet(f"{root}/out").drop("batch")

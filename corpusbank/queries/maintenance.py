@@ -6,17 +6,22 @@ from corpusbank.functions.text import strip
 from corpusbank.operators import dedup
 from corpusbank.operators import maintenance as mt
 from corpusbank.plans import bank as plans
+from corpusbank.plans.classify import coverage_index
+from corpusbank.queries.classification import ALIASES_SQL, footer_sql, norm_aliases
+from corpusbank.queries.coverage import COV_SQL, coverage_table
 from corpusbank.queries.items import ERROR_SQL, RAW_SQL, raw_questions
 from corpusbank.queries.joins import CACHE_SQL, DIM_SQL, EXPLAIN_SQL, dimensions, explained_items, explanation_cache
 from corpusbank.queries.registry import query
 from corpusbank.queries.text import strip_sql
+from corpusbank.session import stage
 
 FP_SQL = f"fp AS (SELECT doc_id, source, lang, sha256({strip_sql('text')}) AS fp FROM documents)"
 
 
 def hashed(t):
-    """(doc_id, source, lang, fp): fingerprint of the stripped text."""
-    return t.documents.select("doc_id", "source", "lang", F.sha2(strip(F.col("text")), 256).alias("fp"))
+    """(doc_id, source, lang, fp): fingerprint of the stripped text, read from the texts once."""
+    return stage(t.documents.select(
+        "doc_id", "source", "lang", F.sha2(strip(F.col("text")), 256).alias("fp")), "hashed")
 
 
 @query("fingerprint_first_id", f"WITH {FP_SQL} SELECT fp, MIN(doc_id) AS first_id FROM fp GROUP BY fp")
@@ -34,8 +39,9 @@ def dedup_first(t):
 @query("incremental_ingest", f"""
 WITH {FP_SQL} SELECT doc_id, fp FROM fp WHERE fp NOT IN (SELECT fp FROM fp JOIN labels USING (doc_id))""")
 def incremental_ingest(t):
-    known = hashed(t).join(t.labels, "doc_id", "left_semi").select("fp").distinct()
-    return dedup.unseen(hashed(t), known, "fp").select("doc_id", "fp")
+    rows = hashed(t)
+    known = rows.join(t.labels, "doc_id", "left_semi").select("fp").distinct()
+    return dedup.unseen(rows, known, "fp").select("doc_id", "fp")
 
 
 LABEL_SQL = FP_SQL + """,
@@ -47,8 +53,9 @@ lab AS (SELECT e.doc_id, e.source, e.lang, CASE WHEN error IS NOT NULL THEN 'ERR
 
 
 def labelled(t):
-    rows = hashed(t).withColumn("error", F.when(F.col("doc_id") % 11 == 3, "vacío"))
-    stored = dedup.first_ids(hashed(t).join(t.labels, "doc_id", "left_semi"), "fp", "doc_id")
+    docs = hashed(t)
+    rows = docs.withColumn("error", F.when(F.col("doc_id") % 11 == 3, "vacío"))
+    stored = dedup.first_ids(docs.join(t.labels, "doc_id", "left_semi"), "fp", "doc_id")
     return dedup.label_import(rows, stored, order="doc_id", key="fp", error="error", batch=["source"])
 
 
@@ -78,27 +85,46 @@ def ingest_change_state(t):
     return dedup.change_state(configured, stored, "doc_id", force=True)
 
 
-# stored questions: the large parts; every part is imported again, two sizes per batch
+# stored questions: the small parts; every part is imported again, 500 keys per batch
 IMPORT_SQL = RAW_SQL + f""",
 e AS (SELECT *, {ERROR_SQL} AS error, CAST(p_partkey // 500 AS BIGINT) AS batch FROM raw),
 h AS (SELECT *, CASE WHEN error IS NULL THEN sha256(trim(stem) || chr(10) || trim(a) || chr(10) || trim(b) || chr(10) || trim(c) || chr(10) || trim(d)) END AS fp FROM e),
 sto AS (SELECT fp, MIN(p_partkey) AS first_id FROM h WHERE p_type = 'SMALL' GROUP BY fp),
-f AS (SELECT batch, fp, MIN(p_partkey) AS pos FROM h WHERE error IS NULL GROUP BY ALL),
-imp AS (SELECT h.p_partkey AS pos, h.batch, error, CASE WHEN error IS NOT NULL THEN 'ERROR_EXTRACCION' WHEN sto.fp IS NOT NULL THEN 'DUPLICADA_BD' WHEN f.pos IS NOT NULL THEN 'NUEVA' ELSE 'DUPLICADA_LOTE' END AS label,
-  first_id AS existing_id FROM h LEFT JOIN sto USING (fp) LEFT JOIN f ON f.pos = h.p_partkey)"""
+fst AS (SELECT batch, fp, MIN(p_partkey) AS pos FROM h WHERE error IS NULL GROUP BY ALL),
+imp AS (SELECT h.p_partkey AS pos, h.batch, error, CASE WHEN error IS NOT NULL THEN 'ERROR_EXTRACCION' WHEN sto.fp IS NOT NULL THEN 'DUPLICADA_BD' WHEN fst.pos IS NOT NULL THEN 'NUEVA' ELSE 'DUPLICADA_LOTE' END AS label,
+  first_id AS existing_id, stem, CAST(h.b AS INTEGER) AS p_size, CASE WHEN p_size % 3 > 0 THEN 'Norma S' || p_size END AS norm, CASE WHEN p_size % 7 > 0 THEN 'norma S' || (p_size // 2) END AS footer,
+  CAST(p_size AS VARCHAR) AS article FROM h LEFT JOIN sto USING (fp) LEFT JOIN fst ON fst.pos = h.p_partkey),
+items AS (SELECT pos, norm, footer, stem, article FROM imp WHERE label = 'NUEVA')"""
 
 
 def import_rows(t):
+    """(pos, batch, error, label, .., state, code, part, topic, reason) of all imported parts."""
+    size = F.col("p_size")
+    extra = t.part.select(
+        F.col("p_partkey").alias("pos"),
+        F.when(size % 3 > 0, F.concat(F.lit("Norma S"), size.cast("string"))).alias("norm"),
+        F.when(size % 7 > 0, F.concat(F.lit("norma S"), F.floor(size / 2).cast("string"))).alias("footer"),
+        size.cast("string").alias("article"),
+        F.when(size > 40, F.array(F.lit("borrosa"), F.lit("cortada"))).otherwise(
+            F.array().cast("array<string>")).alias("notes"))
     raw = raw_questions(t).withColumnRenamed("p_partkey", "pos").withColumn(
         "batch", F.floor(F.col("pos") / 500))
-    small = raw.filter("p_type = 'SMALL'")
-    stored = plans.with_fingerprint(small).select(F.col("pos").alias("id"), "fp")
-    return plans.label_questions(raw, stored, ["batch"])
+    stored = plans.with_fingerprint(raw.filter("p_type = 'SMALL'")).select(F.col("pos").alias("id"), "fp")
+    return plans.import_questions(
+        raw.join(extra, "pos"), stored, ["batch"], norm_aliases(t), coverage_index(coverage_table(t)))
 
 
-@query("import_questions", f"WITH {IMPORT_SQL} SELECT pos, batch, error, label, existing_id FROM imp")
+_FOOTER_CTES, _FOOTER_SELECT = footer_sql("pos").rsplit("\nSELECT pos, ", 1)
+
+
+@query("import_questions", f"""
+WITH {COV_SQL}, {ALIASES_SQL}, {IMPORT_SQL}, {_FOOTER_CTES}, val AS (SELECT pos, {_FOOTER_SELECT})
+SELECT imp.pos, imp.batch, imp.error, label, existing_id, state, val.norm AS code, val.part, val.topic,
+  CASE WHEN p_size > 40 AND state IS NOT NULL THEN 'Incidencias de extracción: borrosa | cortada | ' || reason ELSE reason END AS reason,
+  CAST(NULL AS VARCHAR) AS qtype, CASE WHEN state IS NOT NULL THEN 'PIE_DIRECTO' END AS method
+FROM imp LEFT JOIN val ON val.pos = imp.pos""")
 def import_questions(t):
-    return import_rows(t).select("pos", "batch", "error", "label", "existing_id")
+    return import_rows(t).drop("article")
 
 
 OLD_NEW_SQL = """old AS (SELECT o_custkey, MAX(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS price FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey),
