@@ -14,7 +14,8 @@ def options_to_map(options: DataFrame, key: list[str], letter: str, text: str) -
     """(key.., options, repeated): child rows as a map letter -> text.
 
     Letters are trimmed and upper-cased; a repeated letter keeps its smallest text and
-    raises the flag.  Rows are reduced per letter first, so a key collects few entries.
+    raises the flag.  Rows are reduced per letter first, so a key collects one entry per
+    letter (the letters are a small fixed set, see the CHECK rules).
     """
     rows = options.groupBy(*key, F.upper(F.trim(F.col(letter))).alias("_l")).agg(
         F.min(text).alias("_t"), F.count(F.lit(1)).alias("_n"))

@@ -287,3 +287,10 @@ def test_upserts_and_guards(spark, tmp_path):
 def test_hot_group_dedup(spark):
     df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
     assert dedup.first_by_key(df, ["k"], "id").count() == 2001
+
+
+def test_top_k_is_pruned_before_the_exchange(spark):
+    df = spark.range(100).select((F.col("id") % 3).alias("g"), "id")
+    plan = ranking.top_k(df, ["g"], [F.col("id")], 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+    assert plan.index("Exchange") < plan.rindex("WindowGroupLimit")
