@@ -17,31 +17,29 @@ from corpusbank.operators.ranking import top_k
 from corpusbank.session import fits, stage
 
 MAX_VOCABULARY = 1_000_000
+_RUN = r"([a-z0-9]+)(?: \1(?![a-z0-9]))*+"  # a token and its repeats; possessive, no recursion
 DOC_ROW = ""  # pseudo token: one posting per document, also for documents without tokens
 
 
 def postings(corpus: DataFrame, doc_id: str, text: str, part: list[str] | None = None,
              stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """(part.., doc_id, dl, tok, tf): run lengths of the sorted tokens, no shuffle."""
+    """(part.., doc_id, dl, tok, tf): run lengths of the sorted tokens, no shuffle.
+
+    Equal tokens are neighbours once sorted, so one pass of a back-reference over the joined
+    text yields each run; its length gives the frequency.
+    """
     part = part or []
-    sorted_tokens = corpus.select(
-        *part, doc_id, F.sort_array(tokens(F.col(text), stop_words)).alias("toks")
-    ).withColumn("dl", F.size("toks"))
-    starts = sorted_tokens.withColumn("starts", F.when(F.col("dl") > 0, F.filter(
-        F.sequence(F.lit(1), F.col("dl")),
-        lambda i: (i == 1) | (F.col("toks")[i - 1] != F.get(F.col("toks"), i - 2)),
-    )).otherwise(F.array().cast("array<int>")))
-    ends = F.concat(
-        F.slice("starts", F.lit(2), F.greatest(F.size("starts"), F.lit(1))),
-        F.array(F.col("dl") + 1),
-    )
-    runs = F.zip_with("starts", ends, lambda a, b: F.struct(
-        F.get(F.col("toks"), a - 1).alias("tok"), (b - a).alias("tf")))
-    doc_row = F.array(F.struct(F.lit(DOC_ROW).alias("tok"), F.lit(0).alias("tf")))
-    return starts.select(
-        *part, doc_id, "dl",
-        F.inline(F.when(F.col("dl") > 0, F.concat(doc_row, runs)).otherwise(doc_row)),
-    )
+    listed = corpus.select(
+        *part, doc_id, F.sort_array(tokens(F.col(text), stop_words)).alias("toks"))
+    runs = F.regexp_extract_all(F.array_join("toks", " "), F.lit(_RUN), F.lit(0))
+    exploded = listed.select(
+        *part, doc_id, F.size("toks").alias("dl"),
+        F.explode(F.concat(F.array(F.lit(DOC_ROW)), runs)).alias("run"))
+    tok = F.substring_index("run", " ", 1)
+    tf = (F.length("run") + 1) / (F.length(tok) + 1)
+    return exploded.select(
+        *part, doc_id, "dl", tok.alias("tok"),
+        F.when(F.col("run") == DOC_ROW, 0).otherwise(tf).cast("int").alias("tf"))
 
 
 def corpus_stats(posts: DataFrame, part: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

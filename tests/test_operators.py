@@ -294,3 +294,11 @@ def test_top_k_is_pruned_before_the_exchange(spark):
     plan = ranking.top_k(df, ["g"], [F.col("id")], 5)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
     assert plan.index("Exchange") < plan.rindex("WindowGroupLimit")
+
+
+def test_postings_of_long_runs(spark):
+    text = " ".join(["uno"] * 30000 + ["unos", "un0", "uno1", "12", "123"] * 2)
+    df = spark.createDataFrame([(1, text), (2, ""), (3, "de la"), (4, None)], "k int, t string")
+    got = {(r["k"], r["tok"]): (r["dl"], r["tf"]) for r in search.postings(df, "k", "t").collect()}
+    assert got[(1, "uno")] == (30010, 30000) and got[(1, "unos")] == (30010, 2) == got[(1, "12")]
+    assert [got[(k, search.DOC_ROW)] for k in (2, 3, 4)] == [(0, 0)] * 3 and len(got) == 10
