@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusbank.session import stage
+
 ID_WIDTH = 100_000
 HASH_DIGITS = 3
 
@@ -69,6 +71,39 @@ def running_sum(df: DataFrame, group: list[str], order: list[Column], bucket: Co
     )
 
 
+def range_numbers(df: DataFrame, group: list[str], order: list[str], name: str = "rn",
+                  label: str = "numbered") -> DataFrame:
+    """``row_number`` per group along ascending ``order`` (nulls first) by range partitions.
+
+    The rows are dealt out by (group.., order..) ranges taken from the data, so a group of
+    any size spreads over many tasks, and staged with their position.  Only one row per
+    (range, group) is counted to shift the positions.  ``order`` must be unique per group
+    for a reproducible result.  A null group value is a group of its own.
+    """
+    keys = [*group, *order]
+    laid = stage(
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        .withColumn("_at", F.monotonically_increasing_id()), label)
+    laid = laid.withColumn("_range", F.shiftright("_at", 33))
+    spans = laid.groupBy("_range", *group).agg(
+        F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = (
+        Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    spans = spans.select(
+        F.col("_range").alias("_r"), *[F.col(c).alias(f"_g_{c}") for c in group],
+        (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1)
+        .alias("_shift"))
+    same = F.col("_range") == F.col("_r")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    return (
+        laid.join(spans, same)
+        .withColumn(name, F.col("_at") + F.col("_shift"))
+        .select(*df.columns, name)
+    )
+
+
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int,
           name: str = "rn") -> DataFrame:
     """First k rows per group; the literal bound prunes each task before the shuffle."""

@@ -26,14 +26,22 @@ def build_session(app: str = "corpusbank", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+def local_master(master: str) -> bool:
+    """True for a master that runs everything in this process (``local``, ``local[4]``)."""
+    return master == "local" or master.startswith("local[")
+
+
 def work_dir(spark: SparkSession) -> str:
     """Shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, local runs) a temporary folder is made.
+    Only a local session may do without (tests, trial runs): it gets a temporary folder.  On
+    a cluster executors and driver do not share such a folder, so the setting is required.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not local_master(spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
         _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="corpusbank-")

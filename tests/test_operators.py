@@ -68,6 +68,25 @@ def test_row_numbers_and_sums(spark):
     assert [r["h"] for r in everything] == sorted(r["h"] for r in everything)
 
 
+def test_range_numbers(spark):
+    rows = [(("a" if i % 3 else None) if i % 2 else "hot", (i * 7919) % 501) for i in range(501)]
+    df = spark.createDataFrame(rows, "g string, i long").repartition(7)
+    got = ranking.range_numbers(df, ["g"], ["i"]).collect()
+    seen = Counter()
+    for g, i in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        seen[g] += 1
+        assert (g, i, seen[g]) in {(r.g, r.i, r.rn) for r in got if r.i == i}
+    whole = ranking.range_numbers(df.select("i"), [], ["i"], "n").orderBy("n").collect()
+    assert [(r.i, r.n) for r in whole] == [(i, i + 1) for i in range(501)]
+
+
+def test_cluster_needs_a_shared_folder(spark):
+    from corpusbank.session import local_master
+
+    assert local_master("local[4]") and local_master("local")
+    assert not any(map(local_master, ("local-cluster[3,2,1000]", "yarn", "spark://host:7077")))
+
+
 def test_largest_remainder_property(spark):
     rng = random.Random(5)
     counts, targets = [], []

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from oracle import compare, connect
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = entry.QUERIES, entry.SQL
 
 
 @pytest.fixture(scope="module")
