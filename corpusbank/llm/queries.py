@@ -1,8 +1,9 @@
 """Registered queries of the subpackage, one per operator, and their SQL twins."""
 
-from corpusbank.llm import host_reputation, systematic_mix
+from corpusbank.llm import bpe, host_reputation, systematic_mix
 
 QUERIES = {
+    "op2_bpe_encode_decode": bpe.op2_bpe_encode_decode,
     "op4_host_reputation": host_reputation.op4_host_reputation,
     "op8_systematic_mix": systematic_mix.op8_systematic_mix,
 }
