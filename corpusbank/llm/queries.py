@@ -1,10 +1,11 @@
 """Registered queries of the subpackage, one per operator, and their SQL twins."""
 
-from corpusbank.llm import bpe, host_reputation, systematic_mix
+from corpusbank.llm import bpe, host_reputation, rans, systematic_mix
 
 QUERIES = {
     "op2_bpe_encode_decode": bpe.op2_bpe_encode_decode,
     "op4_host_reputation": host_reputation.op4_host_reputation,
+    "op6_rans_token_files": rans.op6_rans_token_files,
     "op8_systematic_mix": systematic_mix.op8_systematic_mix,
 }
 SQL = {
