@@ -1,12 +1,13 @@
 """Registered queries of the subpackage, one per operator, and their SQL twins."""
 
-from corpusbank.llm import bpe, host_reputation, rans, systematic_mix
+from corpusbank.llm import bpe, host_reputation, pii_weak, rans, systematic_mix
 
 QUERIES = {
     "op2_bpe_encode_decode": bpe.op2_bpe_encode_decode,
     "op4_host_reputation": host_reputation.op4_host_reputation,
     "op6_rans_token_files": rans.op6_rans_token_files,
     "op8_systematic_mix": systematic_mix.op8_systematic_mix,
+    "op10_pii_weak_supervision": pii_weak.op10_pii_weak_supervision,
 }
 SQL = {
     "op4_host_reputation": host_reputation.SQL,
