@@ -2,7 +2,8 @@
 
 Base spans (e-mail, IP address, card number, phone number) follow fixed patterns and checks and
 always count.  Further candidates are spans of the same kinds that the patterns miss: phones in
-national form, card-like numbers that fail the check digit, IPv6 addresses, spelled-out e-mails.
+national form, phones and cards run together with other digits, card-like numbers that fail the
+check digit, IPv6 addresses, spelled-out e-mails.
 On every candidate, base or not, five labelers vote yes, no or nothing: the pattern's check, a
 gazetteer (top-level domains, issuers, dial codes, reserved networks), the words before it, its
 shape, and other personal data nearby.  Candidates are counted by (kind, votes, features); on these
@@ -35,7 +36,8 @@ KINDS = ("email", "ip", "card", "phone")
 THRESHOLD = 0.9
 LABELERS = 5
 # Starting reliabilities: check, gazetteer, context, shape, neighbours.
-RELIABILITY = (0.95, 0.75, 0.85, 0.65, 0.6)
+RELIABILITY = (0.99, 0.75, 0.85, 0.65, 0.6)
+ANCHOR = 0  # the check keeps its reliability, which fixes what the classes mean
 ROUNDS = 60
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -45,6 +47,8 @@ QUAD = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PLUS = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NATIONAL = re.compile(r"(?<![\w.+-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![\w-])")
+ABROAD = re.compile(r"(?<![\w+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![\w-])")
+CARD = re.compile(r"(?<![0-9A-Za-z])(?:[0-9]{12,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3})(?![0-9A-Za-z])")
 IPV6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 SPELLED_AT = re.compile(r" ?(?:\(at\)|\[at\]) ?")
 SPELLED_LEFT = re.compile(r"[A-Za-z0-9._%+-]{1,64}$")
@@ -117,11 +121,9 @@ def more_candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[i
                 found.append((m.start() - len(left[0]), 0, right.end()))
     if text.count(":") >= 7:
         found += [(m.start(), 1, m.end()) for m in IPV6.finditer(text)]
-    for m in DIGITS.finditer(text):
-        if m.end() - m.start() < 40 and 12 <= _count(m[0]) <= 19:
-            found.append((m.start(), 2, m.end()))
+    found += [(m.start(), 2, m.end()) for m in CARD.finditer(text)]
     found += [(m.start(), 3, m.end()) for m in NATIONAL.finditer(text) if 7 <= _count(m[0]) <= 12]
-    found += [(m.start(), 3, m.end()) for m in PLUS.finditer(text) if 7 <= _count(m[0]) <= 8]
+    found += [(m.start(), 3, m.end()) for m in ABROAD.finditer(text)]
     out, end = [], -1
     starts = [s for s, _, _ in base]
     reach = np.maximum.accumulate([e for _, _, e in base]).tolist() if base else []
@@ -139,7 +141,9 @@ def votes(text: str, start: int, kind: int, end: int, base: bool,
     name, span = KINDS[kind], text[start:end]
     digits = "".join(c for c in span if "0" <= c <= "9")
     parts = re.split(r"[^0-9A-Za-z]+", span.strip("()"))
-    check = 1 if base else -1
+    good = base or (name == "card" and luhn(digits)) or (
+        name == "phone" and span[0] == "+" and 9 <= len(digits) <= 15)
+    check = 1 if good else -1
     gazetteer = shape = 0
     if name == "email":
         gazetteer = 1 if parts[-1].lower() in TOP_DOMAINS else -1
@@ -198,7 +202,8 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 def reliabilities(vote: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """EM over rows of votes with counts: (posterior of each row, (labelers, class, vote) rates).
 
-    A labeler's accuracy when it votes is kept at 1/2 or more, which fixes what the classes mean.
+    The anchor's rates stay as they start; another labeler's accuracy, when it votes, is kept at
+    1/2 or more.
     """
     start = np.array(RELIABILITY)
     rate = np.empty((LABELERS, 2, 3))
@@ -215,7 +220,7 @@ def reliabilities(vote: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.n
         prior = (count @ posterior + 1) / (count.sum() + 2)
         for c, share in ((0, 1 - posterior), (1, posterior)):
             weight = count * share
-            for j in range(LABELERS):
+            for j in set(range(LABELERS)) - {ANCHOR}:
                 seen = np.bincount(index[:, j], weights=weight, minlength=3) + 4 * rate[j, c].mean()
                 rate[j, c] = seen / seen.sum()
                 right, wrong = (2, 0) if c else (0, 2)

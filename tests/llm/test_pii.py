@@ -60,6 +60,15 @@ def test_em_finds_the_good_labelers():
     assert best[0] > 0.9 and best[2] > 0.85 and best[3] < 0.65
 
 
+def test_run_together_and_failing_numbers(spark):
+    good = "a@b.cc, 4111111111111111 and +1 (269) 555-3296 then 1.2.3.4. " * 30
+    tail = "call +1 (855) 555-4208 486635120 of 4111111111111112"
+    df = spark.createDataFrame([(1, good), (2, tail)], "doc_id long, text string")
+    all_ = {r.doc_id: [(pii.KINDS[s.kind], tail[s.start:s.end]) for s in r.all]
+            for r in pii.find_personal_data(df).collect()}
+    assert all_[2] == [("phone", "+1 (855) 555-4208")]
+
+
 def test_added_spans_keep_clear():
     text = "call me (212) 555-0199 or bob (at) mail (dot) com, card 4111 1111 1111 1112, x@y.zz"
     base = pii.base_spans(text)
