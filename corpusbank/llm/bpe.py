@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
@@ -32,8 +33,8 @@ from pyspark.sql import types as T
 from corpusbank.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
-BATCH_CHARS = 4_000_000  # texts encoded together
-CACHE_WORDS = 300_000  # per Python worker; older words are forgotten beyond it
+BATCH_CHARS = 1_000_000  # texts encoded together
+CACHE_WORDS = 150_000  # per Python worker; older words are forgotten beyond it
 NONE = np.int32(2**31 - 1)
 
 
@@ -218,33 +219,44 @@ def slices(weights: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(weights)
 
 
-def _extended(df: DataFrame, keep: list[str] | None, name: str, kind: T.DataType) -> T.StructType:
+def _extended(df: DataFrame, keep: list[str] | None, added: dict[str, T.DataType]) -> T.StructType:
     fields = [f for f in df.schema.fields
-              if f.name != name and (keep is None or f.name in keep)]
-    return T.StructType([*fields, T.StructField(name, kind)])
+              if f.name not in added and (keep is None or f.name in keep)]
+    return T.StructType([*fields, *[T.StructField(n, kind) for n, kind in added.items()]])
 
 
-def _append(batch: pa.RecordBatch, schema: T.StructType, column: pa.Array) -> pa.RecordBatch:
-    names = [f.name for f in schema.fields[:-1]]
-    kept = [batch.column(batch.schema.get_field_index(n)) for n in names]
-    return pa.RecordBatch.from_arrays([*kept, column], names=[*names, schema.fields[-1].name])
+def _append(batch: pa.RecordBatch, schema: T.StructType, *columns: pa.Array) -> pa.RecordBatch:
+    names = schema.fieldNames()
+    kept = [batch.column(batch.schema.get_field_index(n)) for n in names[:-len(columns)]]
+    return pa.RecordBatch.from_arrays([*kept, *columns], names=names)
+
+
+def text_slices(batch: pa.RecordBatch, text: str, most: int):
+    """(slice of the batch, its texts with null as empty) of about ``most`` bytes."""
+    column = batch.column(batch.schema.get_field_index(text))
+    size = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for a, b in slices(size, most):
+        yield batch.slice(a, b - a), [t or "" for t in column.slice(a, b - a).to_pylist()]
+
+
+def _id_lists(found: list[np.ndarray]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The ids of several texts as an Arrow array, flat, and their counts."""
+    counts = np.array([len(ids) for ids in found], dtype=np.int32)
+    flat = np.concatenate(found).astype(np.int32, copy=False)
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), flat, counts
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids",
            keep: list[str] | None = None) -> DataFrame:
     """Adds the column ``ids`` (array<int>); ``keep`` names the columns to pass on (all)."""
-    schema = _extended(df, keep, ids, T.ArrayType(T.IntegerType()))
+    schema = _extended(df, keep, {ids: T.ArrayType(T.IntegerType())})
 
     def run(batches):
         model = Bpe.load(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            for a, b in slices([len(t) for t in texts], BATCH_CHARS):
-                found = model.encode(texts[a:b])
-                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-                flat = np.concatenate(found) if found else np.zeros(0, dtype=np.int32)
-                yield _append(batch.slice(a, b - a), schema, pa.ListArray.from_arrays(
-                    pa.array(ends), pa.array(flat.astype(np.int32, copy=False))))
+            for part, texts in text_slices(batch, text, BATCH_CHARS):
+                yield _append(part, schema, _id_lists(model.encode(texts))[0])
 
     return df.mapInArrow(run, schema)
 
@@ -252,7 +264,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids",
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text",
            keep: list[str] | None = None) -> DataFrame:
     """Adds the column ``text`` decoded from ``ids``; special tokens are not skipped."""
-    schema = _extended(df, keep, text, T.StringType())
+    schema = _extended(df, keep, {text: T.StringType()})
 
     def run(batches):
         model = Bpe.load(path)
@@ -268,6 +280,21 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text",
     return df.mapInArrow(run, schema)
 
 
+def encode_decode(df: DataFrame, path: str, text: str = "text", ids: str = "ids",
+                  decoded: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """Adds ``ids`` and the text decoded from them, in one pass through Python."""
+    schema = _extended(df, keep, {ids: T.ArrayType(T.IntegerType()), decoded: T.StringType()})
+
+    def run(batches):
+        model = Bpe.load(path)
+        for batch in batches:
+            for part, texts in text_slices(batch, text, BATCH_CHARS):
+                lists, flat, counts = _id_lists(model.encode(texts))
+                yield _append(part, schema, lists, pa.array(model.decode(flat, counts), pa.string()))
+
+    return df.mapInArrow(run, schema)
+
+
 def decimal_sha256(ids):
     """Lowercase hex of the decimal ids joined by commas."""
     return F.sha2(F.array_join(ids.cast("array<string>"), ","), 256)
@@ -277,9 +304,7 @@ def op2_bpe_encode_decode(spark, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded again, as counts and digests."""
     path = public_tokenizers.path(VOCABULARY)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = encode(docs, path, keep=["doc_id"]).select(
+    return encode_decode(docs, path, keep=["doc_id"]).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        decimal_sha256(F.col("ids")).alias("ids_sha256"), "ids")
-    decoded = decode(encoded, path, keep=["doc_id", "n_tokens", "ids_sha256"])
-    return decoded.select("doc_id", "n_tokens", "ids_sha256",
-                          F.sha2("text", 256).alias("decoded_sha256"))
+        decimal_sha256(F.col("ids")).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -63,6 +63,8 @@ def test_frames(spark):
     assert [r.again for r in back] == [t or "" for _, t, _ in rows]
     assert [len(r.ids) > 0 for r in back] == [bool(t) for _, t, _ in rows]
     assert back[0].text is None and bpe.encode(df.limit(0), PATH).count() == 0
+    both = bpe.encode_decode(df, PATH, decoded="ids2").collect()
+    assert [(r.ids, r.ids2) for r in both] == [(r.ids, r.again) for r in back]
     odd = spark.createDataFrame([(1, None), (2, [None, 5, 99_999_999])], "k int, ids array<int>")
     assert [r.text for r in bpe.decode(odd, PATH).collect()] == ["", "&"]
 
