@@ -1,11 +1,12 @@
 """Registered queries of the subpackage, one per operator, and their SQL twins."""
 
-from corpusbank.llm import bpe, host_reputation, pii_weak, rans, systematic_mix
+from corpusbank.llm import bpe, hamming_dedup, host_reputation, pii_weak, rans, systematic_mix
 
 QUERIES = {
     "op2_bpe_encode_decode": bpe.op2_bpe_encode_decode,
     "op4_host_reputation": host_reputation.op4_host_reputation,
     "op6_rans_token_files": rans.op6_rans_token_files,
+    "op7_hamming_dedup": hamming_dedup.op7_hamming_dedup,
     "op8_systematic_mix": systematic_mix.op8_systematic_mix,
     "op10_pii_weak_supervision": pii_weak.op10_pii_weak_supervision,
 }
