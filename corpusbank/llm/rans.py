@@ -26,8 +26,10 @@ ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusbank.llm.bpe import slices
+from corpusbank.llm.bpe import text_slices
 from corpusbank.llm.common import table
 from corpusbank.session import new_path
 
@@ -46,9 +48,10 @@ BLOCK_IDS = 16_384
 LANES = 32
 SCALE = 20  # frequencies add up to 2**SCALE
 LOW = np.uint64(1 << 31)
-BATCH_CHARS = 4_000_000
-CACHE_WORDS = 400_000
-TAIL = ".,;:!?"
+BATCH_CHARS = 2_000_000
+CACHE_WORDS = 500_000  # per Python worker, and half as many parts
+TAIL = ".,;:!?*$%&#"
+SPECIAL_CASE = re.compile("[^\x00-\u012F]")  # below, lower() is the normaliser's lower case
 
 
 def quantised(counts: np.ndarray, scale: int = SCALE) -> np.ndarray:
@@ -73,7 +76,13 @@ def compress(ids: np.ndarray) -> bytes:
     """Payload of a segment."""
     ids = np.ascontiguousarray(ids, dtype=np.uint32)
     n = len(ids)
-    known, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    if n and ids.max() < 1 << 22:  # a table of counts instead of a sort
+        counts = np.bincount(ids)
+        known = np.flatnonzero(counts).astype(np.uint32)
+        place = (np.cumsum(counts > 0) - 1)[ids]
+        counts = counts[known]
+    else:
+        known, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
     length = min(BLOCK_IDS, -(-n // LANES) * LANES)
     blocks, steps = -(-n // length) if n else 0, length // LANES
     if n:
@@ -157,9 +166,10 @@ def decompress(payload: bytes) -> np.ndarray:
 class WordIds:
     """Ids of texts by the tokenizers library, word by word with a bounded cache.
 
-    The normaliser and the pattern of this tokenizer never look across a space, so a text's ids
-    are those of its parts between spaces; marks at the end of a part, ``TAIL``, are words of
-    their own; and ASCII parts may be lower-cased first, as the normaliser does.
+    The normaliser and the pattern of this tokenizer never look across white space, so a text's
+    ids are those of its parts between spaces and line ends; marks after the last letter of a
+    part, ``TAIL``, are a word of their own; and texts without letters beyond Latin may be
+    lower-cased first, as the normaliser does.
     """
 
     _loaded: dict[str, "WordIds"] = {}
@@ -177,29 +187,60 @@ class WordIds:
         self.model.no_truncation()
         self.model.no_padding()
         self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        vocab = self.model.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)  # does the id end a word?
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    @staticmethod
+    def _single(word: str) -> bool:
+        """Only letters, before and after normalising: certainly one word of the tokenizer."""
+        lower = word.lower()
+        return word.isalpha() and lower.isalpha() and is_normalized("NFC", lower) and (
+            is_normalized("NFC", word))
 
     def _add(self, new: list[str]) -> None:
-        found = self.model.encode_batch_fast(new, add_special_tokens=False)
-        for word, encoded in zip(new, found):
+        """Encodes new words; words of letters go many to a text and are told apart by word ends."""
+        single = [w for w in new if self._single(w)]
+        for start in range(0, len(single), 1000):
+            words = single[start:start + 1000]
+            encoded = self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+            ids = np.array(encoded[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(words):
+                raise ValueError("words and word ends differ")
+            raw = ids.tobytes()
+            for word, a, b in zip(words, [0, *cuts[:-1].tolist()], cuts.tolist()):
+                self.words[word] = raw[4 * a:4 * b]
+        other = [w for w in new if not self._single(w)]
+        found = self.model.encode_batch_fast(other, add_special_tokens=False)
+        for word, encoded in zip(other, found):
             self.words[word] = np.array(encoded.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = self.words
+        words, known = self.words, self.parts
         if len(words) > CACHE_WORDS:
             words.clear()
-        parts = [(t.lower() if t.isascii() else t).split(" ") for t in texts]
-        new = set().union(*parts) - words.keys()
-        cut = {}
-        for part in new:
+            known.clear()
+        if len(known) > CACHE_WORDS // 2:
+            known.clear()
+        parts = [(t if SPECIAL_CASE.search(t) else t.lower()).replace("\n", " ").split(" ")
+                 for t in texts]
+        cut, plain = {}, set()
+        for part in set().union(*parts) - known.keys():
             stem = part.rstrip(TAIL)
             if len(stem) < len(part) and stem[-1:].isalpha():
                 cut[part] = (stem, part[len(stem):])
-        plain = (new - cut.keys()) | {w for pair in cut.values() for w in pair}
+                plain.update(cut[part])
+            else:
+                cut[part] = (part,)
+                plain.add(part)
         self._add([w for w in plain if w not in words])
-        for part, (stem, tail) in cut.items():
-            words[part] = words[stem] + words[tail]
         get = words.__getitem__
+        for part, own in cut.items():
+            known[part] = b"".join(map(get, own))
+        get = known.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
 
@@ -225,11 +266,9 @@ def write_ids(docs: DataFrame, out: str, tokenizer: str, doc_id: str = "doc_id",
                 names=["range_no", "segment_no", "n_ids", "doc_ids", "counts", "payload"])
 
         for batch in batches:
-            ids, texts, ranges = (batch.column(k).to_pylist() for k in range(3))
-            place = ranges[0] if ranges else place
-            texts = [t or "" for t in texts]
-            for a, b in slices([len(t) for t in texts], BATCH_CHARS):
-                for name, coded in zip(ids[a:b], model.encode(texts[a:b])):
+            for part, texts in text_slices(batch, "_text", BATCH_CHARS):
+                place = part.column(2)[0].as_py()
+                for name, coded in zip(part.column(0).to_pylist(), model.encode(texts)):
                     names.append(name)
                     held.append(coded + end)
                     total += len(coded) // 4 + 1
