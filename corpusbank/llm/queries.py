@@ -1,6 +1,8 @@
 """Registered queries of the subpackage, one per operator, and their SQL twins."""
 
-from corpusbank.llm import bpe, hamming_dedup, host_reputation, pii_weak, rans, systematic_mix
+from corpusbank.llm import (
+    bpe, compression_toxicity, hamming_dedup, host_reputation, pii_weak, rans, systematic_mix,
+)
 
 QUERIES = {
     "op2_bpe_encode_decode": bpe.op2_bpe_encode_decode,
@@ -8,6 +10,7 @@ QUERIES = {
     "op6_rans_token_files": rans.op6_rans_token_files,
     "op7_hamming_dedup": hamming_dedup.op7_hamming_dedup,
     "op8_systematic_mix": systematic_mix.op8_systematic_mix,
+    "op9_compression_toxicity": compression_toxicity.op9_compression_toxicity,
     "op10_pii_weak_supervision": pii_weak.op10_pii_weak_supervision,
 }
 SQL = {
