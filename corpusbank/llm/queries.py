@@ -1,11 +1,13 @@
 """Registered queries of the subpackage, one per operator, and their SQL twins."""
 
 from corpusbank.llm import (
-    bpe, compression_toxicity, hamming_dedup, host_reputation, pii_weak, rans, systematic_mix,
+    bpe, compression_toxicity, hamming_dedup, host_reputation, pii_weak, quality_fm,
+    rans, systematic_mix,
 )
 
 QUERIES = {
     "op2_bpe_encode_decode": bpe.op2_bpe_encode_decode,
+    "op3_quality_fm": quality_fm.op3_quality_fm,
     "op4_host_reputation": host_reputation.op4_host_reputation,
     "op6_rans_token_files": rans.op6_rans_token_files,
     "op7_hamming_dedup": hamming_dedup.op7_hamming_dedup,
