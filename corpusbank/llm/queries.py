@@ -1,11 +1,12 @@
 """Registered queries of the subpackage, one per operator, and their SQL twins."""
 
 from corpusbank.llm import (
-    bpe, compression_toxicity, hamming_dedup, host_reputation, pii_weak, quality_fm,
+    bpe, compression_toxicity, hamming_dedup, hnsw, host_reputation, pii_weak, quality_fm,
     rans, systematic_mix,
 )
 
 QUERIES = {
+    "op1_hnsw_neighbours": hnsw.op1_hnsw_neighbours,
     "op2_bpe_encode_decode": bpe.op2_bpe_encode_decode,
     "op3_quality_fm": quality_fm.op3_quality_fm,
     "op4_host_reputation": host_reputation.op4_host_reputation,
