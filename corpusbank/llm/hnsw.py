@@ -36,7 +36,7 @@ SHARD_ROWS = 8_192
 QUERY_BLOCK = 4_096
 LINKS = 16
 BUILD_WIDTH = 64
-WIDTH = 128
+WIDTH = 200
 K = 20
 
 

@@ -2,7 +2,7 @@
 
 from corpusbank.llm import (
     bpe, compression_toxicity, hamming_dedup, hnsw, host_reputation, pii_weak, quality_fm,
-    rans, systematic_mix,
+    rans, syncmers, systematic_mix,
 )
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_bpe_encode_decode": bpe.op2_bpe_encode_decode,
     "op3_quality_fm": quality_fm.op3_quality_fm,
     "op4_host_reputation": host_reputation.op4_host_reputation,
+    "op5_closed_syncmers": syncmers.op5_closed_syncmers,
     "op6_rans_token_files": rans.op6_rans_token_files,
     "op7_hamming_dedup": hamming_dedup.op7_hamming_dedup,
     "op8_systematic_mix": systematic_mix.op8_systematic_mix,
