@@ -7,15 +7,16 @@ leave out gives one key.  By the pigeonhole principle two signatures that differ
 ``CHUNKS * (ERRORS + 1) - 1`` positions share a key: 21 of 64, which a pair of similarity 0.8
 (expected distance 12.8, deviation 3.2) exceeds in fewer than one case in 200.
 
-Copies of one text are never paired with each other.  In every bucket of a key one member, chosen
-by key, leads; first the others are compared with it only.  Pairs within the distance are confirmed
-on the full sets and joined to components.  Then exactly those buckets that still hold several
-components are joined with themselves, over pairs of different components within the distance, and
-confirmed likewise.  So a bucket of thousands of similar texts costs a few comparisons per text,
-and no pair that could join two components is left out.
+Copies of one text are never paired with each other.  In every bucket of a key one member leads;
+in a first round the others are compared with it only, pairs within the distance are confirmed on
+the full sets and joined to components.  Buckets that still hold several components get other
+leaders in a second round.  What is then left open is joined with itself, over pairs of different
+components within the distance, each pair in the first bucket that it shares, and confirmed
+likewise.  So a bucket of thousands of similar texts costs a few comparisons per text, and no pair
+that could join two components is left out.
 
-Shuffled are 64 keys per class, the distances' signatures of candidate pairs, and once the texts,
-to rebuild the sets of the documents that are in a candidate pair.
+Shuffled are 64 keys per class, the signatures of candidate pairs, and in each round the texts, to
+rebuild the sets of the documents that are in a candidate pair.
 
 Defined cases: without words or with a null text a document has an empty set and is linked with
 nothing; fewer words than a shingle form one shingle; a repeated row gets a row of its own; a
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,7 @@ from corpusbank.session import stage
 POSITIONS = 64
 CHUNKS = 11
 ERRORS = 1
+LEADERS = (1, 8)  # orders of leaders in the rounds before the exhaustive one
 BATCH_BYTES = 2_000_000
 SIGNATURE = [f"_s{w}" for w in range(POSITIONS // 8)]
 LOW_BITS = 0x0101010101010101
@@ -111,15 +114,20 @@ def signature_keys(chunks: int = CHUNKS, errors: int = ERRORS) -> Column:
     return F.array(*keys)
 
 
-def distance(a: str, b: str) -> Column:
-    """Number of positions in which the signatures of the aliases ``a`` and ``b`` differ."""
-    total = []
+def differing(a: str, b: str) -> list[Column]:
+    """Per 8 positions a number with the lowest bit of every byte that differs."""
+    out = []
     for name in SIGNATURE:
         x = F.col(f"{a}.{name}").bitwiseXOR(F.col(f"{b}.{name}"))
         for shift in (4, 2, 1):  # any set bit of a byte reaches its lowest bit
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        total.append(F.bit_count(x.bitwiseAND(F.lit(LOW_BITS))))
-    return reduce(Column.__add__, total)
+        out.append(x.bitwiseAND(F.lit(LOW_BITS)))
+    return out
+
+
+def distance(a: str, b: str) -> Column:
+    """Number of positions in which the signatures of the aliases ``a`` and ``b`` differ."""
+    return reduce(Column.__add__, map(F.bit_count, differing(a, b)))
 
 
 def near(a: str, b: str, percent: int, chunks: int, errors: int) -> Column:
@@ -129,16 +137,51 @@ def near(a: str, b: str, percent: int, chunks: int, errors: int) -> Column:
         distance(a, b) < chunks * (errors + 1))
 
 
+def first_shared_slot(a: str, b: str, chunks: int, errors: int) -> Column:
+    """Of the keys that two signatures share, is the key in column ``a._slot`` the first?
+
+    It lies in the first chunk that differs in at most ``errors`` positions.  With one error, a
+    chunk with a difference shares one key, a chunk without any shares all: the first counts.
+    """
+    differs = differing(a, b)
+    slot, first, start = F.col(f"{a}._slot"), F.lit(False), 0
+    for chunk in reversed(list(np.array_split(np.arange(POSITIONS), chunks))):
+        masks: dict[int, int] = {}
+        for p in chunk.tolist():
+            masks[p // 8] = masks.get(p // 8, 0) | 1 << 8 * (p % 8)
+        d = reduce(Column.__add__, [F.bit_count(differs[w].bitwiseAND(F.lit(m)))
+                                    for w, m in masks.items()])
+        low, high = slots_of(chunk, chunks, errors)
+        here = slot.between(low, high - 1)
+        first = F.when(d == 0, slot == low).when(d <= errors, here).otherwise(first)
+    return first
+
+
+def slots_of(chunk: np.ndarray, chunks: int, errors: int) -> tuple[int, int]:
+    """Range of the places of a chunk's keys among all keys of a signature."""
+    low = 0
+    for other in np.array_split(np.arange(POSITIONS), chunks):
+        number = comb(len(other), min(errors, len(other) - 1))
+        if other[0] == chunk[0]:
+            return low, low + number
+        low += number
+    raise ValueError("no such chunk")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the staged pairs (_a, _b) whose full sets are similar by ``percent`` or more."""
-    members = pairs.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct()
+    """Those of the staged pairs (_a, _b) whose full sets are similar by ``percent`` or more.
+
+    The texts of their documents are fetched by a sort-merge join at every size, so that the plan
+    does not change when the list of documents outgrows a broadcast.
+    """
+    members = pairs.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct().hint("merge")
     sets = stage(shingle_sets(docs.join(members, "_id", "left_semi").select("_id", "_text"), words),
                  "near-sets")
     of = lambda side: sets.select(F.col("_id").alias(f"_{side}"), F.col("_set").alias(f"_set_{side}"))
     common = F.size(F.array_intersect("_set_a", "_set_b"))
     either = F.size("_set_a") + F.size("_set_b") - common
-    return pairs.join(of("a"), "_a").join(of("b"), "_b").filter(
-        100 * common >= percent * either).select("_a", "_b").distinct()
+    return stage(pairs.join(of("a"), "_a").join(of("b"), "_b").filter(
+        100 * common >= percent * either).select("_a", "_b").distinct(), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -166,6 +209,26 @@ def components(edges: DataFrame) -> DataFrame:
         edges = stage(small.union(lowest.select("_u", F.col("_m").alias("_v"))).distinct(), "edges")
 
 
+def led_pairs(buckets: DataFrame, orders: int) -> DataFrame:
+    """(_a, _b): every member of a bucket with the bucket's leader, unless they have one root.
+
+    The leader is the least member in one of ``orders`` orders, which the key picks; so members
+    that meet in many buckets meet ``orders`` leaders, not one per bucket.
+    """
+    order = F.pmod("_key", F.lit(orders))
+    rank = F.col("_id") if orders == 1 else F.xxhash64("_id", order)
+    leaders = buckets.groupBy("_key").agg(F.min(F.struct(rank.alias("_r"), "_id", "_root")).alias("_l"))
+    return buckets.join(leaders, "_key").filter("_root <> _l._root").select(
+        F.least("_id", "_l._id").alias("_a"), F.greatest("_id", "_l._id").alias("_b")).distinct()
+
+
+def still_open(buckets: DataFrame, linked: DataFrame) -> DataFrame:
+    """Members, with their roots, of the buckets that hold more than one root."""
+    rooted = buckets.join(linked, "_id", "left").withColumn("_root", F.coalesce("_root", "_id"))
+    mixed = rooted.groupBy("_key").agg(F.min("_root").alias("_x"), F.max("_root").alias("_y"))
+    return rooted.join(mixed.filter("_x <> _y").select("_key"), "_key", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5,
                     percent: int = 80, chunks: int = CHUNKS, errors: int = ERRORS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
@@ -178,37 +241,36 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signed = classes.select("_id", "n_shingles", *SIGNATURE)
     rule = near("x", "y", percent, chunks, errors)
 
-    keyed = classes.select("_id", F.explode(signature_keys(chunks, errors)).alias("_key"))
-    # The leader of a bucket is its least member in an order that differs from key to key.
-    leaders = keyed.groupBy("_key").agg(
-        F.min(F.col("_id").bitwiseXOR(F.col("_key"))).bitwiseXOR(F.col("_key")).alias("_leader"))
-    stars = stage(keyed.join(leaders, "_key").filter("_id <> _leader"), "stars")
-    pairs = stars.select(F.least("_id", "_leader").alias("_a"),
-                         F.greatest("_id", "_leader").alias("_b")).distinct()
-    close = stage(
-        pairs.join(signed.alias("x"), F.col("_a") == F.col("x._id"))
-        .join(signed.alias("y"), F.col("_b") == F.col("y._id")).filter(rule).select("_a", "_b").distinct(),
-        "near-pairs")
-    first = stage(confirmed(close, docs, words, percent), "links")
-    found = components(first)
-
-    root = lambda side: found.select(F.col("_id").alias(side), F.col("_root").alias(f"{side}_root"))
-    rooted = stars.join(root("_leader"), "_leader", "left").join(root("_id"), "_id", "left").select(
-        "_key", "_id", "_leader", F.coalesce("_id_root", "_id").alias("_root"),
-        F.coalesce("_leader_root", "_leader").alias("_leader_root"))
-    open_keys = rooted.filter("_root <> _leader_root").select("_key").distinct()
-    rooted = rooted.join(open_keys, "_key", "left_semi")
-    members = stage(
-        rooted.select("_key", "_id", "_root")
-        .union(rooted.select("_key", "_leader", "_leader_root")).distinct()
-        .join(signed, "_id"), "open-buckets")
-    x, y = members.alias("x"), members.alias("y")
-    rest = x.join(y, (F.col("x._key") == F.col("y._key")) & (F.col("x._id") < F.col("y._id"))
-                  & (F.col("x._root") != F.col("y._root")) & rule)
-    rest = rest.select(F.col("x._id").alias("_a"), F.col("y._id").alias("_b")).distinct()
-    rest = stage(rest.join(close, ["_a", "_b"], "left_anti"), "more-pairs")
-    second = confirmed(rest, docs, words, percent)
-    linked = components(second.union(found.select(F.col("_root"), F.col("_id"))))
+    keyed = classes.select("_id", F.posexplode(signature_keys(chunks, errors)).alias("_slot", "_key"))
+    shared = keyed.groupBy("_key").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most"))
+    buckets = stage(keyed.join(shared.filter("_least <> _most"), "_key")
+                    .select("_key", "_slot", "_id"), "buckets")
+    open_ = buckets.withColumn("_root", F.col("_id"))
+    links, tried = None, None
+    for orders in (*LEADERS, None):
+        if orders:
+            pairs = led_pairs(open_, orders)
+            pairs = (pairs.join(signed.alias("x"), F.col("_a") == F.col("x._id"))
+                     .join(signed.alias("y"), F.col("_b") == F.col("y._id")).filter(rule)
+                     .select("_a", "_b").distinct())
+        else:
+            members = stage(open_.join(signed, "_id"), "members")
+            x, y = members.alias("x"), members.alias("y")
+            met = ((F.col("x._key") == F.col("y._key")) & (F.col("x._id") < F.col("y._id"))
+                   & (F.col("x._root") != F.col("y._root")) & rule
+                   & first_shared_slot("x", "y", chunks, errors))
+            pairs = x.join(y, met).select(
+                F.col("x._id").alias("_a"), F.col("y._id").alias("_b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["_a", "_b"], "left_anti")
+        pairs = stage(pairs, "near-pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        found = confirmed(pairs, docs, words, percent)
+        links = found if links is None else links.union(found)
+        linked = components(links)
+        links = linked.select(F.col("_root").alias("_a"), F.col("_id").alias("_b"))
+        if orders:
+            open_ = stage(still_open(buckets, linked), "open-buckets")
 
     named = classes.select(*same, F.col("_id").alias("_class")).join(
         linked.withColumnRenamed("_id", "_class"), "_class", "left")
@@ -221,7 +283,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                             words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay: one document, the least doc_id, of every component."""
-    found = near_duplicates(docs, doc_id, text, words, percent)
+    found = stage(near_duplicates(docs, doc_id, text, words, percent), "kept")
     gone = found.filter("NOT kept").select(F.col("doc_id").alias(doc_id)).distinct()
     stay = docs.join(gone, doc_id, "left_anti")
     repeated = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")

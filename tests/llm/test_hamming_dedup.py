@@ -107,6 +107,23 @@ def test_pigeonhole(spark):
     assert all(r.met and r.d == r.k % 22 for r in got) and len(got) == 300
 
 
+def test_first_shared_slot_is_met_once(spark):
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 256, (120, 64)).astype(np.uint8)
+    b = a.copy()
+    for k, row in enumerate(b):
+        row[rng.permutation(64)[: k % 22]] ^= 7
+    rows = [(k, *map(int, x.view(np.int64)), *map(int, y.view(np.int64))) for k, (x, y) in enumerate(zip(a, b))]
+    names = [*hd.SIGNATURE, *[f"y{n}" for n in hd.SIGNATURE]]
+    df = spark.createDataFrame(rows, "k long, " + ", ".join(f"{n} long" for n in names))
+    keyed = lambda f: f.select("*", F.posexplode(hd.signature_keys()).alias("_slot", "_key"))
+    x = keyed(df.select("k", *hd.SIGNATURE)).alias("x")
+    y = keyed(df.select("k", *[F.col(f"y{n}").alias(n) for n in hd.SIGNATURE])).alias("y")
+    met = x.join(y, (F.col("x._key") == F.col("y._key")) & (F.col("x.k") == F.col("y.k"))
+                 & hd.first_shared_slot("x", "y", hd.CHUNKS, hd.ERRORS))
+    assert [r["count"] for r in met.groupBy("x.k").count().collect()] == [1] * 120
+
+
 def test_word_hashes_do_not_depend_on_batches(monkeypatch):
     from corpusbank.llm import words
 
