@@ -30,7 +30,7 @@ def practical_rules(original: Column, strict: bool = False) -> list[tuple[int, C
     verbs = "|".join(NAMED_SUBJECT_VERBS)
     if strict:
         subject = any_phrase(text, CONCRETE_SUBJECT) | text.rlike(
-            rf"\b[a-z]+(?:\s+[a-z]\.){{0,3}}\s+(?:{verbs})\b"
+            rf"\b[a-z]{{2,}}(?:\s+[a-z]\.){{0,3}}\s+(?:{verbs})\b"
         )
         acronym = F.lit(False)
         month = text.rlike("|".join(MONTHS))

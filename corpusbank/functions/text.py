@@ -119,5 +119,6 @@ def strip_code_fence(c: Column) -> Column:
 
 
 def fingerprint(stem: Column, *options: Column) -> Column:
-    """SHA-256 of stem and options, each stripped, one per line."""
-    return F.sha2(F.concat_ws("\n", strip(stem), *[strip(o) for o in options]), 256)
+    """SHA-256 of stem and options, each stripped, one per line; a null is an empty line."""
+    lines = [F.coalesce(strip(c), F.lit("")) for c in (stem, *options)]
+    return F.sha2(F.concat_ws("\n", *lines), 256)

@@ -6,39 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusbank.functions.citation import coverage_expression, expand_ranges
-from corpusbank.functions.text import let, normalize_spaces, slugify
-from corpusbank.session import fits, stage
+from corpusbank.functions.text import normalize_spaces, slugify
+from corpusbank.session import stage
 
-SMALL_CATALOGUE = 256
 
-
-def longest_prefix(names: DataFrame, name: str, catalogue: DataFrame, *, key: str,
-                   small: int = SMALL_CATALOGUE) -> DataFrame:
+def longest_prefix(names: DataFrame, name: str, catalogue: DataFrame) -> DataFrame:
     """Adds ``code``: the catalogue entry whose slug is the longest prefix of the name's slug.
 
-    ``catalogue`` is (code, prefix, pos); equal lengths keep catalogue order.  A small
-    catalogue is matched inside the row; a larger one by an equality join on the slug cut
-    to every prefix length (``key`` is the unique key of ``names``).
+    ``catalogue`` is (code, prefix, pos); equal lengths keep catalogue order, then slug and
+    code.  Distinct slugs are cut to every prefix length of the catalogue and joined by
+    equality, so repeated and null names are answered like any other.
     """
-    entries = catalogue.select("code", slugify(F.col("prefix")).alias("slug"), "pos").withColumn(
-        "len", F.length("slug"))
-    if fits(catalogue, small):
-        ordered = entries.agg(F.array_sort(F.collect_list(
-            F.struct((-F.col("len")).alias("neg"), "pos", "slug", "code")))).scalar()
-        hits = let(slugify(F.col(name)), lambda slug: F.filter(
-            "_entries", lambda e: F.startswith(slug, e["slug"])))
-        return names.withColumn("_entries", ordered).withColumn(
-            "code", F.get(hits, F.lit(0))["code"]).drop("_entries")
-    lengths = entries.agg(F.collect_set("len")).scalar()
-    cut = names.select(
-        key, slugify(F.col(name)).alias("_slug"), lengths.alias("_lengths")
-    ).select(
-        key, F.explode(F.transform(
+    entries = catalogue.select("code", slugify(F.col("prefix")).alias("_cut"), "pos").withColumn(
+        "_len", F.length("_cut"))
+    lengths = entries.agg(F.collect_set("_len")).scalar()  # a few numbers
+    slugged = names.withColumn("_slug", slugify(F.col(name)))
+    cut = slugged.select("_slug").distinct().withColumn("_lengths", lengths).select(
+        "_slug", F.explode(F.transform(
             F.filter("_lengths", lambda n: n <= F.length("_slug")),
-            lambda n: F.left(F.col("_slug"), n))).alias("slug"))
-    best = cut.join(entries, "slug").groupBy(key).agg(
-        F.max_by("code", F.struct("len", -F.col("pos"))).alias("code"))
-    return names.join(best, key, "left")
+            lambda n: F.left(F.col("_slug"), n))).alias("_cut"))
+    best = cut.join(entries, "_cut").groupBy("_slug").agg(F.min(F.struct(
+        (-F.col("_len")).alias("neg"), "pos", "_cut", "code"))["code"].alias("code"))
+    return slugged.join(best, "_slug", "left").select(*names.columns, "code")
 
 
 def _padded(c: Column, whole_words: bool) -> Column:
@@ -50,57 +39,44 @@ def word_form(c: Column) -> Column:
     return F.trim(F.regexp_replace(normalize_spaces(c), "[^\\p{L}\\p{N}/_]+", " "))
 
 
-def contained_codes(texts: DataFrame, key: str, text: str, aliases: DataFrame, *,
-                    whole_words: bool = True, small: int = SMALL_CATALOGUE) -> DataFrame:
-    """Adds ``codes``: distinct codes any of whose aliases occurs in the text.
+def contained_codes(texts: DataFrame, text: str, aliases: DataFrame, *,
+                    whole_words: bool = True) -> DataFrame:
+    """Adds ``codes``: distinct codes any of whose aliases occurs in the text, sorted.
 
     ``aliases`` is (code, alias).  Whole words by default; ``whole_words=False`` matches
-    plain substrings.  A small catalogue is tested inside the row.  A larger one is blocked
-    by one word (or character trigram) of the alias: an equality join gives the candidates,
-    which are then verified on the text.
+    plain substrings.  An alias is blocked by the one of its words (or trigrams, of a short
+    alias the whole) that fewest aliases share: an equality join with the words of the
+    distinct texts gives candidates per text, known by its digest, which are joined back
+    once and verified inside the row.
     """
     form = word_form if whole_words else normalize_spaces
-    entries = aliases.select("code", form(F.col("alias")).alias("alias")).filter("alias <> ''")
-    if fits(aliases, small):
-        bundle = entries.agg(F.collect_set(F.struct(
-            "code", _padded(F.col("alias"), whole_words).alias("alias")))).scalar()
-        hits = let(_padded(form(F.col(text)), whole_words), lambda norm: F.transform(
-            F.filter("_aliases", lambda e: F.contains(norm, e["alias"])), lambda e: e["code"]))
-        return texts.withColumn("_aliases", bundle).withColumn(
-            "codes", F.sort_array(F.array_distinct(hits))).drop("_aliases")
-    def grams(c):
+
+    def grams(c, sizes=(1, 2, 3)):
         if whole_words:
             return F.split(c, " ")
-        return F.regexp_extract_all(c, F.lit("(?s)(?=(.{3}))"), F.lit(1))
-
-    # anchor of an alias: its rarest word (trigram) in the catalogue, so that few aliases
-    # share one
-    grammed = entries.select(
-        "code", "alias", F.explode(F.array_distinct(grams(F.col("alias")))).alias("anchor"))
-    shared = grammed.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"))
-    anchored = stage(grammed.join(shared, "anchor").groupBy("code", "alias").agg(F.min_by(
-        "anchor", F.struct("_n", -F.length("anchor"), "anchor")).alias("anchor")), "anchors")
-    normal = texts.select(key, form(F.col(text)).alias("_norm"))
+        return F.flatten(F.array(*[
+            F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]))
+
+    entries = aliases.select("code", form(F.col("alias")).alias("alias")).filter("alias <> ''")
+    own = grams(F.col("alias")) if whole_words else F.filter(
+        grams(F.col("alias")), lambda g: F.length(g) == F.least(F.length("alias"), F.lit(3)))
+    grammed = entries.select("code", "alias", F.explode(F.array_distinct(own)).alias("_anchor"))
+    shared = grammed.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_n"))
+    anchored = stage(grammed.join(shared, "_anchor").groupBy("code", "alias").agg(F.min_by(
+        "_anchor", F.struct("_n", -F.length("_anchor"), "_anchor")).alias("_anchor")), "anchors")
+    normal = texts.withColumn("_norm", form(F.col(text))).withColumn("_digest", F.sha2("_norm", 256))
     candidates = (
-        normal.select(key, F.explode(F.array_distinct(grams(F.col("_norm")))).alias("anchor"))
-        .join(anchored, "anchor")
-    )
-    verified = (
-        candidates.join(normal, key)
-        .filter(F.contains(_padded(F.col("_norm"), whole_words),
-                           _padded(F.col("alias"), whole_words)))
+        normal.select("_digest", F.explode(F.array_distinct(grams(F.col("_norm")))).alias("_anchor"))
+        .join(anchored, "_anchor").groupBy("_digest")
+        .agg(F.collect_set(F.struct("code", "alias")).alias("_aliases"))
     )
-    found = verified.select(key, "code")
-    if not whole_words:  # aliases too short for a trigram: a bounded set, tested in the row
-        short = entries.filter(F.length("alias") < 3).agg(
-            F.collect_set(F.struct("code", "alias"))).scalar()
-        found = found.unionByName(normal.withColumn("_short", short).select(
-            key, F.explode(F.transform(
-                F.filter("_short", lambda e: F.contains(F.col("_norm"), e["alias"])),
-                lambda e: e["code"])).alias("code")))
-    grouped = found.groupBy(key).agg(F.array_sort(F.collect_set("code")).alias("codes"))
-    return texts.join(grouped, key, "left").withColumn(
-        "codes", F.coalesce("codes", F.array().cast("array<string>")))
+    padded = _padded(F.col("_norm"), whole_words)
+    hits = F.transform(
+        F.filter("_aliases", lambda e: F.contains(padded, _padded(e["alias"], whole_words))),
+        lambda e: e["code"])
+    found = normal.join(candidates, "_digest", "left").withColumn("codes", F.coalesce(
+        F.array_sort(F.array_distinct(hits)), F.array().cast("array<string>")))
+    return found.select(*texts.columns, "codes")
 
 
 def coverage_from_documents(assoc: DataFrame, document: str = "document") -> DataFrame:

@@ -10,15 +10,16 @@ from corpusbank.functions.items import valid_answer
 from corpusbank.functions.text import title_key
 
 
-def options_to_map(options: DataFrame, key: list[str], letter: str, text: str) -> DataFrame:
+def options_to_map(options: DataFrame, key: list[str], letter: str, text: str,
+                   order: str) -> DataFrame:
     """(key.., options, repeated): child rows as a map letter -> text.
 
-    Letters are trimmed and upper-cased; a repeated letter keeps its smallest text and
-    raises the flag.  Rows are reduced per letter first, so a key collects one entry per
-    letter (the letters are a small fixed set, see the CHECK rules).
+    Letters are trimmed and upper-cased; a repeated letter keeps its last text by ``order``
+    (equal places: the greater text) and raises the flag.  Rows are reduced per letter first,
+    so a key collects one entry per letter (a small fixed set, see the CHECK rules).
     """
     rows = options.groupBy(*key, F.upper(F.trim(F.col(letter))).alias("_l")).agg(
-        F.min(text).alias("_t"), F.count(F.lit(1)).alias("_n"))
+        F.max_by(text, F.struct(order, text)).alias("_t"), F.count(F.lit(1)).alias("_n"))
     return rows.groupBy(*key).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("_l", "_t")))).alias("options"),
         (F.max("_n") > 1).alias("repeated"))
@@ -52,10 +53,11 @@ def unique_match(assoc: DataFrame, titles: DataFrame, key: list[str], *, number:
                  title: str, match_id: str) -> DataFrame:
     """(key.., n_matches, match_id): the id only when number and title match exactly once."""
     left = assoc.select(*key, number, title_key(F.col(title)).alias("_key"))
-    right = titles.select(number, title_key(F.col(title)).alias("_key"), match_id)
-    return left.join(right, [number, "_key"], "left").groupBy(*key).agg(
-        F.count(match_id).alias("n_matches"),
-        F.when(F.count(match_id) == 1, F.min(match_id)).alias(match_id))
+    counted = titles.select(number, title_key(F.col(title)).alias("_key"), match_id).groupBy(
+        number, "_key").agg(F.count(match_id).alias("_n"), F.min(match_id).alias("_id"))
+    n = F.coalesce(F.sum("_n"), F.lit(0))
+    return left.join(counted, [number, "_key"], "left").groupBy(*key).agg(
+        n.alias("n_matches"), F.when(n == 1, F.min("_id")).alias(match_id))
 
 
 def evaluate(rows: DataFrame, *, topic: str, part: str, answer: str, subject: str) -> DataFrame:

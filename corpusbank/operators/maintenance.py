@@ -25,9 +25,15 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataF
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
     """(new rows.., status): 'inserted' for the first row of an unknown key, else 'existing'."""
+    # ``order`` is unique per key; it may repeat over keys.
     first = new.groupBy(*keys).agg(F.min(order).alias("_order")).join(
-        old, keys, "left_anti").select(F.col("_order").alias(order), F.lit(True).alias("_first"))
-    return new.join(first, order, "left").withColumn(
+        old, keys, "left_anti").select(
+            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_order",
+            F.lit(True).alias("_first"))
+    same = F.col(order) == F.col("_order")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return new.join(first, same, "left").drop("_order", *[f"_k{i}" for i in range(len(keys))]).withColumn(
         "status", F.when(F.col("_first"), "inserted").otherwise("existing")).drop("_first")
 
 
@@ -78,9 +84,9 @@ def set_null_on_delete(children: DataFrame, deleted: DataFrame, key: str) -> Dat
 
 
 def unique_violations(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """(rule, key, n): one row per repeated key."""
+    """(rule, key, n): one row per repeated key; a key with a null part may repeat."""
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in keys])
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
+    return df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
         F.lit(name).alias("rule"), key.alias("key"), "n")
 
 

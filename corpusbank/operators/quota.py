@@ -33,17 +33,23 @@ def ranked_strata(bank: DataFrame, quotas: DataFrame, *, block: str, topic: str,
                   bound: int) -> DataFrame:
     """Bank rows numbered inside (block, topic) with their quota.
 
-    Only the first ``bound`` rows of a stratum are kept: ``bound`` must be at least the
-    number of rows any draw can need, which the exam size limits.
+    Only the first ``bound`` rows of a stratum are kept: the number that the draw can need,
+    taken from the quotas, so that nothing is missing and each task prunes before the shuffle.
     """
     wanted = bank.join(quotas.select(block, topic, "quota"), [block, topic])
     return top_k(wanted, [block, topic], [order], bound, "rn")
 
 
+def largest_quota(quotas: DataFrame, group: list[str]) -> int:
+    """The largest sum of quotas of a group: one number to the driver."""
+    return max(1, quotas.groupBy(*group).agg(F.sum("quota").alias("q")).agg(F.max("q")).first()[0] or 0)
+
+
 def stratified_sample(bank: DataFrame, quotas: DataFrame, *, block: str, topic: str,
-                      order: Column, exam_size: int) -> DataFrame:
+                      order: Column) -> DataFrame:
     """First ``quota`` rows of each (block, topic) in the given (pseudo-random) order."""
-    ranked = ranked_strata(bank, quotas, block=block, topic=topic, order=order, bound=exam_size)
+    ranked = ranked_strata(bank, quotas, block=block, topic=topic, order=order,
+                           bound=largest_quota(quotas, [block, topic]))
     return ranked.filter(F.col("rn") <= F.col("quota"))
 
 
@@ -57,15 +63,16 @@ def shortfalls(sample: DataFrame, quotas: DataFrame, block: str, topic: str) ->
 
 
 def draw_with_backfill(bank: DataFrame, quotas: DataFrame, *, block: str, topic: str,
-                       order: Column, topic_order: Column, exam_size: int,
+                       order: Column, topic_order: Column,
                        no_backfill: tuple[str, ...] = (INFORMATICS,)) -> DataFrame:
     """Stratified draw plus back-fill; adds ``origin`` = 'quota' or 'backfill'.
 
     Missing units of a block are taken one by one from its topics in ``topic_order``:
     closed form, the r-th spare row of each topic is offered in the order (r, topic).
     """
-    ranked = ranked_strata(bank, quotas, block=block, topic=topic, order=order,
-                           bound=2 * exam_size)
+    # A stratum gives its quota and, at most, what all of its block lacks.
+    most = largest_quota(quotas, [block])
+    ranked = ranked_strata(bank, quotas, block=block, topic=topic, order=order, bound=2 * most)
     chosen = ranked.filter(F.col("rn") <= F.col("quota"))
     deficit = (
         shortfalls(chosen, quotas, block, topic)
@@ -75,7 +82,7 @@ def draw_with_backfill(bank: DataFrame, quotas: DataFrame, *, block: str, topic:
     spare = ranked.filter(F.col("rn") > F.col("quota")).withColumn(
         "_round", F.col("rn") - F.col("quota"))
     extra = top_k(
-        spare.join(deficit, block), [block], [F.col("_round"), topic_order], exam_size, "_place"
+        spare.join(deficit, block), [block], [F.col("_round"), topic_order], most, "_place"
     ).filter(F.col("_place") <= F.col("_deficit"))
     return chosen.withColumn("origin", F.lit("quota")).drop("rn", "quota").unionByName(
         extra.withColumn("origin", F.lit("backfill"))

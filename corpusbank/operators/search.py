@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 from corpusbank.constants import BM25_B, BM25_K1, CANDIDATES, STOP_WORDS
 from corpusbank.functions.text import strip, tokens
 from corpusbank.operators.ranking import top_k
-from corpusbank.session import fits, stage
+from corpusbank.session import stage
 
-MAX_VOCABULARY = 1_000_000
 _RUN = r"([a-z0-9]+)(?: \1(?![a-z0-9]))*+"  # a token and its repeats; possessive, no recursion
 DOC_ROW = ""  # pseudo token: one posting per document, also for documents without tokens
 
@@ -96,14 +95,12 @@ def bm25_scores(posts: DataFrame, terms: DataFrame, doc_id: str, query_id: str,
 def prune_postings(posts: DataFrame, terms: DataFrame) -> DataFrame:
     """Postings of the query vocabulary (and the document rows).
 
-    A vocabulary of checked size is broadcast.  A larger one covers most of the corpus
-    anyway: then everything is kept rather than shuffling the whole corpus to drop little.
+    ``terms`` is staged, so the planner knows its size: a small vocabulary is broadcast and
+    the postings are pruned where they arise, a larger one is joined by token.
     """
-    vocabulary = terms.select("tok").distinct()
-    if not fits(vocabulary, MAX_VOCABULARY):
-        return posts
-    doc_row = posts.sparkSession.range(1).select(F.lit(DOC_ROW).alias("tok"))
-    return posts.join(F.broadcast(vocabulary.unionByName(doc_row)), "tok", "left_semi")
+    vocabulary = terms.select("tok").union(
+        posts.sparkSession.range(1).select(F.lit(DOC_ROW).alias("tok"))).distinct()
+    return posts.join(vocabulary, "tok", "left_semi")
 
 
 def bm25_topk(corpus: DataFrame, queries: DataFrame, *, doc_id: str, text: str, query_id: str,

@@ -107,20 +107,16 @@ def migrate_bank(questions: DataFrame, bank: DataFrame, parts: DataFrame, topics
 
 
 def build_exam(bank: DataFrame, counts: DataFrame, targets: DataFrame, *, order: Column,
-               topic_order: Column, block_position: Column, exam_size: int, shuffle: Column,
+               topic_order: Column, block_position: Column, shuffle: Column,
                no_backfill: tuple[str, ...] = (INFORMATICS,)) -> DataFrame:
     """Numbered exam: quotas by largest remainder, draw, back-fill, shuffle inside blocks."""
     quotas = stage(largest_remainder(counts, targets), "quotas")
     drawn = draw_with_backfill(bank, quotas, block="block", topic="topic", order=order,
-                               topic_order=topic_order, exam_size=exam_size,
+                               topic_order=topic_order,
                                no_backfill=no_backfill)
     return number_items(drawn, [], block_position, shuffle)
 
 
-def exam_report(exam: DataFrame, targets: DataFrame) -> DataFrame:
-    return block_summary(exam, targets)
-
-
 def grade_report(answered: DataFrame, attempt: list[str], *, topic: str, norm: str,
                  article: str, number: str) -> dict[str, DataFrame]:
     """Marks, outcome per topic, most frequent errors and representative errors."""

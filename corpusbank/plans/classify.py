@@ -53,7 +53,7 @@ def validate_footers(items: DataFrame, aliases: DataFrame, index, *, key: str, n
     given = F.coalesce(*[blank_to_null(F.col(c)) for c in (norm, footer, stem)])
     rows = contained_codes(
         items.select(key, given.alias("_text"), F.col(article).alias("_article")),
-        key, "_text", aliases, whole_words=whole_words)
+        "_text", aliases, whole_words=whole_words)
     n = F.size("codes")
     rows = rows.withColumn("norm", F.when(n == 1, F.col("codes")[0])).withColumn(
         "article", normalize_article(F.col("_article")))
@@ -97,7 +97,7 @@ def classify_direct(items: DataFrame, aliases: DataFrame, index, *, key: str, te
         F.coalesce(named_norm(F.col(text), named), cited_norm(F.col(text), norm_pattern))
         .alias("_cited"),
         normalize_article(cited_article(F.col(text), article_pattern)).alias("article"))
-    rows = contained_codes(cited, key, "_text", aliases, whole_words=whole_words)
+    rows = contained_codes(cited, "_text", aliases, whole_words=whole_words)
     found, fallback = F.size("codes"), (F.size("codes") == 0) & F.col("_cited").isNotNull()
     rows = rows.withColumn("_codes", found + F.when(fallback, 1).otherwise(0)).withColumn(
         "norm", F.when(found == 1, F.col("codes")[0]).when(fallback, F.col("_cited")))

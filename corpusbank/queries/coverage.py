@@ -165,7 +165,7 @@ def longest_prefix_join(t):
         F.concat(F.lit("Brand#"), (F.col("pos") + 1).cast("string")).alias("prefix"),
         F.concat(F.lit("B"), (F.col("pos") + 1).cast("string")).alias("code"), "pos")
     names = t.part.select("p_partkey", F.concat_ws(" ", "p_brand", "p_name").alias("name"))
-    return cov.longest_prefix(names, "name", catalogue, key="p_partkey").select("p_partkey", "code")
+    return cov.longest_prefix(names, "name", catalogue).select("p_partkey", "code")
 
 
 _WORDS = r"trim(regexp_replace(trim(regexp_replace(strip_accents(lower({})), '\s+', ' ', 'g')), '[^\p{{L}}\p{{N}}/_]+', ' ', 'g'))"
@@ -178,7 +178,7 @@ SELECT d.doc_id, COUNT(item_id) AS n_codes, string_agg(CAST(item_id AS VARCHAR),
 FROM d LEFT JOIN b ON contains(d.n, b.n) AND b.n <> '  ' GROUP BY d.doc_id""")
 def alias_containment_join(t):
     aliases = t.benchmark.select(F.col("item_id").cast("string").alias("code"), F.col("text").alias("alias"))
-    found = cov.contained_codes(t.documents.select("doc_id", "text"), "doc_id", "text", aliases)
+    found = cov.contained_codes(t.documents.select("doc_id", "text"), "text", aliases)
     return found.select(
         "doc_id", F.size("codes").cast("long").alias("n_codes"),
         F.nullif(F.array_join("codes", ","), F.lit("")).alias("codes"))

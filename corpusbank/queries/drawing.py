@@ -66,8 +66,7 @@ def largest_remainder(t):
 
 def sample(t, strata):
     return quota.stratified_sample(
-        question_bank(t), strata, block="block", topic="topic", order=hash_order(F.col("item")),
-        exam_size=EXAM_SIZE)
+        question_bank(t), strata, block="block", topic="topic", order=hash_order(F.col("item")))
 
 
 @query("stratified_sample", f"WITH {BANK_SQL} SELECT item, block, topic, quota, CAST(rn AS INTEGER) AS rn FROM chosen")
@@ -79,7 +78,7 @@ def drawn(t, strata=None):
     return quota.draw_with_backfill(
         question_bank(t), quotas(t) if strata is None else strata, block="block", topic="topic",
         order=hash_order(F.col("item")), topic_order=hash_order(F.col("topic")),
-        exam_size=EXAM_SIZE, no_backfill=NO_BACKFILL)
+        no_backfill=NO_BACKFILL)
 
 
 @query("quota_backfill", f"WITH {BANK_SQL} SELECT * FROM drawn")
@@ -97,7 +96,7 @@ def block_shuffle_number(t):
 def built_exam(t):
     return plans.build_exam(
         question_bank(t), model_counts(t), targets(t), order=hash_order(F.col("item")),
-        topic_order=hash_order(F.col("topic")), block_position=F.col("block"), exam_size=EXAM_SIZE,
+        topic_order=hash_order(F.col("topic")), block_position=F.col("block"),
         shuffle=F.md5(F.concat(F.lit("s|"), F.col("item").cast("string"))), no_backfill=NO_BACKFILL)
 
 

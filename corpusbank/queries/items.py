@@ -87,19 +87,19 @@ def valid_answer_filter(t):
 
 
 # option rows of the orders: the line number gives the letter
-OPT_SQL = """opt AS (SELECT l_orderkey, list_extract(['A', 'B', 'C', 'D', 'A', 'B', 'E'], l_linenumber) AS letter, 'p' || l_partkey AS text FROM lineitem),
-per AS (SELECT l_orderkey, letter, MIN(text) AS text, COUNT(*) AS n FROM opt GROUP BY ALL)"""
+OPT_SQL = """opt AS (SELECT l_orderkey, list_extract(['A', 'B', 'C', 'D', 'A', 'B', 'E'], l_linenumber) AS letter, 'p' || l_partkey AS text, l_linenumber FROM lineitem),
+per AS (SELECT l_orderkey, letter, (max(struct_pack(n := l_linenumber, t := text))).t AS text, COUNT(*) AS n FROM opt GROUP BY ALL)"""
 
 
 def option_rows(t):
     letters = F.array(*[F.lit(x) for x in ("a", " B", "c", "D ", "A", "b", "E")])
     return t.lineitem.select(
-        "l_orderkey", F.element_at(letters, F.col("l_linenumber")).alias("letter"),
+        "l_orderkey", "l_linenumber", F.element_at(letters, F.col("l_linenumber")).alias("letter"),
         F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("text"))
 
 
 def option_maps(t):
-    return joins.options_to_map(option_rows(t), ["l_orderkey"], "letter", "text")
+    return joins.options_to_map(option_rows(t), ["l_orderkey"], "letter", "text", "l_linenumber")
 
 
 @query("options_to_map", f"""

@@ -103,9 +103,21 @@ def corpus_stats(t):
 @query("candidate_pack", f"""
 WITH {bm25_sql()}
 SELECT item_id, string_agg('Fragmento ' || rank || chr(10) || 'fragmento_id=' || doc_id || chr(10)
-  || 'documento=' || source || chr(10) || chr(10) || {strip_sql("substr(text, 1, 3000)")}, chr(10) || chr(10) ORDER BY rank) AS pack
+  || 'documento=' || source || chr(10) || chr(10) || {strip_sql("text")}, chr(10) || chr(10) ORDER BY rank) AS pack
 FROM ranked JOIN documents USING (doc_id) GROUP BY item_id""")
 def candidate_pack(t):
+    return search.pack_candidates(
+        candidates(t), t.documents, doc_id="doc_id", text="text", query_id="item_id",
+        name="source")
+
+
+@query("document_pack", f"""
+WITH {bm25_sql()}
+SELECT item_id, string_agg('Fragmento ' || rank || chr(10) || 'fragmento_id=' || doc_id || chr(10)
+  || 'documento=' || source || chr(10) || chr(10) || {strip_sql("substr(text, 1, 3000)")}, chr(10) || chr(10) ORDER BY rank) AS pack
+FROM ranked JOIN documents USING (doc_id) GROUP BY item_id""")
+def document_pack(t):
+    """Whole documents as candidates: the first 3,000 characters of each, as the feature asks."""
     return search.pack_candidates(
         candidates(t), t.documents, doc_id="doc_id", text="text", query_id="item_id",
         name="source", max_chars=3000)

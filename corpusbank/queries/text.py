@@ -212,7 +212,7 @@ PRACTICAL_SQL = r"""d AS (SELECT doc_id, text, trim(regexp_replace(strip_accents
 r AS (SELECT doc_id,
   CASE WHEN regexp_matches(n, '(^|[^\w\x{DF}])(?:suponga que|supongamos que|imagine que|en el supuesto de que|supuesto de hecho|caso planteado)($|[^\w\x{DF}])') THEN 4 ELSE 0 END AS a,
   CASE WHEN regexp_matches(n, '(^|[^\w\x{DF}])(?:fructuosa|mariano|(?:el|un) funcionario|(?:la|una) funcionaria|(?:el|un) interesado|(?:la|una) interesada|(?:el|un) particular|(?:la|una) ciudadana|(?:el|un) ciudadano|(?:la|una) conselleria|conselleria [a-z]|(?:la|una) direccion general|(?:el|un) director general|(?:el|un) ayuntamiento|(?:el|un) organo de contratacion|(?:la|una) intervencion delegada|(?:la|una) empresa|(?:el|un) licitador|persona tecnica encargada|jefa de seccion)($|[^\w\x{DF}])')
-    OR regexp_matches(n, '(^|[^\w\x{DF}])[a-z]+(?:\s+[a-z]\.){0,3}\s+(?:es|se encuentra|ha|presenta|solicita|interpone|pretende|ocupa)($|[^\w\x{DF}])') THEN 2 ELSE 0 END AS b,
+    OR regexp_matches(n, '(^|[^\w\x{DF}])[a-z]{2,}(?:\s+[a-z]\.){0,3}\s+(?:es|se encuentra|ha|presenta|solicita|interpone|pretende|ocupa)($|[^\w\x{DF}])') THEN 2 ELSE 0 END AS b,
   CASE WHEN regexp_matches(n, '\b20\d{2}\b') THEN 2 ELSE 0 END AS c,
   CASE WHEN regexp_matches(n, 'enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|octubre|noviembre|diciembre') THEN 2 ELSE 0 END AS e,
   CASE WHEN regexp_matches(n, '\d+\s*%') THEN 2 ELSE 0 END AS f,

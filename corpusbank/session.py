@@ -68,15 +68,20 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when the table has at most ``max_rows`` rows; reads no more than needed."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a scanned table out to all cores when it has fewer splits than the cluster.
+    """In a local session, deal a table of few splits out to all cores.
 
-    Large tables have more splits than cores and are left alone (no shuffle).
+    On a cluster the splits of the files decide: no shuffle.
     """
+    if not local_master(df.sparkSession.sparkContext.master):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Remove this application's staged tables; call it when its results have been written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(
+        os.path.join(work_dir(spark), "corpusbank", spark.sparkContext.applicationId))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -120,7 +120,7 @@ def test_backfill_matches_loop(spark):
     got = quota.draw_with_backfill(
         spark.createDataFrame(bank, "block string, topic int, item long"),
         spark.createDataFrame(quotas, "block string, topic int, quota long"), block="block", topic="topic",
-        order=F.col("item"), topic_order=F.col("topic"), exam_size=60, no_backfill=("b3",))
+        order=F.col("item"), topic_order=F.col("topic"), no_backfill=("b3",))
     chosen = {r["item"]: r["origin"] for r in got.collect()}
     want = {}
     for b in {q[0] for q in quotas}:
@@ -196,27 +196,76 @@ def test_questions_and_options(spark):
 
 
 @pytest.mark.parametrize("whole", [True, False])
-def test_contained_codes_paths_agree(spark, whole):
+@pytest.mark.parametrize("more", [0, 257, 10_000])
+def test_contained_codes(spark, whole, more):
+    """Repeated and null keys, repeated texts; the size of the catalogue changes nothing."""
     texts = spark.createDataFrame(
         [(1, "La Ley 39/2015, de procedimiento"), (2, "procedimiento sin nada"), (3, "CE y TUE"), (4, ""),
-         (5, "constitución española y la ley 39/2015")], "k int, t string")
-    aliases = spark.createDataFrame(
-        [("L", "ley 39/2015"), ("CE", "ce"), ("CE", "Constitución Española"), ("TUE", "tue"), ("P", "procedimiento")],
-        "code string, alias string")
-    small, large = [
-        {r["k"]: r["codes"] for r in cov.contained_codes(texts, "k", "t", aliases, whole_words=whole, small=n).collect()}
-        for n in (100, 0)]
-    assert small == large
-    assert small[1] == (["L", "P"] if whole else ["CE", "L", "P"]) and small[4] == []
-
-
-def test_longest_prefix_paths_agree(spark):
-    names = spark.createDataFrame([(1, "Ley Orgánica 3_2018.pdf"), (2, "Ley 3_2018 articulos 1-2.pdf"), (3, "otro")], "k int, n string")
-    catalogue = spark.createDataFrame([("L", "Ley", 0), ("LO", "Ley Orgánica", 1), ("L3", "ley 3_2018", 2), ("L3b", "Ley 3 2018", 3)],
-                                      "code string, prefix string, pos int")
-    for small in (100, 0):
-        got = cov.longest_prefix(names, "n", catalogue, key="k", small=small)
-        assert {r["k"]: r["code"] for r in got.collect()} == {1: "LO", 2: "L3", 3: None}
+         (5, "constitución española y la ley 39/2015"), (6, None), (7, "alfa"), (7, "beta"), (None, "alfa")],
+        "k int, t string")
+    aliases = [("L", "ley 39/2015"), ("CE", "ce"), ("CE", "Constitución Española"), ("TUE", "tue"),
+               ("P", "procedimiento"), ("A", "alfa"), ("B", "beta")]
+    aliases += [(f"X{i}", f"zzz{i} qqq") for i in range(more)]
+    got = [(r["k"], r["t"], r["codes"]) for r in cov.contained_codes(
+        texts, "t", spark.createDataFrame(aliases, "code string, alias string"), whole_words=whole).collect()]
+    by_text = {t: c for _, t, c in got}
+    assert len(got) == 9 and by_text["La Ley 39/2015, de procedimiento"] == (["L", "P"] if whole else ["CE", "L", "P"])
+    assert by_text[""] == by_text[None] == [] and by_text["CE y TUE"] == ["CE", "TUE"]
+    assert sorted((k or 0, c) for k, t, c in got if t in ("alfa", "beta")) == [(0, ["A"]), (7, ["A"]), (7, ["B"])]
+
+
+def test_longest_prefix(spark):
+    names = spark.createDataFrame(
+        [(1, "Ley Orgánica 3_2018.pdf"), (2, "Ley 3_2018 articulos 1-2.pdf"), (3, "otro"), (3, "Ley x"), (None, "Ley x"), (4, None)],
+        "k int, n string")
+    catalogue = [("L", "Ley", 0), ("LO", "Ley Orgánica", 1), ("L3", "ley 3_2018", 2), ("L3b", "Ley 3 2018", 3), ("L3a", "Ley 3 2018", 3)]
+    for more in (0, 257):
+        entries = catalogue + [(f"Z{i}", f"zeta {i}", 9) for i in range(more)]
+        got = cov.longest_prefix(names, "n", spark.createDataFrame(entries, "code string, prefix string, pos int"))
+        assert sorted((r["k"] or 0, r["n"] or "", r["code"] or "") for r in got.collect()) == [
+            (0, "Ley x", "L"), (1, "Ley Orgánica 3_2018.pdf", "LO"), (2, "Ley 3_2018 articulos 1-2.pdf", "L3"),
+            (3, "Ley x", "L"), (3, "otro", ""), (4, "", "")]
+
+
+def test_quota_above_any_default(spark):
+    bank = spark.range(500).select(F.lit("b").alias("block"), F.lit(1).alias("topic"), F.col("id").alias("item"))
+    quotas = spark.createDataFrame([("b", 1, 300)], "block string, topic int, quota long")
+    got = quota.stratified_sample(bank, quotas, block="block", topic="topic", order=F.col("item"))
+    assert got.count() == 300
+
+
+def test_one_question_in_two_calls(spark):
+    old = spark.createDataFrame([], "q int, call string")
+    new = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "q int, call string").withColumn("o", F.col("q"))
+    got = maintenance.insert_ignore(old, new, ["q", "call"], "o").collect()
+    assert sorted((r.q, r.call, r.status) for r in got) == [(1, "a", "inserted"), (1, "b", "inserted"), (2, "a", "inserted")]
+
+
+def test_nulls_may_repeat_in_unique_keys(spark):
+    rows = spark.createDataFrame([(None,), (None,), ("x",), ("x",)], "k string")
+    assert [(r.key, r.n) for r in maintenance.unique_violations(rows, ["k"], "u").collect()] == [("x", 2)]
+
+
+def test_repeated_letter_keeps_the_last(spark):
+    from corpusbank.operators.joins import options_to_map
+
+    rows = spark.createDataFrame([(1, "a", "z", 1), (1, "A ", "b", 2), (1, "b", "c", 3)], "k int, l string, t string, o int")
+    r = options_to_map(rows, ["k"], "l", "t", "o").first()
+    assert r.options == {"A": "b", "B": "c"} and r.repeated
+
+
+def test_null_options_keep_their_place(spark):
+    from corpusbank.functions.text import fingerprint
+
+    rows = spark.createDataFrame([("s", None, "x"), ("s", "x", None)], "s string, a string, b string")
+    assert rows.select(fingerprint(F.col("s"), F.col("a"), F.col("b")).alias("f")).distinct().count() == 2
+
+
+def test_one_letter_is_no_subject(spark):
+    from corpusbank.functions.features import practical_score
+
+    rows = spark.createDataFrame([("y es asi",), ("ana es asi",)], "t string")
+    assert [r[0] for r in rows.select(practical_score(F.col("t"), strict=True)).collect()] == [0, 2]
 
 
 COVERAGE = [("Ley 39_2015 articulos 1-33.pdf", "L39_2015", "Especial-Teoría", 1), ("Ley 39_2015 articulos 34-52.pdf", "L39_2015", "Especial-Teoría", 2),
