@@ -7,101 +7,65 @@ from pyspark.sql import functions as F
 
 from corpusbank.session import stage
 
-ID_WIDTH = 100_000
-HASH_DIGITS = 3
-
-
-def id_bucket(c: Column, width: int = ID_WIDTH) -> Column:
-    """Order-preserving bucket of a numeric key."""
-    return F.floor(c / F.lit(width))
-
 
 def hash_order(*cols: Column) -> Column:
     """Reproducible pseudo-random order: md5 of the joined values."""
     return F.md5(F.concat_ws("|", *[c.cast("string") for c in cols]))
 
 
-def hash_bucket(hex_hash: Column, digits: int = HASH_DIGITS) -> Column:
-    """Order-preserving bucket of a hexadecimal hash."""
-    return F.conv(F.substring(hex_hash, 1, digits), 16, 10).cast("long")
-
-
-def _offsets(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    """Per (group, bucket): total of all earlier buckets of the group."""
-    totals = df.groupBy(*keys, "_bucket").agg(value.alias("_total"))
-    before = (
-        Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return totals.select(
-        *keys, "_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset")
-    )
-
-
-def row_numbers(df: DataFrame, group: list[str], order: list[Column], bucket: Column,
-                name: str = "rn") -> DataFrame:
-    """``row_number`` per group (or over everything) through order-preserving buckets.
+def _laid_out(df: DataFrame, group: list[str], order: list[str], label: str) -> DataFrame:
+    """``df`` dealt out by (group.., order..) ranges taken from the data, sorted and staged.
 
-    ``bucket`` must not decrease along ``order``.  Rows are numbered inside
-    (group, bucket) and shifted by the row count of the earlier buckets, so the largest
-    task holds one bucket, not one group.
+    A group of any size spreads over many tasks.  ``_at`` numbers the rows inside ``_range``.
     """
-    marked = df.withColumn("_bucket", bucket)
-    offsets = _offsets(marked, group, F.count(F.lit(1)))
-    inside = Window.partitionBy(*group, "_bucket").orderBy(*order)
-    return (
-        marked.join(offsets, [*group, "_bucket"])
-        .withColumn(name, F.row_number().over(inside) + F.col("_offset"))
-        .drop("_bucket", "_offset")
-    )
-
-
-def running_sum(df: DataFrame, group: list[str], order: list[Column], bucket: Column,
-                value: Column, name: str = "running") -> DataFrame:
-    """Inclusive running sum per group, bucketed like :func:`row_numbers`."""
-    marked = df.withColumn("_bucket", bucket).withColumn("_value", value)
-    offsets = _offsets(marked, group, F.sum("_value"))
-    inside = (
-        Window.partitionBy(*group, "_bucket").orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return (
-        marked.join(offsets, [*group, "_bucket"])
-        .withColumn(name, F.sum("_value").over(inside) + F.col("_offset"))
-        .drop("_bucket", "_offset", "_value")
-    )
+    keys = [*group, *order]
+    return stage(
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        .withColumn("_at", F.monotonically_increasing_id()), label
+    ).withColumn("_range", F.shiftright("_at", 33))
 
 
-def range_numbers(df: DataFrame, group: list[str], order: list[str], name: str = "rn",
-                  label: str = "numbered") -> DataFrame:
-    """``row_number`` per group along ascending ``order`` (nulls first) by range partitions.
+def _shifted(laid: DataFrame, group: list[str], total: Column, first: Column) -> DataFrame:
+    """Adds ``_shift``: the totals of the group's earlier ranges plus ``first``.
 
-    The rows are dealt out by (group.., order..) ranges taken from the data, so a group of
-    any size spreads over many tasks, and staged with their position.  Only one row per
-    (range, group) is counted to shift the positions.  ``order`` must be unique per group
-    for a reproducible result.  A null group value is a group of its own.
+    Only one row per (range, group) is counted, summed up and joined back.
     """
-    keys = [*group, *order]
-    laid = stage(
-        df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-        .withColumn("_at", F.monotonically_increasing_id()), label)
-    laid = laid.withColumn("_range", F.shiftright("_at", 33))
-    spans = laid.groupBy("_range", *group).agg(
-        F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    spans = laid.groupBy("_range", *group).agg(total.alias("_total"), first.alias("_first"))
     before = (
         Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     )
     spans = spans.select(
         F.col("_range").alias("_r"), *[F.col(c).alias(f"_g_{c}") for c in group],
-        (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1)
-        .alias("_shift"))
+        (F.coalesce(F.sum("_total").over(before), F.lit(0)) + F.col("_first")).alias("_shift"))
     same = F.col("_range") == F.col("_r")
     for c in group:
         same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
-    return (
-        laid.join(spans, same)
-        .withColumn(name, F.col("_at") + F.col("_shift"))
-        .select(*df.columns, name)
+    return laid.join(spans, same)
+
+
+def range_numbers(df: DataFrame, group: list[str], order: list[str], name: str = "rn",
+                  label: str = "numbered") -> DataFrame:
+    """``row_number`` per group along ascending ``order`` (nulls first) by range partitions.
+
+    ``order`` must be unique per group for a reproducible result.  A null group value is a
+    group of its own; ``group=[]`` numbers the whole table.
+    """
+    laid = _laid_out(df, group, order, label)
+    shifted = _shifted(laid, group, F.count(F.lit(1)), 1 - F.min("_at"))
+    return shifted.withColumn(name, F.col("_at") + F.col("_shift")).select(*df.columns, name)
+
+
+def range_running_sum(df: DataFrame, group: list[str], order: list[str], value: str,
+                      name: str = "running", label: str = "summed") -> DataFrame:
+    """Inclusive running sum of a column per group, like :func:`range_numbers`."""
+    laid = _laid_out(df, group, order, label)
+    inside = (
+        Window.partitionBy("_range", *group).orderBy("_at")
+        .rowsBetween(Window.unboundedPreceding, 0)
     )
+    shifted = _shifted(laid, group, F.sum(value), F.lit(0))
+    return shifted.withColumn(name, F.sum(value).over(inside) + F.col("_shift")).select(
+        *df.columns, name)
 
 
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int,

@@ -2,13 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from corpusbank.functions.items import call_cost
+from corpusbank.functions.items import call_cost, prepare_error
 from corpusbank.functions.text import strip
-from corpusbank.operators.ranking import id_bucket
 from corpusbank.plans.classify import classify_direct, coverage_index
 from corpusbank.queries.classification import norm_aliases, statements
 from corpusbank.queries.coverage import coverage_table
-from corpusbank.queries.items import RAW_SQL, raw_questions
+from corpusbank.queries.items import ERROR_SQL, RAW_SQL, raw_questions
 from corpusbank.queries.maintenance import FP_SQL, LABEL_SQL, labelled
 from corpusbank.queries.registry import SQL, query
 from corpusbank.queries.text import CODE_SQL, TAIL_SQL, norm_code, spaces_sql
@@ -129,18 +128,22 @@ def scan_many_files(t):
 
 
 @query("write_parent_child", f"""
-WITH {RAW_SQL}, q AS (SELECT row_number() OVER (ORDER BY p_partkey) + (SELECT MAX(o_orderkey) FROM orders) AS id, * FROM raw WHERE p_type = 'STANDARD')
+WITH {RAW_SQL}, q AS (SELECT row_number() OVER (ORDER BY p_partkey) + (SELECT MAX(o_orderkey) FROM orders) AS id, * FROM raw WHERE {ERROR_SQL} IS NULL)
 SELECT id, stem, CAST(page AS BIGINT) AS page, letter, text FROM (SELECT id, stem, page, unnest(['A', 'B', 'C', 'D']) AS letter, unnest([a, b, c, d]) AS text FROM q)""")
 def write_parent_child(t):
     path = new_path(t.spark, "import")
-    good = raw_questions(t).filter("p_type = 'STANDARD'").select(
-        "p_partkey", F.col("page").try_cast("long").alias("page"), "stem",
+    page = F.col("page").try_cast("long")
+    options = {x: F.col(f"opt_{x.lower()}") for x in "ABCD"}
+    error = prepare_error(page, F.col("stem"), options, F.col("answer"))
+    good = raw_questions(t).filter(error.isNull()).select(
+        "p_partkey", page.alias("page"), "stem",
         F.create_map(*[x for letter in "abcd" for x in (F.lit(letter.upper()), F.col(f"opt_{letter}"))]).alias("options"))
     numbered = writers.assign_ids(
-        good, t.orders.select(F.col("o_orderkey").alias("id")), [F.col("p_partkey")], id_bucket(F.col("p_partkey"), 512))
-    parents, children = writers.write_parent_child(numbered, path, "id")
-    spark = t.spark
-    return spark.read.parquet(parents).join(spark.read.parquet(children), "id").select(
+        good, t.orders.select(F.col("o_orderkey").alias("id")), ["p_partkey"])
+    for _ in range(2):  # a retry replaces the batch
+        writers.write_parent_child(numbered, path, "import")
+    return writers.read_parents(t.spark, path).join(
+        writers.read_children(t.spark, path, "id"), "id").select(
         "id", "stem", "page", "letter", "text")
 
 

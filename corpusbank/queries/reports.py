@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from corpusbank.functions import features
 from corpusbank.operators import grading
 from corpusbank.operators.context import fixed_batches as batches
-from corpusbank.operators.ranking import id_bucket
 from corpusbank.plans.bank import grade_report
 from corpusbank.queries.registry import query
 from corpusbank.queries.text import FLAG_ARGS, FLAG_SQL
@@ -147,6 +146,6 @@ def ordered_limit(t):
 @query("fixed_batches", """
 SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 20 AS BIGINT) AS batch FROM orders""")
 def fixed_batches(t):
-    return batches(t.orders.select("o_orderkey"), [F.col("o_orderkey")], id_bucket(F.col("o_orderkey"), 1024))
+    return batches(t.orders.select("o_orderkey"), ["o_orderkey"])
 
 

@@ -6,7 +6,6 @@ from corpusbank.functions.text import let
 from corpusbank.operators import segment
 from corpusbank.operators.context import context_budget
 from corpusbank.operators.joins import explode_options as explode_option_map
-from corpusbank.operators.ranking import id_bucket
 from corpusbank.queries.registry import query
 from corpusbank.queries.text import strip_sql
 
@@ -160,4 +159,4 @@ def context_budget_query(t):
     blocks = let(fragments, lambda found: F.concat(F.array(header), F.when(
         F.size(found) > 0, F.transform(found, lambda f: F.concat(
             F.lit("\n["), f["reference"], F.lit("]\n"), f["text"]))).otherwise(fallback)))
-    return context_budget(t.documents, ["source"], "doc_id", id_bucket(F.col("doc_id"), 256), blocks)
+    return context_budget(t.documents, ["source"], "doc_id", blocks)

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusbank.operators.ranking import row_numbers
+from corpusbank.operators.ranking import range_numbers
 
 
-def assign_ids(new: DataFrame, existing: DataFrame | None, order: list[Column], bucket: Column,
+def assign_ids(new: DataFrame, existing: DataFrame | None, order: list[str],
                id_col: str = "id") -> DataFrame:
     """Surrogate ids after the highest stored id, in the given order."""
-    numbered = row_numbers(new, [], order, bucket, "_rn")
+    numbered = range_numbers(new, [], order, "_rn")
     if existing is None:
         base = F.lit(0)
     else:
@@ -19,14 +19,23 @@ def assign_ids(new: DataFrame, existing: DataFrame | None, order: list[Column],
     return numbered.withColumn(id_col, (F.col("_rn") + base).cast("long")).drop("_rn")
 
 
-def write_parent_child(items: DataFrame, path: str, id_col: str, options: str = "options"
-                       ) -> tuple[str, str]:
-    """Append one batch of questions and their options; returns both paths."""
-    parents, children = f"{path}/questions", f"{path}/options"
-    items.drop(options).write.mode("append").parquet(parents)
-    items.select(id_col, F.explode(options).alias("letter", "text")).write.mode(
-        "append").parquet(children)
-    return parents, children
+def write_parent_child(items: DataFrame, path: str, batch: str) -> None:
+    """Write one batch of questions with their options, both or neither.
+
+    Parents and children lie in the rows of one table and are committed together; a batch that
+    is written again replaces itself, so a retry doubles nothing.
+    """
+    items.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def read_parents(spark: SparkSession, path: str, options: str = "options") -> DataFrame:
+    """Questions of all batches."""
+    return spark.read.parquet(path).drop(options)
+
+
+def read_children(spark: SparkSession, path: str, id_col: str, options: str = "options") -> DataFrame:
+    """(id, letter, text): options of the questions of all batches."""
+    return spark.read.parquet(path).select(id_col, F.explode(options).alias("letter", "text"))
 
 
 def write_reports(reports: DataFrame, path: str, source: str) -> None:

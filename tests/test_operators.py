@@ -52,8 +52,8 @@ def test_row_numbers_and_sums(spark):
     rng = random.Random(1)
     rows = [(("hot" if rng.random() < .5 else "cold"), i, rng.randint(1, 9)) for i in range(500)]
     df = spark.createDataFrame(rows, "g string, i long, v long")
-    got = ranking.row_numbers(df, ["g"], [F.col("i")], ranking.id_bucket(F.col("i"), 37))
-    sums = ranking.running_sum(df, ["g"], [F.col("i")], ranking.id_bucket(F.col("i"), 37), F.col("v"))
+    got = ranking.range_numbers(df, ["g"], ["i"])
+    sums = ranking.range_running_sum(df, ["g"], ["i"], "v")
     rn, total = Counter(), Counter()
     want_rn, want_sum = {}, {}
     for g, i, v in sorted(rows, key=lambda r: r[1]):
@@ -63,7 +63,7 @@ def test_row_numbers_and_sums(spark):
     assert {r["i"]: r["rn"] for r in got.collect()} == want_rn
     assert {r["i"]: r["running"] for r in sums.collect()} == want_sum
     hashed = df.withColumn("h", ranking.hash_order(F.col("i")))
-    everything = ranking.row_numbers(hashed, [], [F.col("h")], ranking.hash_bucket(F.col("h"), 2)).orderBy("rn").collect()
+    everything = ranking.range_numbers(hashed, [], ["h"]).orderBy("rn").collect()
     assert [r["rn"] for r in everything] == list(range(1, 501))
     assert [r["h"] for r in everything] == sorted(r["h"] for r in everything)
 
@@ -334,7 +334,7 @@ def test_labels_identities(spark):
 def test_context_budget(spark):
     docs = [("t", d, ["ab" * 40] * 3) for d in range(300)] + [("u", 1000, ["corto"]), ("u", 1001, [])]
     df = spark.createDataFrame(docs, "t string, d long, x array<string>")
-    got = {r["t"]: r["context"] for r in context_budget(df, ["t"], "d", ranking.id_bucket(F.col("d"), 7), F.col("x"), budget=1000).collect()}
+    got = {r["t"]: r["context"] for r in context_budget(df, ["t"], "d", F.col("x"), budget=1000).collect()}
     assert got == {"t": "\n".join("ab" * 40 for _ in range(900))[:1000], "u": "corto"}
 
 
