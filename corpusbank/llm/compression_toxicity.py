@@ -1,6 +1,6 @@
 """Toxicity by compression distance between two zstandard dictionaries.
 
-Training takes at most ``SAMPLE`` labelled documents of each class (by hash of doc_id, of at most
+Training takes at most ``SAMPLE`` labelled documents of each class (by hash of doc_id, those of at most
 ``SAMPLE_CHARS`` characters; their texts, at most some 60 MB, go to the driver).  Character 5-grams
 that far more toxic than ordinary documents contain mark the toxic text: the words around them train the toxic
 dictionary, words of ordinary documents the ordinary one.  Both dictionaries hold the ordinary
@@ -32,7 +32,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusbank.llm.bpe import text_slices
@@ -40,7 +40,7 @@ from corpusbank.llm.common import table, text_crc32
 from corpusbank.llm.pii_weak import fit_logistic
 
 THRESHOLD = 0.7
-SAMPLE = 2_500  # labelled documents of each class
+SAMPLE = 3_000  # labelled documents of each class
 SAMPLE_CHARS = 12_000
 GRAM = 5
 MIN_DOCS = 5  # a marking 5-gram is in so many toxic documents at least
@@ -162,12 +162,13 @@ def train(toxic: list[str], ordinary: list[str], share: float) -> dict:
 def training_rows(docs: DataFrame, labels: DataFrame) -> dict:
     """Model from docs (doc_id, text) and labels (doc_id, toxic 0/1), both for training only."""
     known = labels.filter("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = F.xxhash64("doc_id")
     counts = dict(known.groupBy("toxic").count().collect())
-    short = docs.filter(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
-    rows = short.join(known, "doc_id").select("toxic", order.alias("_o"), "text")
-    texts = {c: [r["text"] for r in rows.filter(F.col("toxic") == c)
-                 .orderBy("_o", "text").limit(SAMPLE).collect()] for c in (0, 1)}
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
+    sample = known.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= SAMPLE)
+    rows = docs.join(F.broadcast(sample), "doc_id").filter(  # at most 2 * SAMPLE rows
+        F.length("text") <= SAMPLE_CHARS).select("toxic", "_n", "text").collect()
+    rows = sorted(rows, key=lambda r: (r["_n"], r["text"]))
+    texts = {c: [r["text"] for r in rows if r["toxic"] == c] for c in (0, 1)}
     total = sum(counts.values())
     return train(texts[1], texts[0], counts.get(1, 0) / total if total else 0.0)
 
