@@ -97,7 +97,7 @@ def representatives(answered: DataFrame, attempt: list[str], *, topic: str, norm
     )
 
 
-def feature_profile(items: DataFrame, klass: str, flags: dict[str, Column], text: str,
+def feature_profile(items: DataFrame, klass: str, flags: dict[str, Column],
                     classes: tuple[str, str]) -> DataFrame:
     """(feature, pct_a, pct_b, difference): share of items per class showing each feature."""
     flagged = items.select(klass, *[

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusbank.constants import ACCEPTED, REASON, REVIEW, SUBJECT_TOPICS
 from corpusbank.functions.items import valid_answer
 from corpusbank.functions.text import title_key
+from corpusbank.operators.ranking import range_numbers
 
 
 def options_to_map(options: DataFrame, key: list[str], letter: str, text: str,
@@ -30,6 +31,17 @@ def explode_options(items: DataFrame, key: list[str], options: str = "options")
     return items.select(*key, F.explode(options).alias("letter", "text"))
 
 
+def topic_fragments(bridge: DataFrame, fragments: DataFrame, topic: str, document: str,
+                    order: list[str], name: str = "place") -> DataFrame:
+    """(topic, document, fragment columns.., place): the fragments of a topic's documents in order.
+
+    ``bridge`` is (topic, document).  Numbering deals the rows out by ranges, so a topic with
+    any number of fragments spreads over many tasks.
+    """
+    rows = bridge.select(topic, document).join(fragments, document)
+    return range_numbers(rows, [topic], [document, *order], name)
+
+
 def lookup_part_topic(rows: DataFrame, parts: DataFrame, topics: DataFrame) -> DataFrame:
     """Resolve part_id by (call, part) and then topic_id by (call, part_id, number).
 

@@ -52,6 +52,18 @@ def topic_documents_join(t):
     return bridge.join(parts, "s_suppkey").select("n_nationkey", "s_suppkey", "l_returnflag", "fragments", "chars")
 
 
+@query("topic_fragments", """
+SELECT n_nationkey, s_suppkey, l_orderkey, l_linenumber, l_partkey,
+  row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey, l_orderkey, l_linenumber, l_partkey) AS place
+FROM nation JOIN supplier ON s_nationkey = n_nationkey JOIN lineitem ON l_suppkey = s_suppkey""")
+def topic_fragments(t):
+    """Every fragment of a topic (nation) in the order of its documents (suppliers)."""
+    bridge = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    parts = t.lineitem.select(F.col("l_suppkey").alias("s_suppkey"), "l_orderkey", "l_linenumber", "l_partkey")
+    return joins.topic_fragments(
+        bridge, parts, "n_nationkey", "s_suppkey", ["l_orderkey", "l_linenumber", "l_partkey"])
+
+
 DIM_SQL = """parts AS (SELECT DISTINCT c_nationkey AS call, c_mktsegment AS part, c_nationkey * 10 + length(c_mktsegment) % 6 AS part_id FROM customer WHERE c_mktsegment <> 'MACHINERY'),
 topics AS (SELECT s_nationkey AS call, s_nationkey * 10 + s_suppkey % 6 AS part_id, CAST(s_suppkey % 10 AS INTEGER) AS number, MIN(s_suppkey) AS topic_id FROM supplier GROUP BY ALL)"""
 

@@ -98,7 +98,7 @@ SELECT feature, round(MAX(pct) FILTER (quality = 1), 6) AS pct_a, round(MAX(pct)
 def feature_profile(t):
     items = t.documents.join(t.labels, "doc_id")
     flags = features.phrase_flags(F.col("text"), **FLAG_ARGS)
-    profile = grading.feature_profile(items, "quality", flags, "text", (1, 0))
+    profile = grading.feature_profile(items, "quality", flags, (1, 0))
     lengths = grading.length_profile(items, "quality", "text")
     difference = lengths.agg(
         F.max(F.when(F.col("quality") == 1, F.col("avg_len")))
@@ -108,6 +108,24 @@ def feature_profile(t):
         F.round(difference, 6).alias("length_difference"))
 
 
+@query("length_profile", """
+SELECT quality, COUNT(*) AS items, round(AVG(length(text)), 6) AS avg_len, MIN(length(text))::INTEGER AS min_len, MAX(length(text))::INTEGER AS max_len
+FROM documents JOIN labels USING (doc_id) GROUP BY quality""")
+def length_profile(t):
+    lengths = grading.length_profile(t.documents.join(t.labels, "doc_id"), "quality", "text")
+    return lengths.withColumn("avg_len", F.round("avg_len", 6))
+
+
+@query("feature_examples", f"""
+WITH {FLAG_SQL} SELECT quality, feature, doc_id FROM (SELECT quality, doc_id, unnest({_FLAGS[:-2]}) AS feature,
+  unnest([{', '.join(_FLAGS[:-2])}]) AS v FROM f JOIN labels USING (doc_id)) WHERE v""")
+def feature_examples(t):
+    """The documents that show each feature."""
+    flags = features.phrase_flags(F.col("text"), **FLAG_ARGS)
+    own = {name: flags[name] for name in _FLAGS[:-2]}
+    return grading.feature_examples(t.documents.join(t.labels, "doc_id"), "quality", "doc_id", own)
+
+
 @query("counts_by_label", """
 SELECT o_orderstatus AS state, o_orderpriority AS method, COUNT(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), (o_orderstatus, o_orderpriority), ())""")
 def counts_by_label(t):
