@@ -11,6 +11,8 @@ from corpusbank.constants import (
 )
 from corpusbank.functions.items import decide
 from corpusbank.functions.text import let, strip, strip_code_fence
+from corpusbank.operators.coverage import single_value
+from corpusbank.session import stage
 
 
 def parse_verdict(text: Column, id_field: str = "fragmento_id") -> Column:
@@ -138,3 +140,20 @@ def align_results(questions: DataFrame, results: DataFrame, number: list[str], p
     )
 
 
+
+
+def candidate_topics(documents: DataFrame, chosen: DataFrame, *, doc_id: str, text: str,
+                     part: str, topic: str) -> DataFrame:
+    """(chosen_id, n_topics, part, topic) of the documents in ``chosen`` (doc_id).
+
+    A text may occur under several parts and topics.  Only the texts of candidates are looked
+    for: their hashes are staged and the corpus is reduced by them before it is grouped.
+    """
+    keyed = documents.select(
+        doc_id, F.sha2(text, 256).alias("_h"), F.col(part).alias("_p"), F.col(topic).alias("_t"))
+    wanted = stage(keyed.join(chosen.distinct(), doc_id).select(doc_id, "_h").distinct(), "candidate-texts")
+    summary = keyed.select("_h", "_p", "_t").join(wanted.select("_h").distinct(), "_h", "left_semi") \
+        .groupBy("_h").agg(F.count_distinct("_p", "_t").alias("n_topics"),
+                           single_value("_p").alias("part"), single_value("_t").alias("topic"))
+    return wanted.join(summary, "_h").select(
+        F.col(doc_id).alias("chosen_id"), "n_topics", "part", "topic")

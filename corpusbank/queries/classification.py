@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from corpusbank.constants import SUBJECT_TOPICS
 from corpusbank.functions.items import decide
 from corpusbank.operators import verdicts as ver
-from corpusbank.operators.coverage import single_value
 from corpusbank.plans import classify
 from corpusbank.queries.coverage import COV_SQL, coverage_table
 from corpusbank.queries.registry import query
@@ -212,13 +211,8 @@ def settle(t, ranked, documents=False, topic="source"):
     verdicts = raw_verdicts(t, ranked)
     last = verdicts.groupBy("item_id").agg(F.max("event_id").alias("event_id"))
     verdicts = verdicts.join(last, ["item_id", "event_id"], "left_semi").drop("event_id")
-    # a text may occur under several languages and sources: its topics
-    keyed = t.documents.select("doc_id", F.sha2("text", 256).alias("h"), "lang", topic)
-    summary = keyed.groupBy("h").agg(
-        F.count_distinct("lang", topic).alias("n_topics"), single_value("lang").alias("part"),
-        single_value(topic).alias("topic"))
-    topics = ranked.select("doc_id").distinct().join(keyed.select("doc_id", "h"), "doc_id").join(
-        summary, "h").select(F.col("doc_id").alias("chosen_id"), "n_topics", "part", "topic")
+    topics = ver.candidate_topics(
+        t.documents, ranked.select("doc_id"), doc_id="doc_id", text="text", part="lang", topic=topic)
     if documents:
         verdicts = verdicts.withColumn("verdict", F.replace("verdict", F.lit("fragmento_id"), F.lit("documento_id")))
     return classify.settle_candidates(
