@@ -158,6 +158,12 @@ MONTHS = (
     "enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto",
     "septiembre", "octubre", "noviembre", "diciembre",
 )
+YEAR_PATTERN = r"(?U)\b20\d{2}\b"
+PERCENT_PATTERN = r"(?U)\d+\s*%"
+NUMBER_PATTERN = r"(?U)\b\d+[.,]?\d*\b"
+ACRONYM_PATTERN = r"(?U)\b[A-Z]{2,}\b"
+DATE_PATTERN = r"(?iU)\b\d{{1,2}}\s+de\s+(?:{months})(?:\s+de\s+\d{{4}})?\b"
+AMOUNT_PATTERN = r"(?iU)\b\d{1,3}(?:\.\d{3})*(?:,\d+)?\s*euros\b"
 SEQUENCE_WORDS = (
     "posteriormente", "despues", "tras", "mas tarde", "de nuevo", "finalmente",
 )

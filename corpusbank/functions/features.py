@@ -8,8 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusbank.constants import (
-    ACTION_WORDS, CONCRETE_SUBJECT, EXPLICIT_CASE, MONTHS, NAMED_SUBJECT_VERBS,
-    NARRATIVE_PHRASES, OPENINGS, ORGAN_PHRASES, PERSON_PHRASES, SEQUENCE_WORDS,
+    ACRONYM_PATTERN, ACTION_WORDS, AMOUNT_PATTERN, CONCRETE_SUBJECT, DATE_PATTERN, EXPLICIT_CASE,
+    MONTHS, NAMED_SUBJECT_VERBS, NARRATIVE_PHRASES, NUMBER_PATTERN, OPENINGS, ORGAN_PHRASES,
+    PERCENT_PATTERN, PERSON_PHRASES, SEQUENCE_WORDS, YEAR_PATTERN,
 )
 from corpusbank.functions.text import normalize_spaces
 
@@ -38,16 +39,16 @@ def practical_rules(original: Column, strict: bool = False) -> list[tuple[int, C
         subject = any_phrase(text, CONCRETE_SUBJECT) | original.rlike(
             rf"\b[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+(?:\s+[A-Z]\.){{0,3}}\s+(?:{verbs})\b"
         )
-        acronym = original.rlike(r"(?U)\b[A-Z]{2,}\b")
+        acronym = original.rlike(ACRONYM_PATTERN)
         month = any_phrase(text, MONTHS)
     return [
         (4, any_phrase(text, EXPLICIT_CASE)),
         (2, subject),
         (2, acronym),
-        (2, text.rlike(r"(?U)\b20\d{2}\b")),
+        (2, text.rlike(YEAR_PATTERN)),
         (2, month),
-        (2, text.rlike(r"(?U)\d+\s*%")),
-        (1, text.rlike(r"(?U)\b\d+[.,]?\d*\b")),
+        (2, text.rlike(PERCENT_PATTERN)),
+        (1, text.rlike(NUMBER_PATTERN)),
         (2, any_phrase(text, ACTION_WORDS)),
         (1, any_phrase(text, SEQUENCE_WORDS)),
     ]
@@ -72,8 +73,8 @@ def phrase_flags(original: Column, openings=OPENINGS, persons=PERSON_PHRASES,
     person, organ, action = (
         any_phrase(text, persons), any_phrase(text, organs), any_phrase(text, actions)
     )
-    date = original.rlike(rf"(?iU)\b\d{{1,2}}\s+de\s+(?:{months})(?:\s+de\s+\d{{4}})?\b")
-    amount = original.rlike(r"(?iU)\b\d{1,3}(?:\.\d{3})*(?:,\d+)?\s*euros\b")
+    date = original.rlike(DATE_PATTERN.format(months=months))
+    amount = original.rlike(AMOUNT_PATTERN)
     flags = {
         f"opens_{i:02d}": text.startswith(normalize_spaces(F.lit(p)))
         for i, p in enumerate(openings)

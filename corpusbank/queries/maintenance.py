@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from corpusbank.functions.text import strip
 from corpusbank.operators import dedup
 from corpusbank.operators import maintenance as mt
+from corpusbank.operators.ranking import range_numbers
 from corpusbank.plans import bank as plans
 from corpusbank.plans.classify import coverage_index
 from corpusbank.queries.classification import ALIASES_SQL, footer_sql, norm_aliases
@@ -128,7 +129,7 @@ def import_questions(t):
 
 
 OLD_NEW_SQL = """old AS (SELECT o_custkey, MAX(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS price FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey),
-new AS (SELECT o_custkey, o_orderkey, o_totalprice AS price FROM orders WHERE o_orderstatus = 'O')"""
+new AS (SELECT o_custkey, o_orderkey, o_totalprice AS price FROM orders WHERE o_orderstatus <> 'F')"""
 
 
 def old_new(t):
@@ -136,7 +137,7 @@ def old_new(t):
     price = F.col("o_totalprice").alias("price")
     old = t.orders.filter("o_orderstatus = 'F'").groupBy("o_custkey").agg(
         F.max_by(F.struct("o_orderkey", price), "o_orderkey").alias("r")).select("o_custkey", "r.*")
-    new = t.orders.filter("o_orderstatus = 'O'").select("o_custkey", "o_orderkey", price)
+    new = t.orders.filter("o_orderstatus <> 'F'").select("o_custkey", "o_orderkey", price)
     return old, new
 
 
@@ -167,13 +168,14 @@ def insert_ignore(t):
 
 
 @query("replace_by_key", """
-SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'O'
-UNION ALL SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')""")
+SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders WHERE o_orderstatus <> 'F'
+UNION ALL SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders WHERE o_orderstatus = 'F' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus <> 'F')""")
 def replace_by_key(t):
     rows = t.orders.select("o_custkey", "o_orderkey", "o_orderstatus")
-    return mt.replace_children(
+    replaced = mt.replace_children(
         rows.filter("o_orderstatus = 'F'").drop("o_orderstatus"),
-        rows.filter("o_orderstatus = 'O'").drop("o_orderstatus"), ["o_custkey"])
+        rows.filter("o_orderstatus <> 'F'").drop("o_orderstatus"), ["o_custkey"])
+    return range_numbers(replaced, ["o_custkey"], ["o_orderkey"], "place")
 
 
 @query("guarded_update", """
