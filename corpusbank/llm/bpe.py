@@ -36,6 +36,7 @@ VOCABULARY = "byte_bpe_50k.json"
 BATCH_CHARS = 1_000_000  # texts encoded together
 CACHE_WORDS = 150_000  # per Python worker; older words are forgotten beyond it
 NONE = np.int32(2**31 - 1)
+INNER_SPACE = re.compile(r" (?<=\s )")  # a space after white space, such as NBSP or a line end
 
 
 def byte_symbols() -> list[str]:
@@ -147,10 +148,10 @@ class Bpe:
             self.words.update(zip(new, self.merge([w.encode("utf-8") for w in new])))
 
     def _cut(self, text: str) -> list[str]:
-        """Pieces that encode one by one: cut before single spaces.
+        """Pieces that encode one by one: cut before spaces, for texts without ``INNER_SPACE``.
 
-        The pattern's words hold a space only at their start, or a run of white space; so with
-        no two spaces in a row every space starts a word.
+        The pattern's words hold a space only at their start, or are a run of white space of any
+        kind; so where no space follows white space every space starts a word.
         """
         first, *rest = text.split(" ")
         return [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
@@ -170,7 +171,7 @@ class Bpe:
             for k, part in enumerate(parts):
                 if k % 2:
                     job.append(self.added[part])
-                elif "  " in part:
+                elif INNER_SPACE.search(part):
                     own = self.pattern.findall(part)
                     plain.update(own)
                     job.append((False, own))

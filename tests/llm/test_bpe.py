@@ -38,6 +38,17 @@ def test_matches_the_library(model):
         assert ids.tolist() == want, repr(text[:80])
 
 
+def test_runs_of_mixed_white_space(model):
+    own = bpe.Bpe(PATH)
+    given = ["a \xa0 \xa0 b", "a \xa0 \xa0b", "a \xa0 \xa0\nb", "\xa0 \xa0 \xa0", "a\n \nb", "a\n b", "\t \t b",
+             "x y\n\n z", "a \u3000 \u2003 \x85 b", "a \x1c \x1d b", " \xa0 b<|endoftext|> \xa0 \xa0 b"]
+    rng = random.Random(9)
+    white = [" ", " ", "\xa0", "\n", "\t", "\u3000", "\x85", "\x1c", "\r"]
+    given += ["".join(rng.choice([*white, "b", " c"]) for _ in range(rng.randint(1, 25))) for _ in range(2000)]
+    for text, ids in zip(given, own.encode(given)):
+        assert ids.tolist() == model.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_cache_limit_changes_nothing(model, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
     own = bpe.Bpe(PATH)
