@@ -2,19 +2,20 @@
 
 A k-mer of ``K`` words is chosen if the least of its words' hashes stands at its first or last
 place.  Whether it is chosen depends on its own words only, so an edit disturbs only the k-mers it
-touches, and equal passages have the same anchors in any document.  ``anchors`` gives positions and
-hashes for matching passages by place; a fingerprint keeps the ``SIZE`` least distinct anchor
-hashes, and the likeness of two fingerprints is the share of common hashes among the ``SIZE`` least
-of both, an estimate of the share of common anchors.
+touches, and equal passages have the same anchors in any document.  A fingerprint holds all anchors
+of a text with their positions.  The likeness of two fingerprints is the share of common anchors
+among the distinct anchors of both; common are the most anchors that stand in the same order in
+both texts, each at its first position.
 
 Everything is array and window expressions.  For edited texts each document meets its successor:
 documents are dealt into buckets of consecutive doc_ids (quantiles of the ids, cut further by
 width), and only the first document of each bucket is sent to a second one; so the texts are
 shuffled once.
 
-Defined cases: a null text is an empty one; a text without words has an empty fingerprint; a text
-with fewer than ``K`` words, or without a chosen k-mer, has its whole word sequence as one anchor;
-two empty fingerprints have likeness 1, an empty and another one 0; rows with one doc_id follow
+Defined cases: a null text is an empty one; a text without words has an empty fingerprint; in a
+text with fewer than ``2 * K`` words every single word is an anchor too, so that texts of fewer than
+``K`` words are comparable with each other and with somewhat longer ones (of any longer text some
+k-mer is chosen); a text without white space is one word; two empty fingerprints have likeness 1, an empty and another one 0; rows with one doc_id follow
 each other by text; a null doc_id comes last in descending order; a single document is its own
 successor; an empty table gives no rows; other columns are ignored.
 """
@@ -28,10 +29,10 @@ from corpusbank.llm.common import WORD, table
 from corpusbank.session import stage
 
 K = 5
-SIZE = 64
 BUCKET_ROWS = 2_048
 QUANTILES = 1_024
 LEAST_ID = -(1 << 63)
+STEPS = [1 << b for b in range(30, -1, -1)]  # of a binary search in any array
 
 
 def _kmers(df: DataFrame, text: str) -> DataFrame:
@@ -52,41 +53,62 @@ def _chosen(run: Column) -> Column:
     return (words[0] == least) | (words[-1] == least)
 
 
-def _whole() -> Column:
-    """The hash of the whole word sequence."""
-    return F.aggregate("_h", F.lit(K).cast("long"), lambda total, h: F.xxhash64(total, h))
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def anchors(df: DataFrame, text: str = "text", name: str = "anchors") -> DataFrame:
-    """Adds the chosen k-mers of a text: array of (pos, hash), pos counting words from 0."""
-    marked = F.transform("_z", lambda run, i: F.struct(
-        i.alias("pos"), F.xxhash64(*_places(run)).alias("hash"), _chosen(run).alias("chosen")))
-    kept = F.transform(F.filter(marked, lambda m: m["chosen"]),
-                       lambda m: F.struct(m["pos"].alias("pos"), m["hash"].alias("hash")))
-    whole = F.array(F.struct(F.lit(0).alias("pos"), _whole().alias("hash")))
-    out = _kmers(df.withColumn("_t", F.coalesce(text, F.lit(""))), "_t").withColumn("_a", kept)
-    return out.withColumn(name, F.when((F.size("_a") == 0) & (F.size("_h") > 0), whole)
-                          .otherwise(F.col("_a"))).drop("_t", "_h", "_z", "_a")
+    """Adds the anchors of a text: array of (pos, hash) by position, pos counting words from 0."""
+    at = lambda pos, h: F.struct(pos.cast("int").alias("pos"), h.alias("hash"))
+    marked = F.transform("_z", lambda run, i: F.when(_chosen(run), at(i, F.xxhash64(*_places(run)))))
+    kept = F.filter(marked, lambda m: m.isNotNull())
+    single = F.transform("_h", lambda h, i: at(i, F.xxhash64(h)))
+    return _kmers(df.withColumn("_t", F.coalesce(text, F.lit(""))), "_t").withColumn("_a", kept).withColumn(
+        name, F.when(F.size("_h") < 2 * K, F.sort_array(F.concat(single, "_a"))).otherwise(F.col("_a"))
+    ).drop("_t", "_h", "_z", "_a")
 
 
 def fingerprints(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds the sorted array of the ``SIZE`` least distinct anchor hashes of a non-null text."""
-    hashes = F.transform(F.filter("_z", _chosen), lambda run: F.xxhash64(*_places(run)))
-    least = F.slice(F.sort_array(F.array_distinct("_a")), 1, SIZE)
-    return _kmers(df, text).withColumn("_a", hashes).withColumn(
-        name, F.when((F.size("_a") == 0) & (F.size("_h") > 0), F.array(_whole())).otherwise(least)
-    ).drop("_h", "_z", "_a")
+    """Adds all anchors of a text with their positions."""
+    return anchors(df, text, name)
+
+
+def _longest_in_order(numbers: Column) -> Column:
+    """Length of the longest subsequence that never falls."""
+    def placed(tails: Column, n: Column) -> Column:
+        least = F.aggregate(F.array(*map(F.lit, STEPS)), F.lit(0), lambda at, step: F.when(
+            F.get(tails, at + step - 1) <= n, at + step).otherwise(at))
+        return _let(least, lambda k: F.concat(
+            F.slice(tails, F.lit(1), k), F.array(n),
+            F.slice(tails, k + 2, F.greatest(F.size(tails) - k - 1, F.lit(0)))))
+
+    return F.when(numbers == F.sort_array(numbers), F.size(numbers)).otherwise(
+        F.size(F.aggregate(numbers, F.array().cast("array<int>"), placed)))
 
 
 def likeness(a: str, b: str) -> Column:
-    """Estimated share of common anchors of two fingerprints."""
-    both = F.slice(F.sort_array(F.array_union(a, b)), 1, SIZE)
-    common = F.size(F.array_intersect(both, F.array_intersect(a, b)))
-    return F.when(F.size(both) == 0, 1.0).otherwise(common / F.size(both))
+    """Share of common anchors, in the same order, among all distinct anchors of two fingerprints."""
+    of = lambda side, name: F.transform(name, lambda m: F.struct(
+        m["hash"].alias("hash"), F.lit(side).alias("side"), m["pos"].alias("pos")))
+    behind = lambda m: F.concat(F.array(F.lit(None).cast(
+        "struct<hash:bigint,side:int,pos:int>")), F.slice(m, F.lit(1), F.greatest(F.size(m) - 1, F.lit(0))))
+    # By hash, then text, then position: the first of each text, beside it the other text's.
+    merged = F.sort_array(F.concat(of(0, a), of(1, b)))
+    firsts = _let(merged, lambda m: F.filter(F.zip_with(m, behind(m), lambda x, y: F.when(
+        y.isNull() | (x["hash"] != y["hash"]) | (x["side"] != y["side"]), x)), lambda x: x.isNotNull()))
+    met = lambda m: F.filter(F.zip_with(m, behind(m), lambda x, y: F.when(
+        x["hash"] == y["hash"], F.struct(y["pos"].alias("a"), x["pos"].alias("b")))), lambda x: x.isNotNull())
+    share = lambda m: _let(met(m), lambda c: _longest_in_order(
+        F.transform(F.sort_array(c), lambda p: p["b"])) / (F.size(m) - F.size(c)))
+    return _let(firsts, lambda m: F.when(F.size(m) == 0, 1.0).otherwise(share(m)))
 
 
 def as_text(fingerprint: str) -> Column:
-    return F.array_join(F.transform(fingerprint, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+    """Every anchor as 16 hexadecimal digits of its hash and 8 of its position."""
+    digits = lambda n, size: F.lpad(F.lower(F.hex(n)), size, "0")
+    return F.array_join(F.transform(fingerprint, lambda m: F.concat(
+        digits(m["hash"], 16), digits(m["pos"], 8))), "")
 
 
 def id_buckets(ids: DataFrame, bucket_rows: int = BUCKET_ROWS) -> Column:

@@ -1,5 +1,6 @@
 """Closed syncmers: edited texts against a plain loop, anchors, buckets."""
 
+import bisect
 import hashlib
 import random
 import re
@@ -74,5 +75,41 @@ def test_likeness_follows_common_text(spark):
     assert got[0].l == 1.0 and 0.65 < got[1].l < 0.95 and 0.3 < got[2].l < 0.7 and got[3].l == 0.0
 
 
+def plain_likeness(x, y):
+    first = [{}, {}]
+    for side, found in zip(first, (x, y)):
+        for m in found:
+            side.setdefault(m.hash, m.pos)
+    common = sorted((p, first[1][h]) for h, p in first[0].items() if h in first[1])
+    tails = []
+    for _, p in common:
+        k = bisect.bisect_right(tails, p)
+        tails[k:k + 1] = [p]
+    either = len(first[0]) + len(first[1]) - len(common)
+    return len(tails) / either if either else 1.0
+
+
+def test_likeness_over_all_anchors_in_order(spark):
+    """Whole sets against a plain loop: long, repeated, moved and short texts."""
+    rng = random.Random(7)
+    make = lambda n, of=10**6: [f"w{rng.randrange(of)}" for _ in range(n)]
+    long, line = make(3000), make(12)
+    pairs = [(long, long[:2000] + make(1000)), (long, long[1500:] + long[:1500]), (long, long),
+             (line * 40, line * 30 + long[:50]), (make(4), make(4)), (line[:4], line[:3]), (line[:6], line[:4]),
+             (line[:1], line[:1]), ([], line), ([], [])]
+    pairs += [(make(rng.randint(0, 40), 6), make(rng.randint(0, 40), 6)) for _ in range(60)]
+    rows = [(k, " ".join(x), " ".join(y)) for k, (x, y) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "k long, a string, b string")
+    got = sy.fingerprints(sy.fingerprints(df, "a", "x"), "b", "y").withColumn(
+        "l", sy.likeness("x", "y")).withColumn("t", sy.as_text("x")).orderBy("k").collect()
+    for r in got:
+        assert r.l == pytest.approx(plain_likeness(r.x, r.y)), (r.k, r.a[:80], r.b[:80])
+        assert r.t == "".join(f"{m.hash % 2**64:016x}{m.pos:08x}" for m in r.x)
+    assert len(got[0].x) > 1000 and abs(got[0].l - 0.5) < 0.03
+    assert 0.45 < got[1].l < 0.55  # half of it is moved
+    assert got[2].l == got[7].l == got[9].l == 1.0 and got[8].l == 0.0
+    assert got[5].l == 0.75 and got[6].l > 0.3
+
+
 def test_words_are_the_same():
     assert re.findall(sy.WORD, " a\tb\x0bc ") == ["a", "b", "c"]
