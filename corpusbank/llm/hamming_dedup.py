@@ -13,7 +13,7 @@ the full sets and joined to components.  Buckets that still hold several compone
 leaders in a second round.  What is then left open is joined with itself, over pairs of different
 components within the distance, each pair in the first bucket that it shares, and confirmed
 likewise.  So a bucket of thousands of similar texts costs a few comparisons per text, and no pair
-that could join two components is left out.
+within the distance that could join two components is left out; similar pairs beyond it are missed.
 
 Shuffled are 64 keys per class, the signatures of candidate pairs, and in each round the texts, to
 rebuild the sets of the documents that are in a candidate pair.
