@@ -20,7 +20,8 @@ rebuild the sets of the documents that are in a candidate pair.
 
 Defined cases: without words or with a null text a document has an empty set and is linked with
 nothing; fewer words than a shingle form one shingle; a repeated row gets a row of its own; a
-doc_id repeated with other texts joins the components of its texts; without doc_id a document is linked with
+doc_id repeated with other texts joins the components of its texts, so that it is kept or removed as
+a whole, save rows without words, which stay; of the rows of a kept doc_id one stays; without doc_id a document is linked with
 nothing, has no component and is kept; an empty table gives no rows; other columns are ignored.
 """
 
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusbank.llm.bpe import text_slices
-from corpusbank.llm.common import table
+from corpusbank.llm.common import WORD, table
 from corpusbank.llm.words import mix, shingle_hashes
 from corpusbank.session import stage
 
@@ -229,6 +230,16 @@ def still_open(buckets: DataFrame, linked: DataFrame) -> DataFrame:
     return rooted.join(mixed.filter("_x <> _y").select("_key"), "_key", "left_semi")
 
 
+def repeated_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(_a, _b): the class of each row whose doc_id has several sets, with that doc_id."""
+    same = ["_d0", "_d1", "n_shingles"]
+    several = rows.filter("n_shingles > 0 AND _id IS NOT NULL").groupBy("_id").agg(
+        F.min(F.struct(*same)).alias("_x"), F.max(F.struct(*same)).alias("_y")).filter("_x <> _y")
+    members = rows.join(several.select("_id"), "_id", "left_semi").select(F.col("_id").alias("_b"), *same)
+    return stage(members.join(classes.select(F.col("_id").alias("_a"), *same), same)
+                 .select("_a", "_b").filter("_a <> _b").distinct(), "repeated-ids")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5,
                     percent: int = 80, chunks: int = CHUNKS, errors: int = ERRORS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
@@ -246,7 +257,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     buckets = stage(keyed.join(shared.filter("_least <> _most"), "_key")
                     .select("_key", "_slot", "_id"), "buckets")
     open_ = buckets.withColumn("_root", F.col("_id"))
-    links, tried = None, None
+    links, tried = repeated_ids(rows, classes), None
     for orders in (*LEADERS, None):
         if orders:
             pairs = led_pairs(open_, orders)
@@ -266,8 +277,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         pairs = stage(pairs, "near-pairs")
         tried = pairs if tried is None else tried.union(pairs)
         found = confirmed(pairs, docs, words, percent)
-        links = found if links is None else links.union(found)
-        linked = components(links)
+        linked = components(links.union(found))
         links = linked.select(F.col("_root").alias("_a"), F.col("_id").alias("_b"))
         if orders:
             open_ = stage(still_open(buckets, linked), "open-buckets")
@@ -282,13 +292,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                             words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: one document, the least doc_id, of every component."""
+    """The rows of ``docs`` that stay: one document, the least doc_id, of every component.
+
+    Of several rows of a doc_id with words, and of several without, the first by digest stays.
+    """
     found = stage(near_duplicates(docs, doc_id, text, words, percent), "kept")
     gone = found.filter("NOT kept").select(F.col("doc_id").alias(doc_id)).distinct()
-    stay = docs.join(gone, doc_id, "left_anti")
-    repeated = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
-    return stay if repeated.isEmpty() else stay.filter(F.col(doc_id).isNotNull()).dropDuplicates(
-        [doc_id]).unionByName(stay.filter(F.col(doc_id).isNull()))
+    repeated = stage(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
+                     .select(F.col("doc_id").alias(doc_id)), "repeated")
+    if repeated.isEmpty():
+        return docs.join(gone, doc_id, "left_anti")
+    key = [doc_id, "_worded"]
+    marked = docs.withColumn("_worded", F.coalesce(text, F.lit("")).rlike(WORD))
+    stay = marked.join(gone.withColumn("_worded", F.lit(True)), key, "left_anti")
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    one = stay.join(repeated, doc_id, "left_semi").groupBy(*key).agg(
+        F.min_by(row, F.struct(F.xxhash64(text), F.sha2(F.to_json(row), 256))).alias("_row"))
+    return stay.join(repeated, doc_id, "left_anti").select(*docs.columns).unionByName(
+        one.select("_row.*"))
 
 
 def op7_hamming_dedup(spark, sf_dir: str) -> DataFrame:

@@ -76,6 +76,19 @@ def test_edges_of_the_contract(spark):
     assert hd.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_repeated_ids_with_other_texts(spark):
+    a, b, c = "a b c d", "p q r s", "v w x y"
+    rows = [(5, a), (7, a), (7, b), (9, b), (11, c), (11, ""), (11, None), (10, c), (12, "k l"), (12, "m n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles > 0): r.component_id for r in hd.near_duplicates(df, words=2).collect()}
+    assert got == {(5, True): 5, (7, True): 5, (9, True): 5, (10, True): 10, (11, True): 10, (11, False): 11,
+                   (12, True): 12}
+    found = [sorted((r.doc_id, r.text or "") for r in hd.without_near_duplicates(d, words=2).collect())
+             for d in (df, df.orderBy("text").repartition(3))]
+    assert found[0] == found[1] and [r for r in found[0] if r[0] != 12] == [(5, a), (10, c), (11, "")]
+    assert [r[0] for r in found[0]].count(12) == 1
+
+
 def test_components(spark):
     rng = random.Random(1)
     chain = [(i, i + 1) for i in range(0, 60)]
