@@ -1,8 +1,8 @@
 """Registered queries of the subpackage, one per operator, and their SQL twins."""
 
 from corpusbank.llm import (
-    bpe, compression_toxicity, hamming_dedup, hnsw, host_reputation, pii_weak, quality_fm,
-    rans, syncmers, systematic_mix,
+    bpe, compression_toxicity, conversation_repair, hamming_dedup, hnsw, host_reputation, pii_weak,
+    quality_fm, rans, syncmers, systematic_mix,
 )
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_systematic_mix": systematic_mix.op8_systematic_mix,
     "op9_compression_toxicity": compression_toxicity.op9_compression_toxicity,
     "op10_pii_weak_supervision": pii_weak.op10_pii_weak_supervision,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
 }
 SQL = {
     "op4_host_reputation": host_reputation.SQL,
