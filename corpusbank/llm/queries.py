@@ -1,8 +1,8 @@
 """Registered queries of the subpackage, one per operator, and their SQL twins."""
 
 from corpusbank.llm import (
-    bpe, compression_toxicity, conversation_repair, hamming_dedup, hnsw, host_reputation, pii_weak,
-    quality_fm, rans, syncmers, systematic_mix,
+    bpe, compression_toxicity, conversation_repair, hamming_dedup, hnsw, host_reputation,
+    merkle_manifest, pii_weak, quality_fm, rans, syncmers, systematic_mix,
 )
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_compression_toxicity": compression_toxicity.op9_compression_toxicity,
     "op10_pii_weak_supervision": pii_weak.op10_pii_weak_supervision,
     "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
 }
 SQL = {
     "op4_host_reputation": host_reputation.SQL,
