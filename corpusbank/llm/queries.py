@@ -2,7 +2,7 @@
 
 from corpusbank.llm import (
     bpe, compression_toxicity, conversation_repair, hamming_dedup, hnsw, host_reputation,
-    merkle_manifest, pii_weak, quality_fm, rans, syncmers, systematic_mix,
+    html_main, merkle_manifest, pii_weak, quality_fm, rans, syncmers, systematic_mix,
 )
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_pii_weak_supervision": pii_weak.op10_pii_weak_supervision,
     "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
+    "op13_html_main_text": html_main.op13_html_main_text,
 }
 SQL = {
     "op4_host_reputation": host_reputation.SQL,
