@@ -33,6 +33,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,8 +50,10 @@ LANES = 32
 SCALE = 20  # frequencies add up to 2**SCALE
 LOW = np.uint64(1 << 31)
 BATCH_CHARS = 2_000_000
-CACHE_WORDS = 500_000  # per Python worker, and half as many parts
-TAIL = ".,;:!?*$%&#"
+CACHE_WORDS = 600_000  # per Python worker, in two generations
+#: Marks behind a letter that has no other lower case or composed form ending in a mark.
+MARKS = "([a-z\u00DF-\u00F6\u00F8-\u00FF])([.,;:!?*$%&#]+)"
+SIMPLE = re.compile("[a-z\u00DF-\u00F6\u00F8-\u00FF]+").fullmatch
 SPECIAL_CASE = re.compile("[^\x00-\u012F]")  # below, lower() is the normaliser's lower case
 
 
@@ -167,9 +170,9 @@ class WordIds:
     """Ids of texts by the tokenizers library, word by word with a bounded cache.
 
     The normaliser and the pattern of this tokenizer never look across white space, so a text's
-    ids are those of its parts between spaces and line ends; marks after the last letter of a
-    part, ``TAIL``, are a word of their own; and texts without letters beyond Latin may be
-    lower-cased first, as the normaliser does.
+    ids are those of its parts between spaces and line ends; marks behind a letter, ``MARKS``, begin
+    a word of their own; and texts without letters beyond Latin may be lower-cased first, as the
+    normaliser does.
     """
 
     _loaded: dict[str, "WordIds"] = {}
@@ -187,7 +190,7 @@ class WordIds:
         self.model.no_truncation()
         self.model.no_padding()
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # words not met since the last change of generation
         vocab = self.model.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)  # does the id end a word?
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -195,6 +198,8 @@ class WordIds:
     @staticmethod
     def _single(word: str) -> bool:
         """Only letters, before and after normalising: certainly one word of the tokenizer."""
+        if SIMPLE(word):
+            return True
         lower = word.lower()
         return word.isalpha() and lower.isalpha() and is_normalized("NFC", lower) and (
             is_normalized("NFC", word))
@@ -218,30 +223,33 @@ class WordIds:
             self.words[word] = np.array(encoded.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        words, known = self.words, self.parts
-        if len(words) > CACHE_WORDS:
-            words.clear()
-            known.clear()
-        if len(known) > CACHE_WORDS // 2:
-            known.clear()
-        parts = [(t if SPECIAL_CASE.search(t) else t.lower()).replace("\n", " ").split(" ")
-                 for t in texts]
-        cut, plain = {}, set()
-        for part in set().union(*parts) - known.keys():
-            stem = part.rstrip(TAIL)
-            if len(stem) < len(part) and stem[-1:].isalpha():
-                cut[part] = (stem, part[len(stem):])
-                plain.update(cut[part])
-            else:
-                cut[part] = (part,)
-                plain.add(part)
-        self._add([w for w in plain if w not in words])
-        get = words.__getitem__
-        for part, own in cut.items():
-            known[part] = b"".join(map(get, own))
-        get = known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        """Little-endian unsigned 32-bit ids of each text.
+
+        Arrow splits the texts and finds the distinct words; the ids of all words are gathered
+        from those of the distinct ones.
+        """
+        if len(self.words) > CACHE_WORDS // 2:
+            self.older, self.words = self.words, {}
+        known, older = self.words, self.older
+        plain = pa.array([
+            (t if "<|" in t or not t.isascii() and SPECIAL_CASE.search(t) else t.lower())
+            .replace("\n", " ") for t in texts], pa.string())
+        parts = pc.split_pattern(pc.replace_substring_regex(plain, MARKS, r"\1 \2"), " ")
+        coded = parts.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        new = [w for w in distinct if w not in known]
+        known.update((w, older[w]) for w in new if w in older)
+        self._add([w for w in new if w not in older])
+        found = list(map(known.__getitem__, distinct))
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        begin = np.cumsum(size) - size
+        index = coded.indices.to_numpy()
+        each = size[index]
+        until = np.append(0, np.cumsum(each))
+        at = np.repeat(begin[index] - until[:-1], each) + np.arange(until[-1])
+        raw = np.frombuffer(b"".join(found), dtype="<u4")[at].tobytes()
+        cuts = (until[parts.offsets.to_numpy()] * 4).tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def write_ids(docs: DataFrame, out: str, tokenizer: str, doc_id: str = "doc_id",

@@ -1,6 +1,7 @@
 """rANS round trips, the tokenizer's word cache, and the files against a plain loop."""
 
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -65,6 +66,32 @@ def test_word_cache_matches_the_library():
         assert np.frombuffer(got, "<u4").tolist() == want, repr(text)
 
 
+def test_letters_that_end_in_a_mark_when_normalised():
+    model, own = library(), rans.WordIds(PATH)
+    odd = [chr(c) for c in range(0x110000) if chr(c).isalpha() and not (
+        unicodedata.normalize("NFC", chr(c).lower())[-1].isalpha()
+        and unicodedata.normalize("NFC", chr(c)).lower()[-1].isalpha())]
+    assert "\u0130" in odd and "\u0958" in odd
+    given = [f"{before}{c}{tail}x" for c in odd for before in ("", "TAR")
+             for tail in (".", ", 12", "!?", "\u0307.", " ")]
+    given += ["TARİHİ, 12", "Kİ!", "<|ENDOFTEXT|> a", "a <|endoftext|>.", "<|EndOfText|>É."]
+    for text, got in zip(given, own.encode(given)):
+        want = model.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(got, "<u4").tolist() == want, repr(text)
+
+
+def test_document_longer_than_a_segment(spark, tmp_path):
+    """A document of more ids than a segment holds lies whole in one of its own."""
+    rows = [(1, "a b"), (2, "İstanbul, TARİHİ. " * 60_000), (3, "c")]
+    out = f"{tmp_path}/long"
+    rans.write_ids(spark.createDataFrame(rows, "doc_id long, text string"), out, PATH,
+                   segment_ids=10_000)
+    model = library()
+    got = {r.doc_id: r for r in rans.read_ids(spark, out).collect()}
+    for doc_id, text in rows:
+        assert got[doc_id].ids == model.encode(text, add_special_tokens=False).ids + [2]
+
+
 def test_files(spark, tmp_path):
     rows = [(i * 7 % 503, t) for i, t in enumerate(texts()[:400])] + [(600, None), (None, "x"),
                                                                      (5, "again"), (5, "again")]
