@@ -95,8 +95,8 @@ stats AS (SELECT lang, COUNT(*) AS n, round(AVG(len(toks)), 6) AS avgdl FROM dto
 SELECT lang, tok, COUNT(DISTINCT doc_id) AS df, n, avgdl FROM
  (SELECT lang, doc_id, unnest(toks) AS tok FROM dtok) JOIN stats USING (lang) GROUP BY lang, tok, n, avgdl""")
 def corpus_stats(t):
-    posts = search.postings(t.documents, "doc_id", "text", ["lang"], STOP_WORDS)
-    stats, df = search.corpus_stats(posts, ["lang"])
+    docs = search.document_terms(t.documents, "doc_id", "text", ["lang"], STOP_WORDS)
+    stats, df = search.corpus_stats(docs, ["lang"])
     return df.join(stats, "lang").select("lang", "tok", "df", "n", F.round("avgdl", 6).alias("avgdl"))
 
 

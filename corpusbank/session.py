@@ -69,12 +69,10 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """In a local session, deal a table of few splits out to all cores.
+    """Deal a table of fewer splits than the session has cores out to all of them.
 
-    On a cluster the splits of the files decide: no shuffle.
+    The same rule for every master; a table of many splits is read as it lies.
     """
-    if not local_master(df.sparkSession.sparkContext.master):
-        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 

@@ -38,8 +38,10 @@ def test_bm25_brute_force(spark):
                 out.append((-round(s, 6), i))
         return [i for _, i in sorted(out)[:5]]
 
-    for part in (None, ["part"]):
-        got = search.bm25_topk(d, q, doc_id="doc", text="text", query_id="q", query_text="text", part=part)
+    for part, prune, block in [(None, True, 10**6), (["part"], True, 10**6), (None, False, 10**6),
+                               (None, True, 7), (["part"], False, 7)]:
+        got = search.bm25_topk(d, q, doc_id="doc", text="text", query_id="q", query_text="text",
+                               part=part, prune=prune, block=block)
         ranks = {}
         for r in got.orderBy("q", "rank").collect():
             ranks.setdefault(r["q"], []).append(r["doc"])
@@ -48,6 +50,43 @@ def test_bm25_brute_force(spark):
             assert ranks.get(qid, []) == brute(text, pool)
 
 
+def ranked(spark, folder, prune):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return search.bm25_topk(docs, items, doc_id="doc_id", text="text", query_id="item_id",
+                            query_text="text", prune=prune)
+
+
+def test_bm25_pruning_leaves_the_rows(spark):
+    folder = "/root/testdata/sf0.001"
+    with_bounds = {tuple(r) for r in ranked(spark, folder, True).collect()}
+    assert with_bounds == {tuple(r) for r in ranked(spark, folder, False).collect()}
+    assert len(with_bounds) > 100
+
+
+def test_bm25_prunes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    terms = search.query_terms(items, "item_id", "text")
+    posts = search.block_postings(search.document_terms(docs, "doc_id", "text"), terms, "doc_id")
+    weights = search.query_weights(posts, terms)
+    none = weights.select("item_id").distinct().withColumn("threshold", F.lit(None).cast("double"))
+    pairs = []
+    for least in (none, search.score_thresholds(posts, weights, "doc_id", "item_id", 5)):
+        marked = search.essential_tokens(weights, least, "item_id")
+        pairs.append(search.bm25_scores(posts, marked, "doc_id", "item_id").count())
+    assert pairs[1] < pairs[0] / 2
+
+
+def test_bm25_exchanges(spark):
+    plan = ranked(spark, "/root/testdata/sf0.001", True)._jdf.queryExecution().toString()
+    plan = plan[plan.index("Physical Plan"):]
+    assert plan.count("Exchange hashpartitioning(item_id") == 1
+    assert plan.index("WindowGroupLimit") < plan.index("Exchange hashpartitioning(item_id")
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(doc_id" in line]
+    assert dealt and all("REPARTITION_BY_COL" in line for line in dealt)
+
+
 def test_row_numbers_and_sums(spark):
     rng = random.Random(1)
     rows = [(("hot" if rng.random() < .5 else "cold"), i, rng.randint(1, 9)) for i in range(500)]
@@ -367,6 +406,8 @@ def test_top_k_is_pruned_before_the_exchange(spark):
 def test_postings_of_long_runs(spark):
     text = " ".join(["uno"] * 30000 + ["unos", "un0", "uno1", "12", "123"] * 2)
     df = spark.createDataFrame([(1, text), (2, ""), (3, "de la"), (4, None)], "k int, t string")
-    got = {(r["k"], r["tok"]): (r["dl"], r["tf"]) for r in search.postings(df, "k", "t").collect()}
-    assert got[(1, "uno")] == (30010, 30000) and got[(1, "unos")] == (30010, 2) == got[(1, "12")]
-    assert [got[(k, search.DOC_ROW)] for k in (2, 3, 4)] == [(0, 0)] * 3 and len(got) == 10
+    rows = {r["k"]: r for r in search.document_terms(df, "k", "t").collect()}
+    got = {t["tok"]: t["tf"] for t in rows[1]["terms"]}
+    assert got == {"uno": 30000, "unos": 2, "un0": 2, "uno1": 2, "12": 2, "123": 2}
+    assert rows[1]["dl"] == 30010
+    assert [(rows[k]["dl"], rows[k]["terms"]) for k in (2, 3, 4)] == [(0, [])] * 3
