@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from corpusbank.functions.citation import coverage_expression, expand_ranges
 from corpusbank.functions.text import normalize_spaces, slugify
 from corpusbank.session import stage
 
+SAMPLE = 0.05  # share of the texts whose words are counted to choose anchors
+ALIAS_BLOCK = 200_000  # aliases broadcast at once
+
 
 def longest_prefix(names: DataFrame, name: str, catalogue: DataFrame) -> DataFrame:
     """Adds ``code``: the catalogue entry whose slug is the longest prefix of the name's slug.
@@ -30,53 +35,82 @@ def longest_prefix(names: DataFrame, name: str, catalogue: DataFrame) -> DataFra
     return slugged.join(best, "_slug", "left").select(*names.columns, "code")
 
 
-def _padded(c: Column, whole_words: bool) -> Column:
-    return F.concat(F.lit(" "), c, F.lit(" ")) if whole_words else c
-
-
 def word_form(c: Column) -> Column:
     """Accent-free words and numbers separated by single blanks ("ley 39/2015")."""
     return F.trim(F.regexp_replace(normalize_spaces(c), "[^\\p{L}\\p{N}/_]+", " "))
 
 
+def _grams(c: Column, whole_words: bool) -> Column:
+    """What aliases are found by: words, or all runs of one to three characters."""
+    if whole_words:
+        return F.array_distinct(F.split(c, " "))
+    return F.array_distinct(F.flatten(F.array(*[
+        F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (1, 2, 3)])))
+
+
+def alias_anchors(texts: DataFrame, text: str, aliases: DataFrame, *, whole_words: bool = True,
+                  sample: float = SAMPLE) -> DataFrame:
+    """(code, alias, anchor), staged: the word (or trigram) of each alias that is rarest in the texts.
+
+    Frequencies are counted in a sample of the texts, for the grams of the aliases only; equal
+    ones are decided by the number of aliases that share the gram, then by its length.  The
+    choice changes the cost of the join, not its result.
+    """
+    form = word_form if whole_words else normalize_spaces
+    entries = aliases.select("code", form(F.col("alias")).alias("alias")).filter(
+        "alias <> ''").distinct()
+    own = _grams(F.col("alias"), whole_words)
+    if not whole_words:
+        own = F.filter(own, lambda g: F.length(g) == F.least(F.length("alias"), F.lit(3)))
+    grammed = entries.select("code", "alias", F.explode(own).alias("anchor"))
+    shared = grammed.groupBy("anchor").agg(F.count(F.lit(1)).alias("_shared"))
+    met = (
+        texts.sample(sample, 1).select(F.explode(
+            _grams(form(F.col(text)), whole_words)).alias("anchor"))
+        .groupBy("anchor").agg(F.count(F.lit(1)).alias("_met")))
+    ranked = grammed.join(shared.join(met, "anchor", "left"), "anchor")
+    return stage(ranked.groupBy("code", "alias").agg(F.min_by("anchor", F.struct(
+        F.coalesce("_met", F.lit(0)), "_shared", -F.length("anchor"), "anchor")).alias("anchor")),
+        "alias-anchors")
+
+
 def contained_codes(texts: DataFrame, text: str, aliases: DataFrame, *,
-                    whole_words: bool = True) -> DataFrame:
+                    whole_words: bool = True, sample: float = SAMPLE,
+                    block: int = ALIAS_BLOCK) -> DataFrame:
     """Adds ``codes``: distinct codes any of whose aliases occurs in the text, sorted.
 
     ``aliases`` is (code, alias).  Whole words by default; ``whole_words=False`` matches
-    plain substrings.  An alias is blocked by the one of its words (or trigrams, of a short
-    alias the whole) that fewest aliases share: an equality join with the words of the
-    distinct texts gives candidates per text, known by its digest, which are joined back
-    once and verified inside the row.
+    plain substrings.  The aliases are broadcast in blocks of about ``block``, keyed by their
+    anchor; the words of a text are joined with them and the aliases verified while the text is
+    still in its row, so no text and no word is shuffled and a frequent anchor meets nowhere.
+    Only (digest of the text, codes) of texts with a hit are exchanged and joined back; rows
+    without a text get a key of their own.
     """
     form = word_form if whole_words else normalize_spaces
-
-    def grams(c, sizes=(1, 2, 3)):
-        if whole_words:
-            return F.split(c, " ")
-        return F.flatten(F.array(*[
-            F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]))
-
-    entries = aliases.select("code", form(F.col("alias")).alias("alias")).filter("alias <> ''")
-    own = grams(F.col("alias")) if whole_words else F.filter(
-        grams(F.col("alias")), lambda g: F.length(g) == F.least(F.length("alias"), F.lit(3)))
-    grammed = entries.select("code", "alias", F.explode(F.array_distinct(own)).alias("_anchor"))
-    shared = grammed.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_n"))
-    anchored = stage(grammed.join(shared, "_anchor").groupBy("code", "alias").agg(F.min_by(
-        "_anchor", F.struct("_n", -F.length("_anchor"), "_anchor")).alias("_anchor")), "anchors")
-    normal = texts.withColumn("_norm", form(F.col(text))).withColumn("_digest", F.sha2("_norm", 256))
-    candidates = (
-        normal.select("_digest", F.explode(F.array_distinct(grams(F.col("_norm")))).alias("_anchor"))
-        .join(anchored, "_anchor").groupBy("_digest")
-        .agg(F.collect_set(F.struct("code", "alias")).alias("_aliases"))
-    )
-    padded = _padded(F.col("_norm"), whole_words)
-    hits = F.transform(
-        F.filter("_aliases", lambda e: F.contains(padded, _padded(e["alias"], whole_words))),
-        lambda e: e["code"])
-    found = normal.join(candidates, "_digest", "left").withColumn("codes", F.coalesce(
-        F.array_sort(F.array_distinct(hits)), F.array().cast("array<string>")))
-    return found.select(*texts.columns, "codes")
+    anchored = alias_anchors(texts, text, aliases, whole_words=whole_words, sample=sample)
+    padded = F.concat(F.lit(" "), F.col("alias"), F.lit(" ")) if whole_words else F.col("alias")
+    blocks = max(1, -(-anchored.count() // block))
+    found = []
+    for number in range(blocks):
+        own = anchored.select("code", padded.alias("_alias"), "anchor").filter(
+            F.pmod(F.xxhash64("alias"), F.lit(blocks)) == number)
+        norm = form(F.col(text))
+        inside = F.concat(F.lit(" "), norm, F.lit(" ")) if whole_words else norm
+        inside = F.coalesce(inside, F.lit(""))  # no filter on it below the join
+        rows = texts.filter(F.col(text).isNotNull()).select(
+            F.md5(F.col(text)).alias("_digest"), inside.alias("_in"))
+        words = rows.select("_digest", "_in", F.explode(
+            _grams(F.trim("_in") if whole_words else F.col("_in"), whole_words)).alias("anchor"))
+        found.append(words.join(F.broadcast(own), "anchor").filter(F.contains("_in", "_alias"))
+                     .select("_digest", "code"))
+    hits = reduce(DataFrame.unionByName, found).groupBy("_digest").agg(
+        F.array_sort(F.collect_set("code")).alias("codes"))
+    alone = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))
+    return (
+        texts.withColumn("_digest", F.coalesce(F.md5(F.col(text)), alone))
+        .join(hits, "_digest", "left")
+        .withColumn("codes", F.coalesce("codes", F.array().cast("array<string>")))
+        .select(*texts.columns, "codes"))
 
 
 def coverage_from_documents(assoc: DataFrame, document: str = "document") -> DataFrame:

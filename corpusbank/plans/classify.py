@@ -52,15 +52,16 @@ def validate_footers(items: DataFrame, aliases: DataFrame, index, *, key: str, n
     """(key, state, reason, norm, article, part, topic) from the footer of a question."""
     given = F.coalesce(*[blank_to_null(F.col(c)) for c in (norm, footer, stem)])
     rows = contained_codes(
-        items.select(key, given.alias("_text"), F.col(article).alias("_article")),
+        items.select(key, given.alias("_text"), given.isNull().alias("_blank"),
+                     F.col(article).alias("_article")),
         "_text", aliases, whole_words=whole_words)
     n = F.size("codes")
-    rows = rows.withColumn("norm", F.when(n == 1, F.col("codes")[0])).withColumn(
+    rows = rows.drop("_text").withColumn("norm", F.when(n == 1, F.col("codes")[0])).withColumn(
         "article", normalize_article(F.col("_article")))
     rows = _with_topics(rows, index, include_full=True)
     raw, good = blank_to_null(F.col("_article")), F.col("article")
     rule = (
-        F.when(F.col("_text").isNull(), "footer_blank")
+        F.when(F.col("_blank"), "footer_blank")
         .when(n == 0, "footer_outside").when(n > 1, "footer_many_norms")
         .when(~F.col("belongs"), "footer_outside").when(raw.isNull(), "footer_no_article")
         .when(good.isNull(), "footer_bad_article").when(F.col("_n") == 0, "footer_article_outside")
@@ -97,7 +98,7 @@ def classify_direct(items: DataFrame, aliases: DataFrame, index, *, key: str, te
         F.coalesce(named_norm(F.col(text), named), cited_norm(F.col(text), norm_pattern))
         .alias("_cited"),
         normalize_article(cited_article(F.col(text), article_pattern)).alias("article"))
-    rows = contained_codes(cited, "_text", aliases, whole_words=whole_words)
+    rows = contained_codes(cited, "_text", aliases, whole_words=whole_words).drop("_text")
     found, fallback = F.size("codes"), (F.size("codes") == 0) & F.col("_cited").isNotNull()
     rows = rows.withColumn("_codes", found + F.when(fallback, 1).otherwise(0)).withColumn(
         "norm", F.when(found == 1, F.col("codes")[0]).when(fallback, F.col("_cited")))

@@ -253,6 +253,25 @@ def test_contained_codes(spark, whole, more):
     assert sorted((k or 0, c) for k, t, c in got if t in ("alfa", "beta")) == [(0, ["A"]), (7, ["A"]), (7, ["B"])]
 
 
+def test_contained_codes_moves_no_text(spark):
+    texts = spark.range(0, 3000, 1, 6).select(F.col("id").alias("k"), F.concat(
+        F.lit("caliente "), F.when(F.col("id") % 3 == 0, "perro").otherwise("gato"),
+        F.lit(" caliente "), F.col("id").cast("string")).alias("t"))
+    aliases = spark.createDataFrame(
+        [("H", "caliente"), ("P", "perro caliente"), ("N", "caliente 7"), ("Z", "caliente zorro")],
+        "code string, alias string")
+    anchors = {r.code: r.anchor for r in cov.alias_anchors(texts, "t", aliases, sample=1.0).collect()}
+    assert anchors == {"H": "caliente", "P": "perro", "N": "7", "Z": "zorro"}  # the hot word only alone
+    for block in (1, 1000):
+        found = cov.contained_codes(texts, "t", aliases, block=block).select("k", "codes")
+        plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+        moved = [plan[n + 1] for n, line in enumerate(plan) if " Exchange " in line]
+        assert moved and not any(" t#" in line or "[t#" in line for line in moved)
+        got = {r.k: r.codes for r in found.collect()}
+        assert len(got) == 3000 and got[0] == ["H", "P"] and got[7] == ["H", "N"]
+        assert sum("P" in c for c in got.values()) == 1000 and all("H" in c for c in got.values())
+
+
 def test_longest_prefix(spark):
     names = spark.createDataFrame(
         [(1, "Ley Orgánica 3_2018.pdf"), (2, "Ley 3_2018 articulos 1-2.pdf"), (3, "otro"), (3, "Ley x"), (None, "Ley x"), (4, None)],
