@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,13 +17,15 @@ from corpusbank.functions.citation import (
     normalize_article,
 )
 from corpusbank.functions.features import practical_score
-from corpusbank.functions.text import blank_to_null, normalize_spaces
+from corpusbank.functions.text import blank_to_null, normalize_spaces, slugify
 from corpusbank.operators.coverage import (
     article_topics, contained_codes, coverage_pairs, norm_topics,
 )
 from corpusbank.operators.verdicts import check_verdicts, resolve_topics
 from corpusbank.session import stage
 
+Ranker = Callable[[DataFrame, list[str]], DataFrame]
+
 
 def coverage_index(coverage: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lookup tables of known size: per (norm, article) and per norm."""
@@ -154,6 +158,76 @@ def settle_candidates(pending: DataFrame, candidates: DataFrame, verdicts: DataF
         .otherwise(F.col("method")).alias("method"))
 
 
+RETRIEVAL, RULE, DOCUMENTS = "RECUPERACION", "REGLA", "INFORMATICA"  # branches of the cascade
+
+
+def cascade_candidates(searches: DataFrame, fragments: Ranker, documents: Ranker, *, key: str
+                       ) -> DataFrame:
+    """(key, candidate_id, rank, branch) of routed searches (key, text, norm, branch).
+
+    Informatics questions search whole documents; the others fragments, those of the cited norm
+    where one is known.  Each ranker takes (key, text[, norm]) and a list of part columns and
+    returns (key, candidate_id, rank).
+    """
+    branch, norm = F.col("branch"), F.col("norm")
+    of = lambda rows, *more: rows.select(key, "text", *more)
+    found = [
+        (documents(of(searches.filter(branch == DOCUMENTS)), []), DOCUMENTS),
+        (fragments(of(searches.filter((branch == RETRIEVAL) & norm.isNull())), []), RETRIEVAL),
+        (fragments(of(searches.filter((branch == RETRIEVAL) & norm.isNotNull()), "norm"),
+                   ["norm"]), RETRIEVAL)]
+    parts = [rows.select(key, "candidate_id", "rank", F.lit(name).alias("branch"))
+             for rows, name in found]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def classification_cascade(questions: DataFrame, aliases: DataFrame, index, *, key: str, text: str,
+                           origin: str, fragments: Ranker, documents: Ranker,
+                           judge: Callable[[DataFrame], DataFrame],
+                           topics: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(key, branch, state, reason, norm, article, chosen_id, part, topic, confidence, method).
+
+    Every question takes one branch: informatics by its ``origin`` part, else the rule on the
+    citations of its statement where that decides, else retrieval.  ``judge`` gives the verdicts
+    (key, verdict) on candidates, ``topics`` (chosen_id, n_topics, part, topic) of candidates;
+    both are called once, with the candidates of all branches.  ``norm`` and ``article`` are the
+    cited ones.
+    """
+    asked = stage(questions.select(key, F.col(text).alias("text"), slugify(F.col(origin)).contains(
+        "informatica").alias("_it")), "cascade-asked")
+    it = F.coalesce("_it", F.lit(False))
+    rules = stage(classify_direct(asked.filter(~it), aliases, index, key=key, text="text"),
+                  "cascade-rules")
+    unresolved = asked.join(rules.filter(~F.col("resolved")).select(key, "norm", "article"), key)
+    searches = unresolved.select(key, "text", "norm", "article", F.lit(RETRIEVAL).alias("branch")
+                                 ).unionByName(asked.filter(it).select(
+                                     key, "text", F.lit(None).cast("string").alias("norm"),
+                                     F.lit(None).cast("string").alias("article"),
+                                     F.lit(DOCUMENTS).alias("branch")))
+    searches = stage(searches, "cascade-searches")
+    candidates = stage(cascade_candidates(searches, fragments, documents, key=key),
+                       "cascade-candidates")
+    verdicts, named = stage(judge(candidates), "cascade-verdicts"), topics(candidates)
+    settled = []
+    for branch in (RETRIEVAL, DOCUMENTS):
+        own = searches.filter(F.col("branch") == branch)
+        rows = settle_candidates(
+            own, candidates.filter(F.col("branch") == branch),
+            verdicts.join(own.select(key), key, "left_semi"), named, key=key, verdict="verdict",
+            documents=branch == DOCUMENTS)
+        settled.append(rows.join(own.select(key, "norm", "article", "branch"), key))
+    done = rules.filter("resolved").select(
+        key, "state", "reason", F.lit(None).cast("long").alias("chosen_id"), "part",
+        F.col("topic").cast("string").alias("topic"), "confidence", "method", "norm", "article",
+        F.lit(RULE).alias("branch"))
+    out = done
+    for rows in settled:
+        out = out.unionByName(rows.withColumns({
+            "chosen_id": F.col("chosen_id").cast("long"), "topic": F.col("topic").cast("string")}))
+    return out.select(key, "branch", "state", "reason", "norm", "article", "chosen_id", "part",
+                      "topic", "confidence", "method")
+
+
 def classify_type(items: DataFrame, overrides: DataFrame, *, key: str, part: str, stem: str,
                   strict: bool = False) -> DataFrame:
     """(key, qtype, points, error): override, then part, then the practical-case score."""

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusbank.constants import SUBJECT_TOPICS
 from corpusbank.functions.items import decide
+from corpusbank.operators import search
 from corpusbank.operators import verdicts as ver
 from corpusbank.plans import classify
 from corpusbank.queries.coverage import COV_SQL, coverage_table
@@ -109,23 +110,28 @@ def statements(t):
         .otherwise("¿Cuál de las siguientes afirmaciones es correcta?").alias("x"))
 
 
-@query("direct_classification", rf"""
-WITH {COV_SQL}, {ALIASES_SQL}, {STATEMENT_SQL}, {_TOPICS_SQL},
-m AS (SELECT o_orderkey, x, COUNT(code) AS k, MIN(code) AS code FROM stm LEFT JOIN ali
+def direct_ctes(key: str) -> str:
+    """CTEs from ``stm`` (key, x) to ``rules``: what citations in the statement decide."""
+    return rf"""{_TOPICS_SQL},
+m AS (SELECT {key}, x, COUNT(code) AS k, MIN(code) AS code FROM stm LEFT JOIN ali
   ON contains(' ' || trim(regexp_replace(lower(x), '[^\p{{L}}\p{{N}}/_]+', ' ', 'g')) || ' ', ' ' || alias || ' ') GROUP BY ALL),
-c AS (SELECT o_orderkey, greatest(k, CASE WHEN x LIKE '%Ley %' THEN 1 ELSE 0 END) AS k,
+c AS (SELECT {key}, greatest(k, CASE WHEN x LIKE '%Ley %' THEN 1 ELSE 0 END) AS k,
   CASE WHEN k = 1 THEN code WHEN k = 0 AND x LIKE '%Ley %' THEN 'L' || regexp_extract(x, 'Ley (\d+)', 1) || '_2015' END AS code,
   nullif(regexp_extract(x, 'artículo (\d+)', 1), '') AS article FROM m),
 j AS (SELECT c.*, norms.norm IS NOT NULL AS belongs, arts.n, arts.part AS tp, arts.topic AS tt
   FROM c LEFT JOIN norms ON norms.norm = code LEFT JOIN arts ON arts.norm = code AND arts.article = c.article),
-r AS (SELECT *, CASE WHEN k = 0 THEN 1 WHEN k > 1 THEN 2 WHEN NOT belongs THEN 3 WHEN article IS NULL THEN 4 WHEN n IS NULL THEN 5 WHEN n = 1 THEN 6 ELSE 7 END AS rule FROM j)
-SELECT o_orderkey, rule NOT IN (1, 4) AS resolved, list_extract(['PENDIENTE', 'RECHAZADA', 'RECHAZADA', 'PENDIENTE', 'RECHAZADA', 'VALIDADA', 'A_REVISAR'], rule) AS state,
+r AS (SELECT *, CASE WHEN k = 0 THEN 1 WHEN k > 1 THEN 2 WHEN NOT belongs THEN 3 WHEN article IS NULL THEN 4 WHEN n IS NULL THEN 5 WHEN n = 1 THEN 6 ELSE 7 END AS rule FROM j),
+rules AS (SELECT {key}, rule NOT IN (1, 4) AS resolved, list_extract(['PENDIENTE', 'RECHAZADA', 'RECHAZADA', 'PENDIENTE', 'RECHAZADA', 'VALIDADA', 'A_REVISAR'], rule) AS state,
   list_extract(['No se ha detectado una norma explícita.', 'La pregunta hace referencia a varias normas distintas y no sigue el formato admitido por el proyecto.',
   'La norma citada no pertenece al temario.', 'La norma pertenece al temario, pero no se cita artículo.',
   'La norma pertenece al temario, pero el artículo citado no está incluido.', 'La norma y el artículo citados pertenecen al temario.',
   'La norma y el artículo pertenecen al temario, pero están asociados a varios temas.'], rule) AS reason,
   CASE WHEN rule <> 2 THEN code END AS norm, CASE WHEN rule <> 2 THEN article END AS article, CASE WHEN rule = 6 THEN tp END AS part, CASE WHEN rule = 6 THEN tt END AS topic,
-  CASE WHEN rule NOT IN (1, 4) THEN CAST(1.0 AS DOUBLE) END AS confidence, CASE WHEN rule NOT IN (1, 4) THEN 'DIRECTA' END AS method FROM r""")
+  CASE WHEN rule NOT IN (1, 4) THEN CAST(1.0 AS DOUBLE) END AS confidence, CASE WHEN rule NOT IN (1, 4) THEN 'DIRECTA' END AS method FROM r)"""
+
+
+@query("direct_classification",
+       f"WITH {COV_SQL}, {ALIASES_SQL}, {STATEMENT_SQL}, {direct_ctes('o_orderkey')} SELECT * FROM rules")
 def direct_classification(t):
     return classify.classify_direct(
         statements(t), norm_aliases(t), classify.coverage_index(coverage_table(t)),
@@ -235,22 +241,96 @@ SELECT item_id, CASE WHEN NOT has THEN 'RECHAZADA' WHEN err IS NULL THEN 'PENDIE
  CASE WHEN NOT has THEN '{method}' WHEN err IS NOT NULL THEN '{method_model}' END AS method FROM o"""
 
 
-@query("classification_cascade", _cascade_sql(
-    "", "documents", "BM25", "BM25_IA", "BM25 no ha localizado fragmentos candidatos dentro del temario.",
-    "El fragmento respalda la respuesta, pero está asociado a varios temas."))
+# a quarter of the questions each: informatics, norm and article cited, norm cited, no citation
+CASCADE_Q_SQL = """q AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'Especial-Informática' ELSE 'General' END AS origin,
+  CASE item_id % 4 WHEN 1 THEN 'Según el artículo ' || (item_id % 28 + 1) || ' de la norma S' || (item_id // 4 % 5) || '. ' || text
+    WHEN 2 THEN 'La norma S' || (item_id // 4 % 5) || '. ' || text ELSE text END AS x FROM benchmark)"""
+
+
+def cascade_questions(t):
+    """(item_id, origin, x): benchmark texts as questions with and without citations."""
+    kind, norm = F.col("item_id") % 4, (F.floor(F.col("item_id") / 4) % 5).cast("string")
+    return t.benchmark.select(
+        "item_id", F.when(kind == 0, "Especial-Informática").otherwise("General").alias("origin"),
+        F.when(kind == 1, F.concat(
+            F.lit("Según el artículo "), (F.col("item_id") % 28 + 1).cast("string"),
+            F.lit(" de la norma S"), norm, F.lit(". "), "text"))
+        .when(kind == 2, F.concat(F.lit("La norma S"), norm, F.lit(". "), "text"))
+        .otherwise(F.col("text")).alias("x"))
+
+
+def corpus_terms(t):
+    """(fragments with the norm they belong to, informatics documents) as document terms."""
+    norm = F.concat(F.lit("S"), (F.col("doc_id") % 5).cast("string"))
+    terms = stage(search.document_terms(
+        t.documents.withColumn("norm", norm), "doc_id", "text", ["norm", "source"]),
+        "cascade-terms")
+    return terms, terms.join(allowed_sources(t), "source", "left_semi")
+
+
+def ranker(terms):
+    """Rankings over stored document terms, inside the given part columns."""
+    def ranked(questions, part):
+        found = search.ranked_documents(terms, questions, doc_id="doc_id", query_id="item_id",
+                                        query_text="text", part=part)
+        return found.withColumnRenamed("doc_id", "candidate_id")
+    return ranked
+
+
+def event_judge(t):
+    """Last verdict of every question on its candidates, for both kinds of candidates."""
+    def judge(found):
+        verdicts = raw_verdicts(t, found.withColumnRenamed("candidate_id", "doc_id"))
+        last = verdicts.groupBy("item_id").agg(F.max("event_id").alias("event_id"))
+        its = found.select("item_id", F.lit(True).alias("_it")).filter(
+            F.col("branch") == classify.DOCUMENTS).distinct()
+        renamed = F.replace("verdict", F.lit("fragmento_id"), F.lit("documento_id"))
+        return verdicts.join(last, ["item_id", "event_id"], "left_semi").join(
+            its, "item_id", "left").select(
+            "item_id", F.when(F.col("_it"), renamed).otherwise(F.col("verdict")).alias("verdict"))
+    return judge
+
+
+def text_topics(t):
+    def topics(found):
+        return ver.candidate_topics(
+            t.documents, found.select(F.col("candidate_id").alias("doc_id")), doc_id="doc_id",
+            text="text", part="lang", topic="source")
+    return topics
+
+
+def _ranked_sql(docs: str, queries: str, part: str | None = None) -> str:
+    return f"SELECT item_id, doc_id, score, rank FROM (WITH {bm25_sql(docs, queries, part)} SELECT * FROM ranked)"
+
+
+CASCADE_SQL = f"""
+WITH {COV_SQL}, {ALIASES_SQL}, {CASCADE_Q_SQL}, stm AS (SELECT item_id, x FROM q WHERE item_id % 4 <> 0), {direct_ctes('item_id')},
+frag AS (SELECT *, 'S' || (doc_id % 5) AS norm FROM documents), itdocs AS (SELECT * FROM documents WHERE source IN ({ALLOWED_SQL})),
+q_it AS (SELECT item_id, x AS text FROM q WHERE item_id % 4 = 0),
+q_any AS (SELECT item_id, x AS text FROM q JOIN rules USING (item_id) WHERE NOT resolved AND norm IS NULL),
+q_norm AS (SELECT item_id, x AS text, norm FROM q JOIN rules USING (item_id) WHERE NOT resolved AND norm IS NOT NULL),
+ranked AS ({_ranked_sql('itdocs', 'q_it')} UNION ALL {_ranked_sql('frag', 'q_any')} UNION ALL {_ranked_sql('frag', 'q_norm', 'norm')}),
+{VERDICT_SQL}, {CHECKED_SQL}, {_LAST},
+tp AS (SELECT text, COUNT(DISTINCT (lang, source)) AS n, CASE WHEN MIN(lang) = MAX(lang) THEN MIN(lang) END AS part, CASE WHEN MIN(source) = MAX(source) THEN MIN(source) END AS topic FROM documents GROUP BY text),
+v AS (SELECT st.*, tp.n, tp.part, tp.topic FROM st JOIN lastv USING (item_id, event_id) LEFT JOIN documents d ON d.doc_id = chosen_id LEFT JOIN tp ON tp.text = d.text),
+o AS (SELECT q.item_id, q.item_id % 4 = 0 AS it, rules.norm, rules.article, v.* EXCLUDE (item_id), q.item_id IN (SELECT item_id FROM ranked) AS has, v.err = 0 AND v.state <> 'RECHAZADA' AS opn
+  FROM q LEFT JOIN rules USING (item_id) LEFT JOIN v ON v.item_id = q.item_id WHERE q.item_id % 4 = 0 OR NOT rules.resolved)
+SELECT item_id, 'REGLA' AS branch, state, reason, norm, article, CAST(NULL AS BIGINT) AS chosen_id, part, CAST(topic AS VARCHAR) AS topic, confidence, method FROM rules WHERE resolved
+UNION ALL SELECT item_id, CASE WHEN it THEN 'INFORMATICA' ELSE 'RECUPERACION' END, CASE WHEN NOT has THEN 'RECHAZADA' WHEN err IS NULL THEN 'PENDIENTE' WHEN opn AND n <> 1 THEN 'A_REVISAR' ELSE state END,
+ CASE WHEN NOT has THEN CASE WHEN it THEN 'BM25 no ha localizado documentos candidatos de Informática.' ELSE 'BM25 no ha localizado fragmentos candidatos dentro del temario.' END
+   WHEN err > 0 THEN 'No se pudo interpretar de forma segura la respuesta de la IA: ' || error
+   WHEN opn AND n > 1 THEN CASE WHEN it THEN 'El documento respalda la respuesta, pero está asociado a varios temas.' ELSE 'El fragmento respalda la respuesta, pero está asociado a varios temas.' END ELSE 'r' || w END,
+ norm, article, CASE WHEN has AND err = 0 AND state <> 'RECHAZADA' THEN chosen_id END, CASE WHEN has AND opn AND n = 1 THEN part END, CASE WHEN has AND opn AND n = 1 THEN topic END,
+ CASE WHEN NOT has THEN CAST(0.0 AS DOUBLE) ELSE confidence END, CASE WHEN NOT has THEN CASE WHEN it THEN 'BM25_DOCUMENTO' ELSE 'BM25' END WHEN err IS NOT NULL THEN CASE WHEN it THEN 'BM25_IA_DOCUMENTO' ELSE 'BM25_IA' END END FROM o"""
+
+
+@query("classification_cascade", CASCADE_SQL)
 def classification_cascade(t):
-    # the benchmark statements cite no norm: the rules leave them pending for retrieval
-    direct = classify.classify_direct(
-        t.benchmark, norm_aliases(t), classify.coverage_index(coverage_table(t)), key="item_id",
-        text="text")
-    pending = stage(direct.filter(~F.col("resolved")).select("item_id").join(
-        t.benchmark, "item_id"), "pending")
-    ranked = stage(candidates(t, queries=pending), "ranked")
-    settled = settle(t, ranked).join(pending.select("item_id"), "item_id", "left_semi")
-    done = direct.filter("resolved").select(
-        "item_id", "state", "reason", F.lit(None).cast("long").alias("chosen_id"), "part",
-        F.col("topic").cast("string").alias("topic"), "confidence", "method")
-    return settled.unionByName(done)
+    fragments, documents = corpus_terms(t)
+    return classify.classification_cascade(
+        cascade_questions(t), norm_aliases(t), classify.coverage_index(coverage_table(t)),
+        key="item_id", text="x", origin="origin", fragments=ranker(fragments),
+        documents=ranker(documents), judge=event_judge(t), topics=text_topics(t))
 
 
 @query("it_classification", _cascade_sql(

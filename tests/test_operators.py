@@ -430,3 +430,17 @@ def test_postings_of_long_runs(spark):
     assert got == {"uno": 30000, "unos": 2, "un0": 2, "uno1": 2, "12": 2, "123": 2}
     assert rows[1]["dl"] == 30010
     assert [(rows[k]["dl"], rows[k]["terms"]) for k in (2, 3, 4)] == [(0, [])] * 3
+
+
+def test_cascade_takes_one_branch_per_question(spark):
+    from corpusbank.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    rows = QUERIES["classification_cascade"](spark, folder).collect()
+    items = spark.read.parquet(f"{folder}/benchmark.parquet").count()
+    assert len(rows) == items == len({r.item_id for r in rows})
+    by_branch = Counter(r.branch for r in rows)
+    assert set(by_branch) == {classify.RULE, classify.RETRIEVAL, classify.DOCUMENTS}
+    assert all((r.method or "").startswith("DIRECTA") for r in rows if r.branch == classify.RULE)
+    assert all(r.item_id % 4 == 0 for r in rows if r.branch == classify.DOCUMENTS)
+    assert {r.state for r in rows if r.branch == classify.RULE} >= {"VALIDADA", "RECHAZADA"}
