@@ -14,6 +14,7 @@ The one exchange before the top k brings the block's postings of a document toge
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +27,7 @@ from corpusbank.session import stage
 
 _RUN = r"([a-z0-9]+)(?: \1(?![a-z0-9]))*+"  # a token and its repeats; possessive, no recursion
 BLOCK = 200_000  # query terms broadcast at once
+BUCKETS = 64  # partitions of a stored index
 SEEDS = 4  # tokens of a query that give the documents of its threshold
 REST = 0.25  # share of the threshold that the tokens left aside may add up to
 MARGIN = 1e-5  # more than rounding to six digits and sums in another order can change
@@ -99,15 +101,18 @@ def block_postings(docs: DataFrame, terms: DataFrame, doc_id: str,
 
 
 def query_weights(posts: DataFrame, terms: DataFrame, part: list[str] | None = None,
-                  k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+                  k1: float = BM25_K1, b: float = BM25_B, stats: DataFrame | None = None
+                  ) -> DataFrame:
     """(part.., query_id, tok, df, idf, mean_dl, bound) of one block of query terms.
 
-    ``bound`` is the most that the token adds to any document's score.
+    ``bound`` is the most that the token adds to any document's score.  ``stats`` is
+    (part.., n, mean_dl), by default from the postings.
     """
     part = part or []
-    mean = F.greatest(F.avg("dl"), F.lit(1.0)).alias("mean_dl")
-    stats = stage(posts.filter("first").groupBy(*part).agg(F.count(F.lit(1)).alias("n"), mean),
-                  "bm25-stats")
+    if stats is None:
+        mean = F.greatest(F.avg("dl"), F.lit(1.0)).alias("mean_dl")
+        stats = stage(posts.filter("first").groupBy(*part).agg(
+            F.count(F.lit(1)).alias("n"), mean), "bm25-stats")
     found = posts.filter("tok IS NOT NULL")
     found = found.join(stats, part) if part else found.withColumns(
         {c: stats.select(c).scalar() for c in ("n", "mean_dl")})
@@ -225,12 +230,20 @@ def ranked_documents(docs: DataFrame, queries: DataFrame, *, doc_id: str, query_
     terms = stage(query_terms(queries, query_id, query_text, part, stop_words), "query-terms")
     blocks = max(1, -(-terms.count() // block))
     docs = docs if blocks == 1 else stage(docs, "document-terms")
+    return _ranked(terms, blocks, lambda own: block_postings(docs, own, doc_id, part), None,
+                   doc_id, query_id, k, part, prune)
+
+
+def _ranked(terms: DataFrame, blocks: int, postings: Callable[[DataFrame], DataFrame],
+            stats: DataFrame | None, doc_id: str, query_id: str, k: int, part: list[str],
+            prune: bool) -> DataFrame:
+    """Ranks all blocks of staged query terms over the postings of their vocabulary."""
     found = []
     for number in range(blocks):  # a query's terms are in one block
         own = terms if blocks == 1 else terms.filter(
             F.pmod(F.xxhash64(F.col(query_id).cast("string")), F.lit(blocks)) == number)
-        posts = block_postings(docs, own, doc_id, part)
-        weights = query_weights(posts, own, part)
+        posts = postings(own)
+        weights = query_weights(posts, own, part, stats=stats)
         if prune:
             least = score_thresholds(posts, weights, doc_id, query_id, k, part)
         else:
@@ -242,6 +255,50 @@ def ranked_documents(docs: DataFrame, queries: DataFrame, *, doc_id: str, query_
     return top_k(scores, [query_id], [F.col("score").desc(), F.col(doc_id)], k, "rank")
 
 
+def _bucket(tok: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(tok), F.lit(buckets)).cast("int")
+
+
+def index_tables(docs: DataFrame, doc_id: str, part: list[str] | None = None,
+                 buckets: int = BUCKETS) -> dict[str, DataFrame]:
+    """Tables of an inverted index of :func:`document_terms`, to be stored.
+
+    ``postings`` (part.., doc_id, dl, tok, tf, bucket) in ranges of (bucket, tok), so that the
+    postings of a frequent token spread over files; ``sizes`` (part.., n, words).
+    """
+    part = part or []
+    posts = docs.select(*part, doc_id, "dl", F.inline("terms")).withColumn(
+        "bucket", _bucket(F.col("tok"), buckets))
+    keys = ["bucket", "tok", doc_id]
+    return {
+        "postings": posts.repartitionByRange(*keys).sortWithinPartitions(*keys),
+        "sizes": docs.groupBy(*part).agg(F.count(F.lit(1)).alias("n"),
+                                         F.sum("dl").alias("words"))}
+
+
+def ranked_from_index(postings: DataFrame, sizes: DataFrame, queries: DataFrame, *, doc_id: str,
+                      query_id: str, query_text: str, k: int = CANDIDATES,
+                      part: list[str] | None = None,
+                      stop_words: tuple[str, ...] = STOP_WORDS, prune: bool = True,
+                      block: int = BLOCK, buckets: int = BUCKETS) -> DataFrame:
+    """As :func:`bm25_topk` over stored :func:`index_tables`: only the buckets of the queries'
+    tokens are read.  ``part`` may be any of the index' part columns."""
+    part = part or []
+    terms = stage(query_terms(queries, query_id, query_text, part, stop_words), "query-terms")
+    mean = F.greatest(F.sum("words") / F.sum("n"), F.lit(1.0)).alias("mean_dl")
+    stats = stage(sizes.groupBy(*part).agg(F.sum("n").alias("n"), mean), "bm25-stats")
+
+    def asked(own: DataFrame) -> DataFrame:
+        block = own.select(*part, "tok").distinct().withColumn(
+            "bucket", _bucket(F.col("tok"), buckets))
+        return stage(postings.join(F.broadcast(block), ["bucket", *part, "tok"], "left_semi")
+                     .select(*part, doc_id, "dl", "tok", "tf", F.lit(False).alias("first")),
+                     "bm25-postings")
+
+    return _ranked(terms, max(1, -(-terms.count() // block)), asked, stats, doc_id, query_id, k,
+                   part, prune)
+
+
 def pack_candidates(ranked: DataFrame, corpus: DataFrame, *, doc_id: str, text: str,
                     query_id: str, name: str, max_chars: int | None = None) -> DataFrame:
     """(query_id, pack): candidates of a query in rank order as one text block.

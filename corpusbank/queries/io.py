@@ -3,16 +3,20 @@
 from pyspark.sql import functions as F
 
 from corpusbank.functions.items import call_cost, prepare_error
-from corpusbank.functions.text import strip
-from corpusbank.plans.classify import classify_direct, coverage_index
-from corpusbank.queries.classification import norm_aliases, statements
-from corpusbank.queries.coverage import coverage_table
+from corpusbank.plans.bank import import_questions, with_fingerprint
+from corpusbank.plans.classify import classification_cascade, coverage_index
+from corpusbank.queries.classification import (
+    ALIASES_SQL, cascade_questions, corpus_terms, event_judge, norm_aliases, text_topics,
+)
+from corpusbank.queries.coverage import COV_SQL, coverage_table
 from corpusbank.queries.items import ERROR_SQL, RAW_SQL, raw_questions
-from corpusbank.queries.maintenance import FP_SQL, LABEL_SQL, labelled
+from corpusbank.queries.maintenance import (
+    FOOTER_CTES, FOOTER_SELECT, IMPORT_SQL, LABEL_SQL, import_raw, labelled, stored_raw,
+)
 from corpusbank.queries.registry import SQL, query
 from corpusbank.queries.text import CODE_SQL, TAIL_SQL, norm_code, spaces_sql
 from corpusbank.session import new_path, stage
-from corpusbank.sources import readers, writers
+from corpusbank.sources import readers, versions, writers
 from corpusbank.streaming import jobs
 
 
@@ -173,36 +177,74 @@ def write_cost_log(t):
     return log.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("cost"), 6).alias("cost"))
 
 
-@query("stream_import", f"WITH {FP_SQL} SELECT fp, MIN(doc_id) AS doc_id FROM fp GROUP BY fp")
+# the first drop holds the lower half of the keys, the second one all rows: the lower half again
+_SPLIT_SQL = "SELECT MAX(p_partkey) // 2 FROM part"
+_IMPORT_CTES = IMPORT_SQL[:IMPORT_SQL.index("fst AS (")]
+_LABELS = """CASE WHEN error IS NOT NULL THEN 'ERROR_EXTRACCION' WHEN s.fp IS NOT NULL THEN 'DUPLICADA_BD' WHEN f.pos IS NOT NULL THEN 'NUEVA' ELSE 'DUPLICADA_LOTE' END AS label, first_id AS existing_id"""
+
+
+@query("stream_import", f"""
+WITH {COV_SQL}, {ALIASES_SQL}, {_IMPORT_CTES}
+items AS (SELECT p_partkey AS pos, CASE WHEN CAST(h.b AS INTEGER) % 3 > 0 THEN 'Norma S' || h.b END AS norm, CASE WHEN CAST(h.b AS INTEGER) % 7 > 0 THEN 'norma S' || (CAST(h.b AS INTEGER) // 2) END AS footer, stem, h.b AS article FROM h),
+{FOOTER_CTES}, val AS (SELECT pos, {FOOTER_SELECT}),
+h1 AS (SELECT * FROM h WHERE p_partkey <= ({_SPLIT_SQL})),
+f1 AS (SELECT batch, fp, MIN(p_partkey) AS pos FROM h1 WHERE error IS NULL GROUP BY ALL),
+l1 AS (SELECT h1.p_partkey AS pos, h1.fp, h1.batch, error, {_LABELS} FROM h1 LEFT JOIN sto s ON s.fp = h1.fp LEFT JOIN f1 f ON f.pos = h1.p_partkey),
+sto2 AS (SELECT fp, MIN(first_id) AS first_id FROM (SELECT * FROM sto UNION ALL SELECT fp, pos FROM l1 WHERE label = 'NUEVA') GROUP BY fp),
+f2 AS (SELECT batch, fp, MIN(p_partkey) AS pos FROM h WHERE error IS NULL GROUP BY ALL),
+l2 AS (SELECT h.p_partkey AS pos, h.fp, h.batch, error, {_LABELS} FROM h LEFT JOIN sto2 s ON s.fp = h.fp LEFT JOIN f2 f ON f.pos = h.p_partkey),
+l AS (SELECT 0 AS batch_id, * FROM l1 UNION ALL SELECT 1, * FROM l2)
+SELECT CAST(batch_id AS BIGINT) AS batch_id, l.pos, l.batch, error, label, existing_id, CASE WHEN label = 'NUEVA' THEN state END AS state, CASE WHEN label = 'NUEVA' THEN val.norm END AS code,
+  CASE WHEN label = 'NUEVA' THEN val.part END AS part, CASE WHEN label = 'NUEVA' THEN val.topic END AS topic FROM l LEFT JOIN val ON val.pos = l.pos""")
 def stream_import(t):
+    """Two drops of raw question files; the second one repeats the rows of the first."""
     root = new_path(t.spark, "stream")
-    inbox, bank = f"{root}/inbox", f"{root}/bank"
-    schema = "doc_id bigint, fp string"
-    # two drops of files: the second one repeats texts of the first
-    rows = t.documents.select("doc_id", "text")
-    split = F.col("doc_id") < t.documents.agg(F.percentile_approx("doc_id", 0.5)).scalar()
-    source = lambda: t.spark.readStream.schema("doc_id bigint, text string").parquet(inbox)
-    jobs.create_bank(t.spark, bank, schema)
-    for drop in (rows.filter(split), rows.filter(~split)):
+    inbox, bank, out = f"{root}/inbox", f"{root}/bank", f"{root}/out"
+    raw = stage(import_raw(t), "import-raw")
+    jobs.create_bank(t.spark, bank, stored_raw(raw))
+    aliases, index = stage(norm_aliases(t), "aliases"), coverage_index(coverage_table(t))
+
+    def importer(batch, stored):
+        return import_questions(batch, stored, ["batch"], aliases, index).select(
+            "pos", "batch", "error", "label", "existing_id", "state", "code", "part", "topic")
+
+    half = F.col("pos") <= F.floor(t.part.agg(F.max("p_partkey")).scalar() / 2)
+    for drop in (raw.filter(half), raw):
         drop.write.mode("append").parquet(inbox)
         jobs.import_stream(
-            source(), bank, f"{root}/checkpoint", key="fp", order="doc_id", schema=schema,
-            prepare=lambda b: b.select("doc_id", F.sha2(strip(F.col("text")), 256).alias("fp")),
-        ).awaitTermination()
-    return t.spark.read.schema(f"{schema}, batch long").parquet(bank).select("fp", "doc_id")
+            t.spark.readStream.schema(raw.schema).parquet(inbox), bank, out, f"{root}/checkpoint",
+            fingerprinted=with_fingerprint, importer=importer).awaitTermination()
+    return t.spark.read.parquet(out).select(
+        F.col("batch_id").cast("long").alias("batch_id"), "pos", "batch", "error", "label", "existing_id",
+        "state", "code", "part", "topic")
 
 
-@query("stream_classify_pending", f"SELECT o_orderkey, state, norm, topic FROM ({SQL['direct_classification']})")
+@query("stream_classify_pending", f"SELECT item_id, branch, state, norm, chosen_id, topic, method FROM ({SQL['classification_cascade']})")
 def stream_classify_pending(t):
+    """Two drops of questions through the whole cascade, retrieval from a stored index."""
     root = new_path(t.spark, "pending")
-    statements(t).write.parquet(f"{root}/inbox")
-    stream = t.spark.readStream.schema("o_orderkey bigint, x string").parquet(f"{root}/inbox")
+    inbox, bank = f"{root}/inbox", f"{root}/index"
+    versions.create_store(t.spark, bank, "name string")
+    fragments, documents = corpus_terms(t)
+    jobs.store_index(bank, "fragments", fragments, "doc_id", ["norm", "source"])
+    jobs.store_index(bank, "documents", documents, "doc_id", ["norm", "source"])
     aliases, index = stage(norm_aliases(t), "aliases"), coverage_index(coverage_table(t))
+    ranked = {name: jobs.stored_ranker(
+        t.spark, bank, name, doc_id="doc_id", query_id="item_id",
+        part="norm string, source string") for name in ("fragments", "documents")}
 
     def classify(batch):
-        return classify_direct(batch, aliases, index, key="o_orderkey", text="x").select(
-            "o_orderkey", "state", "norm", "topic")
+        return classification_cascade(
+            batch, aliases, index, key="item_id", text="x", origin="origin", **ranked,
+            judge=event_judge(t), topics=text_topics(t)
+        ).select("item_id", "branch", "state", "norm", "chosen_id", "topic", "method")
 
-    jobs.classify_stream(stream, f"{root}/out", f"{root}/checkpoint", classify).awaitTermination()
-    schema = "o_orderkey bigint, state string, norm string, topic int, batch long"
-    return t.spark.read.schema(schema).parquet(f"{root}/out").drop("batch")
+    rows = cascade_questions(t)
+    split = F.col("item_id") < t.benchmark.agg(F.percentile_approx("item_id", 0.5)).scalar()
+    for drop in (rows.filter(split), rows.filter(~split)):
+        drop.write.mode("append").parquet(inbox)
+        stream = t.spark.readStream.schema("item_id bigint, origin string, x string").parquet(inbox)
+        jobs.classify_stream(stream, f"{root}/out", f"{root}/checkpoint", classify).awaitTermination()
+    schema = ("item_id bigint, branch string, state string, norm string, chosen_id bigint, "
+              "topic string, method string, batch_id long")
+    return t.spark.read.schema(schema).parquet(f"{root}/out").drop("batch_id")

@@ -98,8 +98,8 @@ imp AS (SELECT h.p_partkey AS pos, h.batch, error, CASE WHEN error IS NOT NULL T
 items AS (SELECT pos, norm, footer, stem, article FROM imp WHERE label = 'NUEVA')"""
 
 
-def import_rows(t):
-    """(pos, batch, error, label, .., state, code, part, topic, reason) of all imported parts."""
+def import_raw(t):
+    """Raw questions (pos, p_type, page, stem, options, answer, norm, footer, article, notes, batch)."""
     size = F.col("p_size")
     extra = t.part.select(
         F.col("p_partkey").alias("pos"),
@@ -108,18 +108,27 @@ def import_rows(t):
         size.cast("string").alias("article"),
         F.when(size > 40, F.array(F.lit("borrosa"), F.lit("cortada"))).otherwise(
             F.array().cast("array<string>")).alias("notes"))
-    raw = raw_questions(t).withColumnRenamed("p_partkey", "pos").withColumn(
-        "batch", F.floor(F.col("pos") / 500))
-    stored = plans.with_fingerprint(raw.filter("p_type = 'SMALL'")).select(F.col("pos").alias("id"), "fp")
+    return raw_questions(t).withColumnRenamed("p_partkey", "pos").withColumn(
+        "batch", F.floor(F.col("pos") / 500)).join(extra, "pos")
+
+
+def stored_raw(raw):
+    """(id, fp) of the questions stored before: the small parts."""
+    return plans.with_fingerprint(raw.filter("p_type = 'SMALL'")).select(F.col("pos").alias("id"), "fp")
+
+
+def import_rows(t):
+    """(pos, batch, error, label, .., state, code, part, topic, reason) of all imported parts."""
+    raw = import_raw(t)
     return plans.import_questions(
-        raw.join(extra, "pos"), stored, ["batch"], norm_aliases(t), coverage_index(coverage_table(t)))
+        raw, stored_raw(raw), ["batch"], norm_aliases(t), coverage_index(coverage_table(t)))
 
 
-_FOOTER_CTES, _FOOTER_SELECT = footer_sql("pos").rsplit("\nSELECT pos, ", 1)
+FOOTER_CTES, FOOTER_SELECT = footer_sql("pos").rsplit("\nSELECT pos, ", 1)
 
 
 @query("import_questions", f"""
-WITH {COV_SQL}, {ALIASES_SQL}, {IMPORT_SQL}, {_FOOTER_CTES}, val AS (SELECT pos, {_FOOTER_SELECT})
+WITH {COV_SQL}, {ALIASES_SQL}, {IMPORT_SQL}, {FOOTER_CTES}, val AS (SELECT pos, {FOOTER_SELECT})
 SELECT imp.pos, imp.batch, imp.error, label, existing_id, state, val.norm AS code, val.part, val.topic,
   CASE WHEN p_size > 40 AND state IS NOT NULL THEN 'Incidencias de extracción: borrosa | cortada | ' || reason ELSE reason END AS reason,
   CAST(NULL AS VARCHAR) AS qtype, CASE WHEN state IS NOT NULL THEN 'PIE_DIRECTO' END AS method

@@ -1,8 +1,8 @@
 """Structured Streaming jobs: import new questions, classify pending ones.
 
-Uniqueness is for ever, so it is not kept in stream state: each micro-batch is reduced by
-fingerprint and anti-joined with the bank table.  A batch writes to its own ``batch=<id>``
-partition (overwritten when the batch is replayed), which makes the sink idempotent.
+Uniqueness is for ever, so it is not kept in stream state: each micro-batch is compared with the
+bank table, of which only the partitions of its fingerprints' prefixes are read.  A batch writes to
+partitions of its own (overwritten when the batch is replayed), which makes the sinks idempotent.
 """
 
 from __future__ import annotations
@@ -12,35 +12,73 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusbank.operators.dedup import first_by_key
+from corpusbank.operators import search
 from corpusbank.session import stage
+from corpusbank.sources import versions
 
 
-def _bank_before(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
-    """Bank content without the given batch, so a replay sees the same state."""
-    bank = spark.read.schema(f"{schema}, batch long").parquet(path)
-    return bank.filter(F.col("batch") != batch_id)
+PREFIX = 2  # characters of a fingerprint that name its partition of the bank
+
+
+def create_bank(spark: SparkSession, path: str, first: DataFrame | None = None) -> None:
+    """A bank (id, fp) partitioned by fingerprint prefix and batch; ``first`` are its first rows."""
+    rows = spark.createDataFrame([], "id long, fp string") if first is None else first
+    _write_bank(rows.select("id", "fp"), path, -1)
+
+
+def _write_bank(rows: DataFrame, path: str, batch_id: int) -> None:
+    (rows.withColumn("prefix", F.left("fp", F.lit(PREFIX)))
+     .withColumn("batch", F.lit(batch_id).cast("long")).repartition("prefix")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("prefix", "batch").parquet(path))
+
+
+def stored_questions(spark: SparkSession, path: str, fingerprints: DataFrame, batch_id: int
+                     ) -> DataFrame:
+    """(id, fp) of the bank for the given fingerprints, as it was before the batch.
+
+    The prefixes of a batch, ``16 ** PREFIX`` at most, become a filter on the partition
+    column: other partitions are not listed or read.  Rows of the batch itself do not count, so
+    that a replay sees the same state.
+    """
+    wanted = fingerprints.select(F.left("fp", F.lit(PREFIX)).alias("p")).distinct()
+    prefixes = sorted(r.p for r in wanted.collect() if r.p)
+    schema = "id long, fp string, prefix string, batch long"
+    bank = spark.read.schema(schema).parquet(path).filter(
+        F.col("prefix").isin(prefixes) & (F.col("batch") != batch_id))
+    return bank.join(fingerprints.select("fp").distinct(), "fp", "left_semi").select("id", "fp")
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    (df.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
+    (df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
 
 
-def import_stream(source: DataFrame, bank_path: str, checkpoint: str, *, key: str, order: str,
-                  prepare: Callable[[DataFrame], DataFrame], schema: str):
-    """Start the import: prepare, first of each fingerprint, not yet stored, append.
+def import_batch(batch: DataFrame, batch_id: int, bank_path: str, out_path: str,
+                 fingerprinted: Callable[[DataFrame], DataFrame],
+                 importer: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """Label, validate and store one batch of raw questions; a replay changes nothing.
 
-    ``schema`` is the DDL of the prepared rows; ``order`` is unique.  The bank path must
-    exist (see :func:`create_bank`).  Runs over everything available and stops.
+    ``fingerprinted`` adds ``fp`` to raw rows (pos, ..), ``importer`` takes the batch and the
+    stored questions (id, fp) and returns (pos, label, ..).  The batch is staged once.
+    """
+    raw = stage(fingerprinted(batch), "import-batch")
+    stored = stored_questions(batch.sparkSession, bank_path, raw.filter("fp IS NOT NULL"), batch_id)
+    outcome = stage(importer(raw, stage(stored, "import-stored")), "import-outcome")
+    new = outcome.filter("label = 'NUEVA'").select("pos").join(raw.select("pos", "fp"), "pos")
+    _write_bank(new.select(F.col("pos").alias("id"), "fp"), bank_path, batch_id)
+    _write_batch(outcome, out_path, batch_id)
+
+
+def import_stream(source: DataFrame, bank_path: str, out_path: str, checkpoint: str, *,
+                  fingerprinted: Callable[[DataFrame], DataFrame],
+                  importer: Callable[[DataFrame, DataFrame], DataFrame]):
+    """Start the import of everything available (see :func:`import_batch`).
+
+    The bank path must exist (see :func:`create_bank`).
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        firsts = stage(first_by_key(prepare(batch), [key], order), "batch")
-        # the bank is reduced by the (small, staged) batch first, so it is not shuffled
-        known = _bank_before(spark, bank_path, schema, batch_id).select(key).join(
-            firsts.select(key), key, "left_semi")
-        _write_batch(firsts.join(known, key, "left_anti"), bank_path, batch_id)
+        import_batch(batch, batch_id, bank_path, out_path, fingerprinted, importer)
 
     return (
         source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
@@ -48,17 +86,42 @@ def import_stream(source: DataFrame, bank_path: str, checkpoint: str, *, key: st
     )
 
 
-def create_bank(spark: SparkSession, path: str, schema: str) -> None:
-    """An empty bank table partitioned by batch."""
-    empty = spark.createDataFrame([], schema).withColumn("batch", F.lit(-1).cast("long"))
-    empty.write.mode("append").partitionBy("batch").parquet(path)
+def store_index(root: str, name: str, docs: DataFrame, doc_id: str, part: list[str]) -> str:
+    """Store an inverted index of document terms as the next version of ``name``."""
+    spark = docs.sparkSession
+    tables = {n: rows.withColumn("name", F.lit(name))
+              for n, rows in search.index_tables(docs, doc_id, part).items()}
+    keys = spark.range(1).select(F.lit(name).alias("name"))
+    return versions.publish(tables, root, "name", keys, ("bucket",))
+
+
+def stored_ranker(spark: SparkSession, root: str, name: str, *, doc_id: str, query_id: str,
+                  part: str, query_text: str = "text"):
+    """Ranker over the stored index (see ``plans.classify``): the version current at the call.
+
+    ``part`` is the DDL of the index' part columns.
+    """
+    def table(which: str, columns: str) -> DataFrame:
+        rows = versions.published(spark, root, which, "name", f"{columns}, {part}, name string")
+        return rows.filter(F.col("name") == name).drop("name")
+
+    def ranked(questions: DataFrame, parts: list[str]) -> DataFrame:
+        found = search.ranked_from_index(
+            table("postings", f"{doc_id} long, dl int, tok string, tf int, bucket int"),
+            table("sizes", "n long, words long"), questions, doc_id=doc_id, query_id=query_id,
+            query_text=query_text, part=parts)
+        return found.withColumnRenamed(doc_id, "candidate_id")
+    return ranked
 
 
 def classify_stream(source: DataFrame, out_path: str, checkpoint: str,
                     classify: Callable[[DataFrame], DataFrame]):
-    """Start the classification of pending rows: every micro-batch goes through ``classify``."""
+    """Start the classification of pending rows: every micro-batch goes through ``classify``.
+
+    The batch is staged once, as a cascade reads it for every branch.
+    """
     def each(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(classify(batch), out_path, batch_id)
+        _write_batch(classify(stage(batch, "pending")), out_path, batch_id)
 
     return (
         source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
