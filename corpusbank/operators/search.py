@@ -299,24 +299,39 @@ def ranked_from_index(postings: DataFrame, sizes: DataFrame, queries: DataFrame,
                    part, prune)
 
 
-def pack_candidates(ranked: DataFrame, corpus: DataFrame, *, doc_id: str, text: str,
-                    query_id: str, name: str, max_chars: int | None = None) -> DataFrame:
-    """(query_id, pack): candidates of a query in rank order as one text block.
+def _packed(ranked: DataFrame, corpus: DataFrame, block: Column, doc_id: str, query_id: str,
+            columns: list[str]) -> DataFrame:
+    """Blocks of a query's candidates in rank order; at most k of them, so the group is bounded."""
+    blocks = F.array_sort(F.collect_list(F.struct("rank", block.alias("block"))))
+    return (
+        ranked.join(corpus.select(doc_id, *columns), doc_id).groupBy(query_id)
+        .agg(F.array_join(F.transform(blocks, lambda s: s["block"]), "").alias("pack")))
 
-    A query has at most k candidates, so the collected group is bounded.
-    """
-    body = F.col(text) if max_chars is None else F.substring(F.col(text), 1, max_chars)
+
+def pack_fragments(ranked: DataFrame, corpus: DataFrame, *, doc_id: str, text: str, query_id: str,
+                   name: str, reference: str) -> DataFrame:
+    """(query_id, pack): the candidate fragments of a query as one text, each below a rule."""
     block = F.concat(
-        F.lit("Fragmento "), F.col("rank").cast("string"),
+        F.lit("\n" + "=" * 60 + "\nFragmento "), F.col("rank").cast("string"),
         F.lit("\nfragmento_id="), F.col(doc_id).cast("string"),
-        F.lit("\ndocumento="), F.col(name), F.lit("\n\n"), strip(body),
-    )
-    return (
-        ranked.join(corpus.select(doc_id, name, text), doc_id)
-        .groupBy(query_id)
-        .agg(F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))),
-                lambda s: s["block"],
-            ), "\n\n").alias("pack"))
-    )
+        F.lit("\ndocumento="), F.coalesce(name, F.lit("")),
+        F.lit("\nreferencia="), F.coalesce(reference, F.lit("")), F.lit("\n\n"),
+        strip(F.coalesce(text, F.lit(""))), F.lit("\n"))
+    return _packed(ranked, corpus, block, doc_id, query_id, [text, name, reference])
+
+
+def pack_documents(ranked: DataFrame, corpus: DataFrame, *, doc_id: str, text: str, query_id: str,
+                   name: str, title: str, shown: int = 3000) -> DataFrame:
+    """(query_id, pack): candidate documents as one text, the first ``shown`` characters of each.
+
+    A document without title has no title line.
+    """
+    rule = "\n" + "-" * 70
+    heading = F.when(F.coalesce(title, F.lit("")) != "",
+                     F.concat(F.lit("\nTítulo: "), F.col(title))).otherwise("")
+    block = F.concat(
+        F.lit("\n" + rule + "\nDOCUMENTO "), F.col("rank").cast("string"), F.lit(rule + "\nID: "),
+        F.col(doc_id).cast("string"), F.lit("\nNombre: "), F.coalesce(name, F.lit("")), heading,
+        F.lit("\n\nContenido:\n\n"),
+        strip(F.substring(F.coalesce(text, F.lit("")), 1, shown)))
+    return _packed(ranked, corpus, block, doc_id, query_id, [text, name, title])

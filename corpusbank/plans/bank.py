@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusbank.constants import ACCEPTED, INFORMATICS, METHOD_FOOTER, VALIDATED
@@ -17,8 +17,10 @@ from corpusbank.operators.maintenance import insert_ignore, upsert
 from corpusbank.operators.quota import (
     block_summary, draw_with_backfill, largest_remainder, number_items,
 )
+from corpusbank.operators.ranking import range_numbers
 from corpusbank.plans.classify import validate_footers
 from corpusbank.session import stage
+from corpusbank.sources import versions
 
 
 def with_fingerprint(items: DataFrame, stem: str = "stem", options: str = "opt_") -> DataFrame:
@@ -89,6 +91,78 @@ def rebuild_bank(bank: DataFrame, accepted: DataFrame, calls: DataFrame) -> Data
         (F.coalesce("accepted", zero) - F.coalesce("inserted", zero)).alias("skipped"))
 
 
+BANK_TABLES = {
+    "questions": "call_id long, question_id long, part_id long, topic_id long, answer string",
+    "options": "call_id long, question_id long, letter string, text string",
+}
+
+
+def stored_bank(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """Current questions and options of all calls of a bank store."""
+    return {name: versions.published(spark, root, name, "call_id", schema)
+            for name, schema in BANK_TABLES.items()}
+
+
+def bank_tables(accepted: DataFrame) -> dict[str, DataFrame]:
+    """Questions and their options of the complete rows of :func:`accepted_bank`."""
+    rows = accepted.filter("complete")
+    return {
+        "questions": rows.select("call_id", "question_id", "part_id", "topic_id", "answer"),
+        "options": rows.select("call_id", "question_id",
+                               F.explode("options").alias("letter", "text"))}
+
+
+def store_rebuild(root: str, accepted: DataFrame, calls: DataFrame) -> DataFrame:
+    """Replace the stored bank of ``calls``; returns the counters of :func:`rebuild_bank`.
+
+    Questions and options of all calls go into one new version and are committed together; the
+    other calls keep theirs.  A run that fails before the commit changes nothing.
+    """
+    spark, calls = calls.sparkSession, stage(calls.select("call_id").distinct(), "rebuild-calls")
+    rows = stage(accepted.join(calls, "call_id", "left_semi"), "rebuild-rows")
+    counts = stage(rebuild_bank(stored_bank(spark, root)["questions"], rows, calls), "rebuild")
+    versions.publish(bank_tables(rows), root, "call_id", calls)
+    return counts
+
+
+def storage_bucket(parent: Column, buckets: int) -> Column:
+    """Stable bucket of a parent's children on storage."""
+    return F.pmod(F.xxhash64(parent.cast("string")), F.lit(buckets)).cast("long")
+
+
+def create_children(root: str, rows: DataFrame, parent: str, order: list[str],
+                    buckets: int = 64) -> None:
+    """A store of children, numbered 1..n per parent in ``place`` and dealt out to buckets."""
+    spark = rows.sparkSession
+    versions.create_store(spark, root, "bucket long")
+    placed = range_numbers(rows, [parent], order, "place").withColumn(
+        "bucket", storage_bucket(F.col(parent), buckets))
+    every = spark.range(buckets).select(F.col("id").alias("bucket"))
+    versions.publish({"children": placed.repartition("bucket")}, root, "bucket", every)
+
+
+def stored_children(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """Current children; ``schema`` is the DDL of their columns and ``place``."""
+    return versions.published(spark, root, "children", "bucket", f"{schema}, bucket long")
+
+
+def replace_stored_children(root: str, schema: str, new: DataFrame, parent: str,
+                            order: list[str], buckets: int = 64) -> None:
+    """All stored children of the parents in ``new`` are replaced and numbered 1..n.
+
+    Only the buckets of these parents are read and written again; the files of the others stay.
+    """
+    spark = new.sparkSession
+    own = stage(new.withColumn("bucket", storage_bucket(F.col(parent), buckets)), "children-new")
+    touched = stage(own.select("bucket").distinct(), "children-buckets")
+    kept = (
+        stored_children(spark, root, schema).join(touched, "bucket", "left_semi")
+        .join(own.select(parent).distinct(), parent, "left_anti"))
+    placed = range_numbers(own, [parent], order, "place")
+    rows = kept.unionByName(placed.select(kept.columns))
+    versions.publish({"children": rows.repartition("bucket")}, root, "bucket", touched)
+
+
 def migrate_bank(questions: DataFrame, bank: DataFrame, parts: DataFrame, topics: DataFrame
                  ) -> DataFrame:
     """(question_id, part_id, topic_id, status): inserted, existing, unresolved or skipped."""

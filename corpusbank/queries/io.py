@@ -56,10 +56,9 @@ def syllabus_files(t):
         F.when(F.col("s_suppkey") % 5 == 0, "\n1 = Otra vez|B.pdf").otherwise(""),
         F.lit("\n[TEMARIO_OTRA]\n9 = T|x.pdf\n[NORMAS_EXAMEN]\nnumero_preguntas = "), (F.col("s_suppkey") + 100).cast("string"),
         F.lit("\n[DISTRIBUCION_PREGUNTAS]\nGeneral = "), F.col("s_nationkey").cast("string"), F.lit("\nEspecial-Teoría = 50\n"))
-    t.supplier.select(text.alias("value")).write.option("lineSep", "\u001e").text(path)
-    texts = t.spark.read.option("lineSep", "\u001e").text(path)
-    key = F.regexp_extract("value", "clave = (\\d+)", 1).cast("long")
-    return readers.syllabus_entries(texts.select(key.alias("k"), "value"), "k", "value")
+    t.supplier.select("s_suppkey", text.alias("value")).write.partitionBy("s_suppkey").text(path)
+    key = F.regexp_extract("file", "s_suppkey=(\\d+)", 1).cast("long")
+    return readers.read_syllabus(t.spark, path).withColumn("k", key)
 
 
 @query("scan_syllabus", """
@@ -84,8 +83,8 @@ def scan_distribution(t):
     return readers.syllabus_distribution(syllabus_files(t), "k")
 
 
-def write_question_files(t, path, partition=None):
-    """Nested question files: one JSON object per order with its lines as questions."""
+def question_documents(t):
+    """(p_partkey, archivo, doc): a question document per part; some have no or an empty list."""
     question = F.struct(
         F.col("p_size").cast("long").alias("numero"), F.col("p_name").alias("enunciado"),
         F.struct(F.col("p_brand").alias("A"), F.col("p_type").alias("B"), F.lit("c").alias("C"),
@@ -93,13 +92,13 @@ def write_question_files(t, path, partition=None):
         F.lit("A").alias("respuesta_correcta"), F.col("p_type").alias("norma"),
         F.array(F.lit("x"), F.col("p_brand")).alias("incidencias"), F.col("p_partkey").alias("pagina_pdf"))
     twice = F.when(F.col("p_type") == "PROMO", F.array().cast(f"array<{_struct_type()}>")).when(
-        F.col("p_type") == "LARGE", F.array(question, question)).otherwise(F.array(question))
-    files = t.part.select(
-        F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("archivo_origen"),
+        F.col("p_type") == "LARGE", F.array(question, question)).when(
+        (F.col("p_type") == "SMALL") & (F.col("p_size") % 2 == 0), None).otherwise(F.array(question))
+    return t.part.select(
+        "p_partkey",
         F.concat(F.lower("p_type"), F.lit("_"), (F.col("p_size") % 4).cast("string"), F.lit("_extraido.json")).alias("archivo"),
-        twice.alias("preguntas"))
-    writer = files.write
-    (writer.partitionBy("archivo") if partition else writer).json(path)
+        F.struct(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("archivo_origen"),
+                 twice.alias("preguntas")).alias("doc"))
 
 
 def _struct_type():
@@ -107,24 +106,38 @@ def _struct_type():
             "respuesta_correcta:string,norma:string,incidencias:array<string>,pagina_pdf:bigint>")
 
 
+# 50 documents a file; every seventh file is cut off and therefore broken
 @query("scan_questions_json", """
-SELECT 'f' || p_partkey AS archivo_origen, i AS indice, CASE WHEN i IS NOT NULL THEN p_name END AS enunciado, CASE WHEN i IS NOT NULL THEN p_type END AS opt_b,
-  CASE WHEN i IS NOT NULL THEN p_partkey END AS pagina_pdf, CASE WHEN i IS NOT NULL THEN p_brand END AS incidencia
-FROM part, unnest(CASE p_type WHEN 'PROMO' THEN [CAST(NULL AS INTEGER)] WHEN 'LARGE' THEN [1, 2] ELSE [1] END) u(i)""")
+WITH p AS (SELECT *, p_partkey // 50 AS grp, p_partkey // 50 % 7 = 5 AS cut FROM part)
+SELECT grp, 'f' || p_partkey AS archivo_origen, i AS indice, CASE WHEN i IS NOT NULL THEN p_name END AS enunciado, CASE WHEN i IS NOT NULL THEN p_type END AS opt_b,
+  CASE WHEN i IS NOT NULL THEN p_partkey END AS pagina_pdf, CASE WHEN i IS NOT NULL THEN p_brand END AS incidencia,
+  CASE WHEN p_type = 'PROMO' THEN 'empty' WHEN i IS NULL THEN 'missing' END AS problem
+FROM p, unnest(CASE WHEN p_type = 'PROMO' OR p_type = 'SMALL' AND p_size % 2 = 0 THEN [CAST(NULL AS INTEGER)] WHEN p_type = 'LARGE' THEN [1, 2] ELSE [1] END) u(i) WHERE NOT cut
+UNION ALL SELECT DISTINCT grp, NULL, CAST(NULL AS INTEGER), NULL, NULL, CAST(NULL AS BIGINT), NULL, 'broken' FROM p WHERE cut""")
 def scan_questions_json(t):
+    """Whole multi-line files, each a JSON array of documents."""
     path = new_path(t.spark, "questions")
-    write_question_files(t, path)
-    rows = readers.read_question_files(t.spark, path, multi_line=False)
+    grp = F.floor(F.col("p_partkey") / 50)
+    pretty = F.to_json("doc", {"pretty": "true"})
+    files = question_documents(t).groupBy(grp.alias("grp")).agg(F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", pretty.alias("j")))),
+                    lambda r: r["j"]), ",\n").alias("body"))
+    whole = F.concat(F.lit("[\n"), "body", F.lit("\n]"))
+    cut = F.concat(F.lit("[\n"), F.expr("left(body, length(body) - 20)"))
+    files.select("grp", F.when(F.col("grp") % 7 == 5, cut).otherwise(whole).alias("value")
+                 ).write.partitionBy("grp").text(path)
+    rows = readers.read_question_files(t.spark, path)
     return rows.select(
-        "archivo_origen", "indice", "pregunta.enunciado", F.col("pregunta.opciones.B").alias("opt_b"),
-        "pregunta.pagina_pdf", F.get("pregunta.incidencias", F.lit(1)).alias("incidencia"))
+        F.regexp_extract("file", "grp=(\\d+)", 1).cast("long").alias("grp"), "archivo_origen", "indice",
+        "pregunta.enunciado", F.col("pregunta.opciones.B").alias("opt_b"), "pregunta.pagina_pdf",
+        F.get("pregunta.incidencias", F.lit(1)).alias("incidencia"), "problem")
 
 
 @query("scan_many_files", """
-SELECT upper(p_type) AS grp, COUNT(DISTINCT p_size % 4) AS files, SUM(CASE p_type WHEN 'LARGE' THEN 2 ELSE 1 END)::BIGINT AS questions FROM part WHERE p_type <> 'PROMO' GROUP BY p_type""")
+SELECT upper(p_type) AS grp, COUNT(DISTINCT p_size % 4) AS files, SUM(CASE p_type WHEN 'LARGE' THEN 2 ELSE 1 END)::BIGINT AS questions FROM part WHERE p_type <> 'PROMO' AND NOT (p_type = 'SMALL' AND p_size % 2 = 0) GROUP BY p_type""")
 def scan_many_files(t):
     path = new_path(t.spark, "many")
-    write_question_files(t, path, partition="archivo")
+    question_documents(t).select("archivo", "doc.*").write.partitionBy("archivo").json(path)
     rows = readers.read_question_files(t.spark, f"{path}/archivo=*_extraido.json", multi_line=False)
     name = F.regexp_extract("file", "archivo=([^/]+)", 1)
     return rows.filter("pregunta IS NOT NULL").groupBy(readers.source_group(name).alias("grp")).agg(
@@ -152,15 +165,23 @@ def write_parent_child(t):
 
 
 @query("write_reports_json", f"""
-WITH {LABEL_SQL} SELECT source, COUNT(*) AS processed, COUNT(*) FILTER (label = 'NUEVA') AS imported, COUNT(*) FILTER (label LIKE 'DUPLICADA%') AS duplicates FROM lab GROUP BY source""")
+WITH {LABEL_SQL}, s AS (SELECT source, COUNT(*) AS processed, COUNT(*) FILTER (label = 'NUEVA') AS imported, COUNT(*) FILTER (label LIKE 'DUPLICADA%') AS duplicates, greatest(CAST(ceil(COUNT(*) FILTER (label <> 'NUEVA') / 20.0) AS BIGINT), 1) AS pages FROM lab GROUP BY source),
+i AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place, doc_id, label, existing_id FROM lab WHERE label <> 'NUEVA')
+SELECT source, coalesce((place - 1) // 20, 0) AS page, pages, processed, imported, duplicates, place, doc_id, label, existing_id FROM s LEFT JOIN i USING (source)""")
 def write_reports_json(t):
+    """Reports with their incidents, at most 20 a document, written twice and read back."""
     path = new_path(t.spark, "reports")
-    reports = labelled(t).groupBy("source").agg(F.struct(
-        F.count(F.lit(1)).alias("processed"), F.count_if(F.col("label") == "NUEVA").alias("imported"),
-        F.count_if(F.col("label").startswith("DUPLICADA")).alias("duplicates")).alias("summary"))
-    writers.write_reports(reports, path, "source")
-    schema = "summary struct<processed: bigint, imported: bigint, duplicates: bigint>, source string"
-    return t.spark.read.schema(schema).json(path).select("source", "summary.*")
+    new = F.col("label") == "NUEVA"
+    summary = F.struct(
+        F.count(F.lit(1)).alias("processed"), F.count_if(new).alias("imported"),
+        F.count_if(F.col("label").startswith("DUPLICADA")).alias("duplicates"))
+    reports = stage(writers.incident_reports(
+        stage(labelled(t).select("source", "doc_id", "label", "existing_id"), "outcomes"), "source",
+        "doc_id", summary, ~new, ["doc_id", "label", "existing_id"], most=20), "reports")
+    for _ in range(2):  # a source written again replaces its documents
+        writers.write_reports(reports, path, "source")
+    back = t.spark.read.schema(reports.schema).json(path)
+    return back.select("source", "page", "pages", "summary.*", F.inline_outer("incidents"))
 
 
 @query("write_cost_log", """

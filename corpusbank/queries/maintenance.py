@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from corpusbank.functions.text import strip
 from corpusbank.operators import dedup
 from corpusbank.operators import maintenance as mt
-from corpusbank.operators.ranking import range_numbers
 from corpusbank.plans import bank as plans
 from corpusbank.plans.classify import coverage_index
 from corpusbank.queries.classification import ALIASES_SQL, footer_sql, norm_aliases
@@ -14,7 +13,8 @@ from corpusbank.queries.items import ERROR_SQL, RAW_SQL, raw_questions
 from corpusbank.queries.joins import CACHE_SQL, DIM_SQL, EXPLAIN_SQL, dimensions, explained_items, explanation_cache
 from corpusbank.queries.registry import query
 from corpusbank.queries.text import strip_sql
-from corpusbank.session import stage
+from corpusbank.session import new_path, stage
+from corpusbank.sources import readers, versions
 
 FP_SQL = f"fp AS (SELECT doc_id, source, lang, sha256({strip_sql('text')}) AS fp FROM documents)"
 
@@ -36,13 +36,30 @@ def dedup_first(t):
     return dedup.first_by_key(hashed(t), ["fp"], "doc_id").select("doc_id", "source", "fp")
 
 
-# the labelled documents are the stored ones
+# ten documents a file; the first run meets the lower half, the second one that half again under
+# other names and the rest
+_FILE_SQL = """f AS (SELECT doc_id // 10 AS k, sha256(string_agg(md5(coalesce(text, '')), '' ORDER BY doc_id) || chr(10)) AS hash FROM documents GROUP BY 1),
+g AS (SELECT *, k <= (SELECT MAX(k) FROM f) // 2 AS early FROM f)"""
+
+
 @query("incremental_ingest", f"""
-WITH {FP_SQL} SELECT doc_id, fp FROM fp WHERE fp NOT IN (SELECT fp FROM fp JOIN labels USING (doc_id))""")
+WITH {_FILE_SQL} SELECT 1 AS run, k, hash, 'new' AS status FROM g WHERE early
+UNION ALL SELECT 2, k, hash, CASE WHEN early THEN 'known' ELSE 'new' END FROM g""")
 def incremental_ingest(t):
-    rows = hashed(t)
-    known = rows.join(t.labels, "doc_id", "left_semi").select("fp").distinct()
-    return dedup.unseen(rows, known, "fp").select("doc_id", "fp")
+    """Files of two deliveries against the ledger, by the hash of their bytes; a third run is empty."""
+    root = new_path(t.spark, "ingest")
+    digests = F.array_sort(F.collect_list(F.struct("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("h"))))
+    files = stage(
+        t.documents.groupBy(F.floor(F.col("doc_id") / 10).alias("k"))
+        .agg(F.array_join(F.transform(digests, lambda r: r["h"]), "").alias("value")), "ingest-files")
+    half = F.floor(files.agg(F.max("k")).scalar() / 2)
+    runs = []
+    for number, drop in enumerate([files.filter(F.col("k") <= half), files, files.limit(0)], 1):
+        drop.repartition("k").write.mode("append").partitionBy("k").text(f"{root}/inbox/drop{number}")
+        runs.append(readers.ingest_files(t.spark, f"{root}/inbox", f"{root}/ledger").select(
+            F.lit(number).alias("run"),
+            F.regexp_extract("file", "k=(\\d+)", 1).cast("long").alias("k"), "hash", "status"))
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
 
 
 LABEL_SQL = FP_SQL + """,
@@ -120,8 +137,11 @@ def stored_raw(raw):
 def import_rows(t):
     """(pos, batch, error, label, .., state, code, part, topic, reason) of all imported parts."""
     raw = import_raw(t)
+    part = F.when(F.col("part") == "AFRICA", "General").when(
+        F.col("part") == "ASIA", "Especial-Informática").otherwise(F.col("part"))
+    covered = coverage_table(t).withColumn("part", part)
     return plans.import_questions(
-        raw, stored_raw(raw), ["batch"], norm_aliases(t), coverage_index(coverage_table(t)))
+        raw, stored_raw(raw), ["batch"], norm_aliases(t), coverage_index(covered))
 
 
 FOOTER_CTES, FOOTER_SELECT = footer_sql("pos").rsplit("\nSELECT pos, ", 1)
@@ -129,9 +149,9 @@ FOOTER_CTES, FOOTER_SELECT = footer_sql("pos").rsplit("\nSELECT pos, ", 1)
 
 @query("import_questions", f"""
 WITH {COV_SQL}, {ALIASES_SQL}, {IMPORT_SQL}, {FOOTER_CTES}, val AS (SELECT pos, {FOOTER_SELECT})
-SELECT imp.pos, imp.batch, imp.error, label, existing_id, state, val.norm AS code, val.part, val.topic,
+SELECT imp.pos, imp.batch, imp.error, label, existing_id, state, val.norm AS code, CASE val.part WHEN 'AFRICA' THEN 'General' WHEN 'ASIA' THEN 'Especial-Informática' ELSE val.part END AS part, val.topic,
   CASE WHEN p_size > 40 AND state IS NOT NULL THEN 'Incidencias de extracción: borrosa | cortada | ' || reason ELSE reason END AS reason,
-  CAST(NULL AS VARCHAR) AS qtype, CASE WHEN state IS NOT NULL THEN 'PIE_DIRECTO' END AS method
+  CASE WHEN state = 'VALIDADA' AND val.part = 'AFRICA' THEN 'GENERAL' WHEN state = 'VALIDADA' AND val.part = 'ASIA' THEN 'ESPECIAL_INFORMATICA' END AS qtype, CASE WHEN state IS NOT NULL THEN 'PIE_DIRECTO' END AS method
 FROM imp LEFT JOIN val ON val.pos = imp.pos""")
 def import_questions(t):
     return import_rows(t).drop("article")
@@ -180,11 +200,14 @@ def insert_ignore(t):
 SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders WHERE o_orderstatus <> 'F'
 UNION ALL SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders WHERE o_orderstatus = 'F' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus <> 'F')""")
 def replace_by_key(t):
+    root, schema = new_path(t.spark, "children"), "o_custkey long, o_orderkey long, place long"
     rows = t.orders.select("o_custkey", "o_orderkey", "o_orderstatus")
-    replaced = mt.replace_children(
-        rows.filter("o_orderstatus = 'F'").drop("o_orderstatus"),
-        rows.filter("o_orderstatus <> 'F'").drop("o_orderstatus"), ["o_custkey"])
-    return range_numbers(replaced, ["o_custkey"], ["o_orderkey"], "place")
+    plans.create_children(
+        root, rows.filter("o_orderstatus = 'F'").drop("o_orderstatus"), "o_custkey", ["o_orderkey"])
+    plans.replace_stored_children(
+        root, schema, rows.filter("o_orderstatus <> 'F'").drop("o_orderstatus"), "o_custkey",
+        ["o_orderkey"])
+    return plans.stored_children(t.spark, root, schema).drop("bucket")
 
 
 @query("guarded_update", """
@@ -236,10 +259,16 @@ EVAL_SQL = """evt AS (SELECT event_id AS question_id, user_id % 20 AS call_id, C
 
 @query("rebuild_bank", f"""
 WITH {EVAL_SQL}, a AS (SELECT * FROM evt WHERE decision = 'ACEPTADA' AND part_id IS NOT NULL AND topic_id IS NOT NULL AND answer IN ('A', 'B', 'C', 'D')),
-c AS (SELECT DISTINCT user_id % 20 AS call_id FROM events WHERE event_type = 'purchase'),
-d AS (SELECT l_suppkey % 20 AS call_id, COUNT(*) AS deleted FROM lineitem GROUP BY 1), m AS (SELECT call_id, COUNT(*) AS accepted, COUNT(*) FILTER (complete) AS inserted FROM a GROUP BY 1)
-SELECT call_id, coalesce(deleted, 0) AS deleted, coalesce(accepted, 0) AS accepted, coalesce(inserted, 0) AS inserted, coalesce(accepted, 0) - coalesce(inserted, 0) AS skipped
-FROM c LEFT JOIN d USING (call_id) LEFT JOIN m USING (call_id)""")
+c AS (SELECT DISTINCT user_id % 20 AS call_id FROM events WHERE event_type = 'purchase' AND user_id % 20 < 15),
+d AS (SELECT l_suppkey % 20 AS call_id, l_orderkey * 10 + l_linenumber AS q FROM lineitem),
+n AS (SELECT call_id, question_id AS q FROM a JOIN c USING (call_id) WHERE complete), m AS (SELECT call_id, COUNT(*) AS accepted, COUNT(*) FILTER (complete) AS inserted FROM a GROUP BY 1),
+l AS (SELECT call_id, q FROM d WHERE call_id NOT IN (SELECT call_id FROM c) UNION ALL SELECT * FROM n),
+s AS (SELECT call_id, COUNT(*) AS questions, SUM(q)::BIGINT AS id_sum, COUNT(*) * 4 AS options, COUNT(*) * 10 AS text_sum FROM l GROUP BY 1),
+x AS (SELECT call_id FROM c UNION SELECT call_id FROM d)
+SELECT x.call_id, CASE WHEN c.call_id IS NOT NULL THEN (SELECT COUNT(*) FROM d WHERE d.call_id = x.call_id) END AS deleted, CASE WHEN c.call_id IS NOT NULL THEN coalesce(accepted, 0) END AS accepted,
+  CASE WHEN c.call_id IS NOT NULL THEN coalesce(inserted, 0) END AS inserted, CASE WHEN c.call_id IS NOT NULL THEN coalesce(accepted - inserted, 0) END AS skipped,
+  CASE WHEN c.call_id IS NOT NULL THEN coalesce(inserted, 0) END AS deleted_again, questions, id_sum, options, text_sum
+FROM x LEFT JOIN c USING (call_id) LEFT JOIN m USING (call_id) LEFT JOIN s USING (call_id)""")
 def rebuild_bank(t):
     e = F.col("event_type")
     evaluations = t.events.select(
@@ -252,9 +281,30 @@ def rebuild_bank(t):
         F.col("event_id").alias("question_id"),
         F.substring(F.lit("ABCDE"), (F.col("event_id") % 5).cast("int") + 1, F.lit(1)).alias("answer"),
         F.when(F.col("event_id") % 3 > 0, abcd).otherwise(three).alias("options"))
-    bank = t.lineitem.select((F.col("l_suppkey") % 20).alias("call_id"))
-    calls = t.events.filter("event_type = 'purchase'").select((F.col("user_id") % 20).alias("call_id")).distinct()
-    return plans.rebuild_bank(bank, plans.accepted_bank(evaluations, questions), calls)
+    bank = t.lineitem.select(
+        (F.col("l_suppkey") % 20).alias("call_id"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("question_id"),
+        F.lit(None).cast("long").alias("part_id"), F.lit(None).cast("long").alias("topic_id"),
+        F.lit("A").alias("answer"), abcd.alias("options"), F.lit(True).alias("complete"))
+    calls = t.events.filter("event_type = 'purchase' AND user_id % 20 < 15").select(
+        (F.col("user_id") % 20).alias("call_id")).distinct()  # the other calls stay
+    root = new_path(t.spark, "bank")
+    versions.create_store(t.spark, root, "call_id long")
+    versions.publish(plans.bank_tables(bank), root, "call_id", bank)
+    accepted = plans.accepted_bank(evaluations, questions)
+    first = plans.store_rebuild(root, accepted, calls)
+    second = plans.store_rebuild(root, accepted, calls).select(
+        "call_id", F.col("deleted").alias("deleted_again"))
+    stored = plans.stored_bank(t.spark, root)
+    left = stored["questions"].groupBy("call_id").agg(
+        F.count(F.lit(1)).alias("questions"), F.sum("question_id").alias("id_sum"))
+    options = stored["options"].groupBy("call_id").agg(
+        F.count(F.lit(1)).alias("options"), F.sum("text").cast("long").alias("text_sum"))
+    calls_left = bank.select("call_id").union(calls).distinct()
+    return calls_left.join(first, "call_id", "left").join(second, "call_id", "left").join(
+        left, "call_id", "left").join(options, "call_id", "left")
+
+
 
 
 @query("bank_migration", f"""

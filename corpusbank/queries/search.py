@@ -102,24 +102,25 @@ def corpus_stats(t):
 
 @query("candidate_pack", f"""
 WITH {bm25_sql()}
-SELECT item_id, string_agg('Fragmento ' || rank || chr(10) || 'fragmento_id=' || doc_id || chr(10)
-  || 'documento=' || source || chr(10) || chr(10) || {strip_sql("text")}, chr(10) || chr(10) ORDER BY rank) AS pack
+SELECT item_id, string_agg(chr(10) || repeat('=', 60) || chr(10) || 'Fragmento ' || rank || chr(10) || 'fragmento_id=' || doc_id || chr(10)
+  || 'documento=' || source || chr(10) || 'referencia=' || lang || '-' || doc_id || chr(10) || chr(10) || {strip_sql("text")} || chr(10), '' ORDER BY rank) AS pack
 FROM ranked JOIN documents USING (doc_id) GROUP BY item_id""")
 def candidate_pack(t):
-    return search.pack_candidates(
-        candidates(t), t.documents, doc_id="doc_id", text="text", query_id="item_id",
-        name="source")
+    docs = t.documents.withColumn("reference", F.concat_ws("-", "lang", F.col("doc_id").cast("string")))
+    return search.pack_fragments(
+        candidates(t), docs, doc_id="doc_id", text="text", query_id="item_id", name="source",
+        reference="reference")
 
 
 @query("document_pack", f"""
 WITH {bm25_sql()}
-SELECT item_id, string_agg('Fragmento ' || rank || chr(10) || 'fragmento_id=' || doc_id || chr(10)
-  || 'documento=' || source || chr(10) || chr(10) || {strip_sql("substr(text, 1, 3000)")}, chr(10) || chr(10) ORDER BY rank) AS pack
+SELECT item_id, string_agg(chr(10) || chr(10) || repeat('-', 70) || chr(10) || 'DOCUMENTO ' || rank || chr(10) || repeat('-', 70) || chr(10) || 'ID: ' || doc_id || chr(10)
+  || 'Nombre: ' || source || CASE WHEN lang <> 'xx' THEN chr(10) || 'Título: ' || lang ELSE '' END || chr(10) || chr(10) || 'Contenido:' || chr(10) || chr(10)
+  || {strip_sql("substr(text, 1, 3000)")}, '' ORDER BY rank) AS pack
 FROM ranked JOIN documents USING (doc_id) GROUP BY item_id""")
 def document_pack(t):
     """Whole documents as candidates: the first 3,000 characters of each, as the feature asks."""
-    return search.pack_candidates(
-        candidates(t), t.documents, doc_id="doc_id", text="text", query_id="item_id",
-        name="source", max_chars=3000)
-
-
+    docs = t.documents.withColumn("title", F.when(F.col("lang") != "xx", F.col("lang")))
+    return search.pack_documents(
+        candidates(t), docs, doc_id="doc_id", text="text", query_id="item_id", name="source",
+        title="title")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from corpusbank.functions.citation import code_aliases, code_prefix
 from corpusbank.functions.text import slugify, strip
+from corpusbank.session import stage
 
 CATALOGUE_SCHEMA = "codigo string, titulo_oficial string, titulo_corto string, tipo string"
 
@@ -111,15 +112,21 @@ def read_syllabus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_question_files(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """(archivo_origen, file, indice, pregunta) of extracted question files.
+    """(archivo_origen, file, indice, pregunta, problem) of extracted question files.
 
-    Rows whose ``preguntas`` is missing or empty give a single row with a null question.
+    A document whose ``preguntas`` is missing or empty and a file (or line) that is no JSON give
+    a single row with a null question and a ``problem``: ``missing``, ``empty`` or ``broken``.
     """
-    raw = spark.read.schema(QUESTION_FILE_SCHEMA).json(path, multiLine=multi_line)
+    schema = T.StructType([*QUESTION_FILE_SCHEMA.fields, T.StructField("_broken", T.StringType())])
+    raw = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_broken").json(
+        path, multiLine=multi_line)
+    problem = (
+        F.when(F.col("_broken").isNotNull(), "broken")
+        .when(F.col("preguntas").isNull(), "missing").when(F.size("preguntas") == 0, "empty"))
     return raw.select(
-        "archivo_origen", F.col("_metadata.file_path").alias("file"),
-        F.posexplode_outer("preguntas").alias("pos", "pregunta"),
-    ).select("archivo_origen", "file", (F.col("pos") + 1).alias("indice"), "pregunta")
+        "archivo_origen", F.col("_metadata.file_path").alias("file"), problem.alias("problem"),
+        F.posexplode_outer(F.when(problem.isNull(), F.col("preguntas"))).alias("pos", "pregunta"),
+    ).select("archivo_origen", "file", (F.col("pos") + 1).alias("indice"), "pregunta", "problem")
 
 
 def source_group(file_name):
@@ -138,3 +145,36 @@ def newest_file(files: DataFrame) -> DataFrame:
     """The most recently modified file (equal times: the last name)."""
     return files.agg(F.max_by(
         F.struct("file", "hash", "modified"), F.struct("modified", "file")).alias("f")).select("f.*")
+
+
+LEDGER_SCHEMA = "hash string, file string, modified timestamp, length long"
+
+
+def ingest_files(spark: SparkSession, path: str, ledger: str) -> DataFrame:
+    """(file, hash, status) of the files below ``path`` that the ledger doesn't know, by content.
+
+    The listing is compared with the append-only ledger by name, time and length; only the
+    bytes of files that it lacks are read (a time range on the scan, then a semi-join).  A file is
+    ``new`` if its content is neither in the ledger nor in an earlier file of the run, else
+    ``known``; all of them are appended to the ledger.  Running again takes nothing.
+    """
+    spark.createDataFrame([], LEDGER_SCHEMA).write.mode("append").parquet(ledger)
+    seen = spark.read.schema(LEDGER_SCHEMA).parquet(ledger)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    listed = files.select(F.col("path").alias("file"), F.col("modificationTime").alias("modified"),
+                          "length")
+    fresh = stage(listed.join(seen, ["file", "modified", "length"], "left_anti"), "fresh-files")
+    low, high = fresh.agg(F.min("modified"), F.max("modified")).first()  # two times
+    rows = files.filter((F.col("modificationTime") >= F.lit(low))
+                        & (F.col("modificationTime") <= F.lit(high)))
+    hashed = stage(
+        rows.join(fresh.select(F.col("file").alias("path")), "path", "left_semi").select(
+            F.sha2("content", 256).alias("hash"), F.col("path").alias("file"),
+            F.col("modificationTime").alias("modified"), "length"), "fresh-hashes")
+    first = hashed.groupBy("hash").agg(F.min("file").alias("file")).join(
+        seen.select("hash").distinct(), "hash", "left_anti").select(
+        "file", F.lit("new").alias("status"))
+    out = stage(hashed.join(first, "file", "left").select(
+        "file", "hash", F.coalesce("status", F.lit("known")).alias("status")), "ingested")
+    hashed.select("hash", "file", "modified", "length").write.mode("append").parquet(ledger)
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusbank.operators.ranking import range_numbers
@@ -39,8 +39,30 @@ def read_children(spark: SparkSession, path: str, id_col: str, options: str = "o
 
 
 def write_reports(reports: DataFrame, path: str, source: str) -> None:
-    """One JSON report per row, partitioned by source."""
-    reports.write.mode("append").partitionBy(source).json(path)
+    """One JSON document per row, partitioned by source; the sources written replace themselves."""
+    (reports.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(source).json(path))
+
+
+def incident_reports(outcomes: DataFrame, source: str, order: str, summary: Column,
+                     incidents: Column, fields: list[str], most: int = 500) -> DataFrame:
+    """(source, page, pages, summary, incidents): nested reports of outcomes, in documents.
+
+    ``summary`` is an aggregate per source, ``incidents`` tells which outcomes are listed with
+    their ``fields``, by ``order``.  A document lists ``most`` of them at most; a source with more
+    has several pages, one without any a single page with an empty list.
+    """
+    totals = outcomes.groupBy(source).agg(
+        summary.alias("summary"),
+        F.greatest(F.ceil(F.count_if(incidents) / most), F.lit(1)).cast("long").alias("pages"))
+    listed = range_numbers(outcomes.filter(incidents).select(source, *fields), [source], [order],
+                           "place", "incidents")
+    paged = listed.groupBy(source, F.floor((F.col("place") - 1) / most).alias("page")).agg(
+        F.array_sort(F.collect_list(F.struct("place", *fields))).alias("incidents"))
+    pages = totals.withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pages") - 1)))
+    kind = paged.schema["incidents"].dataType
+    return pages.join(paged, [source, "page"], "left").withColumn(
+        "incidents", F.coalesce("incidents", F.array().cast(kind)))
 
 
 def append_cost_log(costs: DataFrame, path: str) -> None:
