@@ -291,7 +291,9 @@ def ranked_from_index(postings: DataFrame, sizes: DataFrame, queries: DataFrame,
     def asked(own: DataFrame) -> DataFrame:
         block = own.select(*part, "tok").distinct().withColumn(
             "bucket", _bucket(F.col("tok"), buckets))
-        return stage(postings.join(F.broadcast(block), ["bucket", *part, "tok"], "left_semi")
+        used = sorted(r.bucket for r in block.select("bucket").distinct().collect())
+        return stage(postings.filter(F.col("bucket").isin(used))  # partitions, ``buckets`` at most
+                     .join(F.broadcast(block), ["bucket", *part, "tok"], "left_semi")
                      .select(*part, doc_id, "dl", "tok", "tf", F.lit(False).alias("first")),
                      "bm25-postings")
 

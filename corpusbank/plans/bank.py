@@ -191,6 +191,24 @@ def build_exam(bank: DataFrame, counts: DataFrame, targets: DataFrame, *, order:
     return number_items(drawn, [], block_position, shuffle)
 
 
+def build_exams(bank: DataFrame, counts: DataFrame, targets: DataFrame, exams: int, *,
+                item: str = "item", used: DataFrame | None = None, **draw) -> DataFrame:
+    """Several exams (column ``exam``, from 1) of one call, without repeating an item.
+
+    Every exam is drawn from the bank without the ledger of used items, which starts with
+    ``used`` and grows by each exam; the quotas are the same for all.  A ledger row per item
+    drawn is all that passes from one exam to the next; ``draw`` goes to :func:`build_exam`.
+    """
+    ledger = bank.select(item).limit(0) if used is None else used.select(item)
+    out = None
+    for number in range(1, exams + 1):
+        exam = stage(build_exam(bank.join(ledger, item, "left_anti"), counts, targets, **draw)
+                     .withColumn("exam", F.lit(number)), "exam")
+        ledger = ledger.unionByName(exam.select(item))
+        out = exam if out is None else out.unionByName(exam)
+    return out
+
+
 def grade_report(answered: DataFrame, attempt: list[str], *, topic: str, norm: str,
                  article: str, number: str) -> dict[str, DataFrame]:
     """Marks, outcome per topic, most frequent errors and representative errors."""

@@ -4,6 +4,8 @@ Block = market segment, topic = nation; the model distribution comes from the or
 bank has no questions of the African nations, so their quotas have to be back-filled.
 """
 
+import re
+
 from pyspark.sql import functions as F
 
 from corpusbank.operators import quota
@@ -105,6 +107,35 @@ def build_exam(t):
     return built_exam(t).select("item", "block", "topic", "origin", "number")
 
 
+def exams_sql(exams: int, used: str) -> str:
+    """CTEs ``exam1`` .. of exams drawn one after another, without items met before."""
+    bank = BANK_SQL[:BANK_SQL.index("rk AS (")]
+    draw = BANK_SQL[BANK_SQL.index("rk AS ("):]
+    out = bank
+    for n in range(1, exams + 1):
+        gone = " UNION ALL ".join([used, *[f"SELECT item FROM exam{k}" for k in range(1, n)]])
+        one = draw.replace("FROM bank JOIN", f"FROM (SELECT * FROM bank WHERE item NOT IN ({gone})) bank JOIN")
+        for name in ("rk", "chosen", "short", "deficit", "extra", "drawn", "exam"):
+            one = re.sub(rf"\b{name}\b", f"{name}{n}", one)
+        out += one + ", " * (n < exams)
+    return out
+
+
+# items of the customers in debt are used up before
+_USED_SQL = "SELECT c_custkey AS item FROM customer WHERE c_acctbal < 0"
+
+
+@query("build_exams", f"WITH {exams_sql(3, _USED_SQL)} " + " UNION ALL ".join(
+    f"SELECT {n} AS exam, item, block, topic, origin, number FROM exam{n}" for n in (1, 2, 3)))
+def build_exams(t):
+    return plans.build_exams(
+        question_bank(t), model_counts(t), targets(t), 3,
+        used=t.customer.filter("c_acctbal < 0").select(F.col("c_custkey").alias("item")),
+        order=hash_order(F.col("item")), topic_order=hash_order(F.col("topic")),
+        block_position=F.col("block"), shuffle=F.md5(F.concat(F.lit("s|"), F.col("item").cast("string"))),
+        no_backfill=NO_BACKFILL).select("exam", "item", "block", "topic", "origin", "number")
+
+
 @query("block_shortfall", f"""
 WITH {BANK_SQL}, g AS (SELECT block, target, COUNT(item) AS obtained, greatest(0, target - COUNT(item)) AS missing FROM targets LEFT JOIN drawn USING (block) GROUP BY block, target)
 SELECT block, target, obtained, missing, (SELECT bool_and(missing = 0) FROM g) AS complete FROM g""")

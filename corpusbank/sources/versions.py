@@ -47,8 +47,11 @@ def publish(tables: dict[str, DataFrame], root: str, key: str, keys: DataFrame,
 def published(spark: SparkSession, root: str, name: str, key: str, schema: str) -> DataFrame:
     """Current rows of a table; ``schema`` is the DDL of its columns, ``key`` included.
 
-    The join with the log is on partition columns: old versions are not read.
+    The versions in use, one per key at most, become a filter on the partition column, so that
+    the files of replaced versions are neither listed nor read.
     """
     last = _log(spark, root).groupBy(key).agg(F.max_by("version", "seq").alias("version"))
-    rows = spark.read.schema(f"{schema}, version string").parquet(f"{root}/{name}")
+    used = sorted(r.version for r in last.select("version").distinct().collect())
+    rows = spark.read.schema(f"{schema}, version string").parquet(f"{root}/{name}").filter(
+        F.col("version").isin(used))
     return rows.join(last, ["version", key], "left_semi").drop("version")

@@ -38,14 +38,14 @@ def stored_questions(spark: SparkSession, path: str, fingerprints: DataFrame, ba
     """(id, fp) of the bank for the given fingerprints, as it was before the batch.
 
     The prefixes of a batch, ``16 ** PREFIX`` at most, become a filter on the partition
-    column: other partitions are not listed or read.  Rows of the batch itself do not count, so
-    that a replay sees the same state.
+    column: other partitions are not listed or read.  Rows of the batch itself and of later ones
+    do not count, so that a replay sees the same state.
     """
     wanted = fingerprints.select(F.left("fp", F.lit(PREFIX)).alias("p")).distinct()
     prefixes = sorted(r.p for r in wanted.collect() if r.p)
     schema = "id long, fp string, prefix string, batch long"
     bank = spark.read.schema(schema).parquet(path).filter(
-        F.col("prefix").isin(prefixes) & (F.col("batch") != batch_id))
+        F.col("prefix").isin(prefixes) & (F.col("batch") < batch_id))
     return bank.join(fingerprints.select("fp").distinct(), "fp", "left_semi").select("id", "fp")
 
 
