@@ -38,7 +38,7 @@ from corpusbank.session import stage
 
 FAN = 8  # 2 ** BITS
 BITS = 3
-LEVELS = 5
+LEVELS = 4
 PART = FAN ** LEVELS  # leaves
 DIGEST = 64
 ROWS = 4096  # proofs handed over at once
