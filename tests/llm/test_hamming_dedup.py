@@ -64,6 +64,87 @@ def test_matches_all_pairs(spark, k):
     assert not wrong, [(i, got[i], want[i]) for i in wrong[:5]]
 
 
+def border_family(n, seed=12):
+    """Texts of about 100 words with edits that leave most pairs at similarity 0.75 to 0.85."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(300)]
+    base = [rng.choice(vocabulary) for _ in range(100)]
+    rows = []
+    for i in range(n):
+        own = list(base)
+        for at in rng.sample(range(100), rng.choice([1, 2, 3, 4, 5, 5, 6, 6, 7, 8])):
+            own[at] = rng.choice(vocabulary)
+        if rng.random() < 0.2:
+            del own[rng.randrange(len(own))]
+        rows.append((3 * i + 1, " ".join(own)))
+    rng.shuffle(rows)
+    return rows
+
+
+def by_counts(rows, k, percent):
+    """{doc_id: component} and the number of similar pairs, from a matrix of common shingles."""
+    holders, sizes = {}, np.zeros(len(rows), dtype=np.int32)
+    for n, (_, text) in enumerate(rows):
+        own = shingles(text, k)
+        sizes[n] = len(own)
+        for s in own:
+            holders.setdefault(s, []).append(n)
+    common = np.zeros((len(rows), len(rows)), dtype=np.int32)
+    for held in holders.values():
+        if len(held) > 1:
+            common[np.ix_(held, held)] += 1
+    similar = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+    np.fill_diagonal(similar, True)
+    ids = np.array([i for i, _ in rows])
+    root = ids.copy()
+    while True:
+        least = np.where(similar, root[None, :], ids.max()).min(axis=1)
+        if (least == root).all():
+            return dict(zip(ids.tolist(), root.tolist())), int(np.triu(similar, 1).sum())
+        root = least
+
+
+def test_a_large_border_family(spark, monkeypatch):
+    """No link of a family at the border is lost, and few pairs are confirmed on their sets."""
+    rows = border_family(2600)
+    want, similar = by_counts(rows, 2, 80)
+    assert len(set(want.values())) > 200 and similar > 50_000
+    sizes, plain = [], hd.confirmed
+
+    def counted(pairs, *args):
+        sizes.append(pairs.count())
+        return plain(pairs, *args)
+
+    monkeypatch.setattr(hd, "confirmed", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.component_id for r in hd.near_duplicates(df, words=2).collect()}
+    wrong = [i for i in want if got[i] != want[i]]
+    assert not wrong, len(wrong)
+    assert sum(sizes) < 250_000, sizes  # of 3.4 million pairs
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_prefixes_keep_every_similar_pair(spark, percent):
+    """Against any pivot, also one unlike the texts, each similar pair is linked or to be confirmed."""
+    rng = random.Random(percent)
+    pool = list(range(60))
+    own = {0: set(range(30)), 1: set(range(100, 140))}
+    for i in range(2, 90):
+        own[i] = set(rng.sample(pool[:rng.choice([34, 60])], rng.randint(24, 32)))
+        if i % 3 == 0 and i > 5:
+            own[i] = (own[i - 3] - set(rng.sample(sorted(own[i - 3]), 1))) | {rng.choice(pool)}
+    sets = spark.createDataFrame([(i, sorted(s)) for i, s in own.items()], "_id long, _set array<long>")
+    for pivot in (0, 1):
+        members = spark.createDataFrame([(pivot, i, i) for i in own if i != pivot], "_a long, _b long, _root long")
+        to_pivot, further = (set(map(tuple, d.collect())) for d in hd.prefix_pairs(members, sets, percent))
+        similar = {(i, j) for i in own for j in own if i < j
+                   and 100 * len(own[i] & own[j]) >= percent * len(own[i] | own[j])}
+        assert to_pivot == {(pivot, i) for i in own if i != pivot and tuple(sorted((pivot, i))) in similar}
+        near = {i for _, i in to_pivot} | {pivot}
+        missed = {(i, j) for i, j in similar if not {i, j} <= near} - further
+        assert not missed and len(similar) > 20
+
+
 def test_edges_of_the_contract(spark):
     rows = [(3, "a b c"), (3, "a b c"), (7, "a b c"), (None, "a b c"), (5, None), (6, ""), (8, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
