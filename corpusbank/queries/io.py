@@ -44,7 +44,7 @@ def scan_catalog(t):
 
 
 def syllabus_files(t):
-    """One INI text per supplier, written with a record separator and read back."""
+    """One INI text per supplier, written in bundles with a record separator and read back."""
     path = new_path(t.spark, "syllabus")
     n = F.col("s_suppkey").cast("string")
     topic = F.concat(n, F.lit(" = Tema: "), F.col("s_name"), F.lit("|Doc "), n, F.lit(".pdf| |Doc "), n,
@@ -56,9 +56,9 @@ def syllabus_files(t):
         F.when(F.col("s_suppkey") % 5 == 0, "\n1 = Otra vez|B.pdf").otherwise(""),
         F.lit("\n[TEMARIO_OTRA]\n9 = T|x.pdf\n[NORMAS_EXAMEN]\nnumero_preguntas = "), (F.col("s_suppkey") + 100).cast("string"),
         F.lit("\n[DISTRIBUCION_PREGUNTAS]\nGeneral = "), F.col("s_nationkey").cast("string"), F.lit("\nEspecial-Teoría = 50\n"))
-    t.supplier.select("s_suppkey", text.alias("value")).write.partitionBy("s_suppkey").text(path)
-    key = F.regexp_extract("file", "s_suppkey=(\\d+)", 1).cast("long")
-    return readers.read_syllabus(t.spark, path).withColumn("k", key)
+    writers.write_bundles(t.supplier.select("s_suppkey", text.alias("value")), path, "s_suppkey", "value")
+    key = F.regexp_extract("file", "#(\\d+)$", 1).cast("long")
+    return readers.read_syllabus(t.spark, path, bundles=True).withColumn("k", key)
 
 
 @query("scan_syllabus", """

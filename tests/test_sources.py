@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusbank.functions import features
 from corpusbank.operators import dedup, grading
-from corpusbank.sources import readers
+from corpusbank.queries import io as queries
+from corpusbank.queries.registry import Tables
+from corpusbank.sources import readers, writers
 from corpusbank.session import work_dir
 
 SYLLABUS = """[CONVOCATORIA]
@@ -46,6 +48,26 @@ def test_syllabus(spark, tmp_path):
         ("General", 30), (None, 110)}
 
 
+def test_bundled_syllabus(spark, tmp_path):
+    """Many texts a file: as many entries as from files of their own, in a bounded number of files."""
+    rows = spark.createDataFrame([(n, SYLLABUS.replace("110", str(n))) for n in range(25)], "k long, text string")
+    writers.write_bundles(rows.coalesce(1), str(tmp_path / "x"), "k", "text", most=10)
+    assert len(list((tmp_path / "x").glob("part-*"))) == 3
+    entries = readers.read_syllabus(spark, str(tmp_path / "x"), bundles=True)
+    (tmp_path / "a.cfg").write_text(SYLLABUS, encoding="utf-8")
+    one = readers.read_syllabus(spark, str(tmp_path / "a.cfg"))
+    assert entries.count() == 25 * one.count()
+    sizes = readers.syllabus_distribution(entries, "file").filter("part IS NULL").collect()
+    assert {(int(r["file"].split("#")[1]), r["n"]) for r in sizes} == {(n, n) for n in range(25)}
+
+
+def test_syllabus_query_writes_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "new_path", lambda *_: str(tmp_path / "out"))
+    t = Tables(spark, "/root/testdata/sf0.01")
+    assert queries.syllabus_files(t).select("k").distinct().count() == t.supplier.count()
+    assert len(list((tmp_path / "out").rglob("part-*"))) < 10
+
+
 def test_catalogue_with_byte_order_mark(spark, tmp_path):
     path = tmp_path / "normas.csv"
     path.write_bytes("﻿codigo;titulo_oficial;titulo_corto;tipo\nCE;Constitución Española;CE 78;C\n ;x;y;z\nL39_2015;Ley 39/2015, de 1 de octubre;;Ley\n".encode())
