@@ -1,5 +1,6 @@
 """Versioned stores, streaming jobs, the file ledger, reports and packs."""
 
+import hashlib
 import json
 import os
 import re
@@ -186,6 +187,28 @@ def test_file_ledger(spark, tmp_path):
     assert run() == {"b.pdf": "new"} and run() == {}
 
 
+def test_file_ledger_of_bundles(spark, tmp_path):
+    """Texts of bundles have a hash and a status of their own; known bundles are not read again."""
+    inbox, ledger = tmp_path / "in", f"{tmp_path}/ledger"
+
+    drops = iter(range(9))
+
+    def run(texts):
+        rows = spark.createDataFrame(texts, "k int, v string").coalesce(1)
+        writers.write_bundles(rows, f"{inbox}/{next(drops)}", "k", "v", most=2)
+        rows = readers.ingest_files(spark, str(inbox), ledger, bundles=True).collect()
+        return {(int(r.file.split("#")[1]), r.hash, r.status) for r in rows}
+
+    def sha(text):
+        return hashlib.sha256((text + "\n").encode()).hexdigest()
+
+    assert run([(1, "é\n2"), (2, ""), (3, "x")]) == {
+        (1, sha("é\n2"), "new"), (2, sha(""), "new"), (3, sha("x"), "new")}
+    assert len(list(inbox.rglob("part-*"))) == 2
+    assert run([(4, "x"), (5, "y")]) == {(4, sha("x"), "known"), (5, sha("y"), "new")}
+    assert run([]) == set() and run([]) == set()
+
+
 def test_question_files_with_problems(spark, tmp_path):
     good = {"archivo_origen": "x", "preguntas": [{"numero": 1, "enunciado": "é"}, {"numero": 2}]}
     (tmp_path / "a.json").write_text(json.dumps(good, indent=2, ensure_ascii=False), encoding="utf-8")
