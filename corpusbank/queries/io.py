@@ -14,6 +14,7 @@ from corpusbank.queries.maintenance import (
     FOOTER_CTES, FOOTER_SELECT, IMPORT_SQL, LABEL_SQL, import_raw, labelled, stored_raw,
 )
 from corpusbank.queries.registry import SQL, query
+from corpusbank.queries.search import allowed_sources
 from corpusbank.queries.text import CODE_SQL, TAIL_SQL, norm_code, spaces_sql
 from corpusbank.session import new_path, stage
 from corpusbank.sources import readers, versions, writers
@@ -246,13 +247,13 @@ def stream_classify_pending(t):
     root = new_path(t.spark, "pending")
     inbox, bank = f"{root}/inbox", f"{root}/index"
     versions.create_store(t.spark, bank, "name string")
-    fragments, documents = corpus_terms(t)
-    jobs.store_index(bank, "fragments", fragments, "doc_id", ["norm", "source"])
-    jobs.store_index(bank, "documents", documents, "doc_id", ["norm", "source"])
+    jobs.store_index(bank, "fragments", corpus_terms(t)[0], "doc_id", ["norm", "source"])
     aliases, index = stage(norm_aliases(t), "aliases"), coverage_index(coverage_table(t))
+    informatics = stage(allowed_sources(t).select("source").distinct(), "informatics")
     ranked = {name: jobs.stored_ranker(
-        t.spark, bank, name, doc_id="doc_id", query_id="item_id",
-        part="norm string, source string") for name in ("fragments", "documents")}
+        t.spark, bank, "fragments", doc_id="doc_id", query_id="item_id", within=within,
+        part="norm string, source string")
+        for name, within in (("fragments", None), ("documents", informatics))}
 
     def classify(batch):
         return classification_cascade(

@@ -96,14 +96,16 @@ def store_index(root: str, name: str, docs: DataFrame, doc_id: str, part: list[s
 
 
 def stored_ranker(spark: SparkSession, root: str, name: str, *, doc_id: str, query_id: str,
-                  part: str, query_text: str = "text"):
+                  part: str, query_text: str = "text", within: DataFrame | None = None):
     """Ranker over the stored index (see ``plans.classify``): the version current at the call.
 
-    ``part`` is the DDL of the index' part columns.
+    ``part`` is the DDL of the index' part columns.  ``within`` holds values of some of them: the
+    ranker then knows the documents with these only, as an index of their own would.
     """
     def table(which: str, columns: str) -> DataFrame:
         rows = versions.published(spark, root, which, "name", f"{columns}, {part}, name string")
-        return rows.filter(F.col("name") == name).drop("name")
+        rows = rows.filter(F.col("name") == name).drop("name")
+        return rows if within is None else rows.join(within, within.columns, "left_semi")
 
     def ranked(questions: DataFrame, parts: list[str]) -> DataFrame:
         found = search.ranked_from_index(

@@ -141,6 +141,23 @@ def test_index_ranks_like_the_corpus_and_reads_few_buckets(spark, tmp_path):
     assert versions_in and plan.count("version=") <= 1  # the empty first version is not read
 
 
+def test_one_index_ranks_within_a_part(spark, tmp_path):
+    """Ranking within some sources equals ranking over their documents alone."""
+    rows = [(n, "ab"[n % 2], f"gato {'perro ' * (n % 3)}{'raton' if n % 5 else 'pez azul'}") for n in range(40)]
+    docs = stage(search.document_terms(
+        spark.createDataFrame(rows, "doc_id long, source string, text string"), "doc_id", "text", ["source"]), "t")
+    asked = spark.createDataFrame([(1, "perro azul"), (2, "gato raton pez")], "item_id long, text string")
+    root = str(tmp_path)
+    versions.create_store(spark, root, "name string")
+    jobs.store_index(root, "all", docs, "doc_id", ["source"])
+    own = search.ranked_documents(docs.filter("source = 'b'"), asked, doc_id="doc_id", query_id="item_id",
+                                  query_text="text").withColumnRenamed("doc_id", "candidate_id")
+    rank = jobs.stored_ranker(spark, root, "all", doc_id="doc_id", query_id="item_id", part="source string",
+                              within=spark.createDataFrame([("b",)], "source string"))
+    want = {(r.item_id, r.candidate_id, r.score, r["rank"]) for r in own.collect()}
+    assert want and {(r.item_id, r.candidate_id, r.score, r["rank"]) for r in rank(asked, []).collect()} == want
+
+
 def test_index_reads_the_buckets_of_its_tokens(spark, monkeypatch):
     read = []
     monkeypatch.setattr(search, "stage", lambda df, label: read.append((label, df)) or stage(df, label))
