@@ -68,6 +68,20 @@ def test_syllabus_query_writes_few_files(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "out").rglob("part-*"))) < 10
 
 
+def test_distribution_query_of_many_suppliers(spark, tmp_path, monkeypatch):
+    """All parts and sizes of more suppliers than a bundle holds, from a few files."""
+    count = 2 * queries.writers.BUNDLE + 500
+    spark.range(count).select(
+        F.col("id").alias("s_suppkey"), F.concat(F.lit("Supplier#"), "id").alias("s_name"),
+        (F.col("id") % 25).cast("int").alias("s_nationkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    monkeypatch.setattr(queries, "new_path", lambda *_: str(tmp_path / "out"))
+    got = queries.scan_distribution(Tables(spark, str(tmp_path))).collect()
+    want = {x for n in range(count) for x in (
+        (n, "General", n % 25), (n, "Especial-Teoría", 50), (n, None, n + 100))}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert len(list((tmp_path / "out").rglob("part-*"))) < 10
+
+
 def test_catalogue_with_byte_order_mark(spark, tmp_path):
     path = tmp_path / "normas.csv"
     path.write_bytes("﻿codigo;titulo_oficial;titulo_corto;tipo\nCE;Constitución Española;CE 78;C\n ;x;y;z\nL39_2015;Ley 39/2015, de 1 de octubre;;Ley\n".encode())
