@@ -4,12 +4,16 @@ import hashlib
 import json
 import os
 import re
+import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusbank.operators import search
 from corpusbank.plans import bank as plans
+from corpusbank.queries import maintenance
+from corpusbank.queries.registry import Tables
 from corpusbank.session import stage
 from corpusbank.sources import readers, versions, writers
 from corpusbank.streaming import jobs
@@ -226,6 +230,55 @@ def test_file_ledger_of_bundles(spark, tmp_path):
     assert run([]) == set() and run([]) == set()
 
 
+def test_file_ledger_reads_files_of_a_repeated_hour(spark, tmp_path, monkeypatch):
+    """When clocks go back, two moments have one local time in the driver's Python."""
+    for name, moment in (("a", 1761438600), ("b", 1761442200)):  # 02:30 in Madrid, an hour apart
+        (tmp_path / name).write_text(name)
+        os.utime(tmp_path / name, (moment, moment))
+    monkeypatch.setenv("TZ", "Europe/Madrid")
+    time.tzset()
+    try:
+        rows = readers.ingest_files(spark, str(tmp_path), f"{tmp_path}-ledger").collect()
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+    assert sorted((os.path.basename(r.file), r.status) for r in rows) == [("a", "new"), ("b", "new")]
+
+
+def test_other_files_among_bundles(spark, tmp_path):
+    """A file that is no bundle is a text of its own, also where a name comes twice in a bundle."""
+    (tmp_path / "a").write_bytes(b"\xff no bundle\n")
+    (tmp_path / "b").write_bytes(b"\x1e1\nx\n\x1e1\ny\n")
+    (tmp_path / "c").write_bytes(b"")
+    rows = readers.ingest_files(spark, str(tmp_path), f"{tmp_path}-ledger", bundles=True).collect()
+    assert sorted((os.path.basename(r.file), r.hash, r.status) for r in rows) == sorted(
+        (name, hashlib.sha256(text).hexdigest(), "new")
+        for name, text in (("a", b"\xff no bundle\n"), ("b#1", b"x\n"), ("b#1", b"y\n")))
+
+
+def test_ingest_query_takes_every_file(spark, tmp_path, monkeypatch):
+    """Each group of documents is a file of its own for the listing, the ledger and the hash."""
+    texts = {n: None if n % 9 == 4 else f"text {n}" for n in range(5, 64)}
+    spark.createDataFrame([*texts.items(), (None, "x")], "doc_id long, text string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    root = tmp_path / "work"
+    monkeypatch.setattr(maintenance, "new_path", lambda *_: str(root))
+    got = maintenance.incremental_ingest(Tables(spark, str(tmp_path))).collect()
+
+    def sha(ids):
+        whole = "".join(hashlib.md5((texts.get(n, "x") or "").encode()).hexdigest() for n in ids)
+        return hashlib.sha256((whole + "\n").encode()).hexdigest()
+
+    hashes = {None: sha([None])} | {k: sha([n for n in texts if n // 10 == k]) for k in range(7)}
+    early = [k for k in hashes if k is not None and k <= 3]
+    want = [(1, k, hashes[k], "new") for k in early] + [
+        (2, k, h, "known" if k in early else "new") for k, h in hashes.items()]
+    assert Counter(map(tuple, got)) == Counter(want)
+    found = [p for p in (root / "inbox").rglob("part-*") if p.stat().st_size]
+    ledger = spark.read.parquet(f"{root}/ledger").filter("length > 0")
+    assert len(found) == len(want) == ledger.count() == ledger.select("file").distinct().count()
+
+
 def test_question_files_with_problems(spark, tmp_path):
     good = {"archivo_origen": "x", "preguntas": [{"numero": 1, "enunciado": "é"}, {"numero": 2}]}
     (tmp_path / "a.json").write_text(json.dumps(good, indent=2, ensure_ascii=False), encoding="utf-8")
